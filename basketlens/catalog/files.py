@@ -1 +1,198 @@
+"""Scans, files and writes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import format_event_time, month_of
+from ..operators import categories, profile, sessions
+from ..operators.ordering import head_rows
+from ..operators.summaries import event_type_counts, row_counts, top_values
+from ..operators.typing import describe
+from ..runtime import scratch_path, shared_root
+from ..schema import CATEGORY_TOTALS, EVENT_COLUMNS, RAW_EVENTS
+from ..sinks import convert_csv, materialize, write_csv, write_parquet
+from ..sources import files
+from ..sources.events import (
+    infer_types,
+    read_category_csv,
+    read_events_csv,
+    read_events_parquet,
+    read_raw_csv,
+    split_quarantine,
+    with_source_tag,
+)
+from ..sources.tables import click_events, retail_events
+from . import sql
+from .aggregates import CATEGORY_COLUMNS, SESSION_COLUMNS
+from .registry import query, retail_csv, retail_monthly_csv
+
+ALL_EVENTS = sql.retail(f"SELECT {sql.EVENT_LIST} FROM r")
+MONTH_FOLDER = r"month=(\d{4}-\d{2})/"
+
+
+@query("src_01_events_csv", ALL_EVENTS)
+def _(spark, d):
+    return read_events_csv(spark, retail_csv(spark, d))
+
+
+@query("src_02_projected_scan", sql.retail("SELECT category_id, event_type, product_id, price FROM r"))
+def _(spark, d):
+    return read_events_csv(spark, retail_csv(spark, d), columns=CATEGORY_COLUMNS)
+
+
+def _dirty_csv(spark, d):
+    """The retail events with cart rows of no brand given a field too many and purchase
+    rows of no category an unreadable product."""
+    events = retail_events(spark, d)
+    unreadable = (F.col("event_type") == "purchase") & F.col("category_code").isNull()
+    surplus = (F.col("event_type") == "cart") & F.col("brand").isNull()
+    product = F.col("product_id").cast("string")
+    dirty = events.withColumns(
+        {
+            "event_time": format_event_time("event_time"),
+            "product_id": F.when(unreadable, F.concat(F.lit("x"), product)).otherwise(product),
+            "user_session": F.when(surplus, F.concat("user_session", F.lit(",surplus"))).otherwise(F.col("user_session")),
+        }
+    )
+    path = scratch_path(spark, "dirty-csv")
+    # An empty quote character leaves the surplus comma bare.
+    dirty.write.option("header", True).option("quote", "").csv(path)
+    return path
+
+
+_BAD = "((event_type = 'cart' AND brand IS NULL) OR (event_type = 'purchase' AND category_code IS NULL))"
+
+
+@query("src_03_drop_bad_rows", sql.retail(f"SELECT {sql.EVENT_LIST} FROM r WHERE NOT {_BAD}"))
+def _(spark, d):
+    return read_events_csv(spark, _dirty_csv(spark, d), on_bad="drop")
+
+
+@query(
+    "src_03_quarantine_bad_rows",
+    sql.retail(
+        f"""SELECT event_type, COUNT(*) FILTER (WHERE NOT {_BAD}) AS n_good, COUNT(*) FILTER (WHERE {_BAD}) AS n_bad
+        FROM r GROUP BY event_type"""
+    ),
+)
+def _(spark, d):
+    good, bad = split_quarantine(read_events_csv(spark, _dirty_csv(spark, d), on_bad="quarantine"))
+    both = good.select("event_type", F.lit(1).alias("good")).unionByName(bad.select("event_type", F.lit(0).alias("good")))
+    return both.groupBy("event_type").agg(F.count_if(F.col("good") == 1).alias("n_good"), F.count_if(F.col("good") == 0).alias("n_bad"))
+
+
+@query("src_04_directory_scan", sql.retail("SELECT event_type, COUNT(*) AS cnt FROM r GROUP BY event_type"))
+def _(spark, d):
+    folder = retail_monthly_csv(spark, d)
+    events = read_events_csv(spark, [folder, f"{folder}-absent"], glob="*.csv", missing="skip")
+    return event_type_counts(events)
+
+
+@query("src_05_source_tag", sql.retail("SELECT month, COUNT(*) AS n_rows FROM r GROUP BY month"))
+def _(spark, d):
+    events = read_events_csv(spark, retail_monthly_csv(spark, d), glob="*.csv")
+    return row_counts(with_source_tag(events, MONTH_FOLDER), "month")
+
+
+@query("src_06_events_parquet", ALL_EVENTS)
+def _(spark, d):
+    path = scratch_path(spark, "events-parquet")
+    write_parquet(retail_events(spark, d), path)
+    return read_events_parquet(spark, path, columns=EVENT_COLUMNS)
+
+
+@query(
+    "src_07_head",
+    sql.retail(f"SELECT {sql.EVENT_LIST} FROM r ORDER BY event_time, user_session, product_id, price, event_type LIMIT 300"),
+)
+def _(spark, d):
+    return head_rows(retail_events(spark, d), 300, ["event_time", "user_session", "product_id", "price", "event_type"])
+
+
+@query("src_08_line_count", "SELECT COUNT(*) AS n_data_lines FROM lineitem")
+def _(spark, d):
+    # Every file has one header line.
+    counts = files.count_lines(spark, retail_csv(spark, d), glob="*.csv")
+    return counts.agg(F.sum(F.col("n_lines") - 1).alias("n_data_lines"))
+
+
+@query("src_09_file_inventory")
+def _(spark, d):
+    return files.list_files(spark, d, glob="*.parquet")
+
+
+@query("src_10_delimiter", "SELECT '|' AS delimiter, 9 AS n_fields, CAST(1 AS DOUBLE) AS share")
+def _(spark, d):
+    path = scratch_path(spark, "piped-csv")
+    write_csv(retail_events(spark, d).withColumn("event_time", format_event_time("event_time")), path, delimiter="|")
+    return files.detect_delimiter(spark, path)
+
+
+@query(
+    "src_11_category_csv",
+    sql.retail(f"SELECT *, 'all' AS month FROM ({sql.category_totals()})"),
+)
+def _(spark, d):
+    path = scratch_path(spark, "category-csv")
+    totals = categories.category_aggregate(retail_events(spark, d, CATEGORY_COLUMNS))
+    write_csv(totals.withColumn("month", F.lit("all")).select(CATEGORY_TOTALS.names), path)
+    return read_category_csv(spark, path)
+
+
+@query("snk_01_partitioned_parquet", sql.retail(f"SELECT {sql.EVENT_LIST}, month FROM r"))
+def _(spark, d):
+    path = scratch_path(spark, "monthly-parquet")
+    write_parquet(retail_events(spark, d, [*EVENT_COLUMNS, "month"]), path, partition_by=["month"])
+    stored = read_events_parquet(spark, path)
+    return stored.withColumn("month", F.left(F.col("month").cast("string"), F.lit(7)))
+
+
+NARROW_LIST = """event_time, event_type, CAST(product_id AS INTEGER) AS product_id, category_id, category_code, brand,
+CAST(price AS FLOAT) AS price, CAST(user_id AS INTEGER) AS user_id, user_session"""
+
+
+@query("snk_02_convert_csv", sql.retail(f"SELECT {NARROW_LIST} FROM r"))
+def _(spark, d):
+    path = scratch_path(spark, "converted")
+    convert_csv(spark, retail_csv(spark, d), path)
+    return read_events_parquet(spark, path)
+
+
+@query("snk_03_session_table", sql.click(sql.sessions("c")))
+def _(spark, d):
+    path = scratch_path(spark, "session-table")
+    write_parquet(sessions.session_aggregate(click_events(spark, d)), path)
+    return spark.read.parquet(path)
+
+
+@query("snk_04_result_csv", sql.retail("SELECT brand, COUNT(*) AS freq FROM r GROUP BY brand"))
+def _(spark, d):
+    path = scratch_path(spark, "result-csv")
+    brands = retail_events(spark, d, ["brand"]).groupBy("brand").agg(F.count(F.lit(1)).alias("freq"))
+    write_csv(brands, path)
+    return spark.read.schema("brand string, freq bigint").option("header", True).csv(path)
+
+
+@query("snk_05_materialize", sql.retail(sql.sessions("r")))
+def _(spark, d):
+    path = scratch_path(spark, "materialized")
+    events = retail_events(spark, d, SESSION_COLUMNS)
+    materialize(spark, path, lambda: sessions.session_aggregate(events))
+    return materialize(spark, path, lambda: events.limit(0))
+
+
+@query("typ_10_describe")
+def _(spark, d):
+    return describe(retail_events(spark, d))
+
+
+@query("typ_11_infer_types")
+def _(spark, d):
+    types = infer_types(spark, retail_csv(spark, d))
+    return describe(spark.read.schema(types).option("header", True).csv(retail_csv(spark, d)))
+
+
+@query("prf_04_file_profile")
+def _(spark, d):
+    return profile.profile(spark, retail_csv(spark, d))

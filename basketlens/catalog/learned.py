@@ -1 +1,285 @@
+"""Scaling, models, their scores, and the jobs that end in a model or report."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema
+from ..functions.features import featurize, prepare
+from ..learning import models
+from ..operators import metrics
+from ..operators.sampling import time_split
+from ..operators.scaling import fit_scaler, scale
+from ..plans import category_report, dictionary_build, purchase, spend
+from ..runtime import scratch_path, stage
+from ..sources.tables import click_events, retail_events
+from . import sql
+from .aggregates import SESSION_COLUMNS
+from .files import MONTH_FOLDER
+from .registry import query, retail_csv, retail_monthly_csv, stored_sessions
+
+_X = schema.PURCHASE_FEATURES
+_FLOAT_VIEW = "p AS (SELECT user_session, " + ", ".join(f"CAST(CAST(COALESCE({c}, 0) AS FLOAT) AS DOUBLE) AS {c}" for c in _X) + " FROM s)"
+
+
+def _standard(view):
+    moments = ", ".join(f"AVG({c}) AS m_{c}, STDDEV_POP({c}) AS d_{c}" for c in _X)
+    scaled = ", ".join(
+        sql.rounded(f"(({c} - m_{c}) / CASE WHEN d_{c} = 0 THEN 1 ELSE d_{c} END)", 6) + f" AS {c}" for c in _X
+    )
+    return sql.with_sessions(view, f"SELECT user_session, {scaled} FROM p, m", f"{_FLOAT_VIEW}, m AS (SELECT {moments} FROM p)")
+
+
+def _scaled(sessions):
+    features = prepare(sessions, "user_session").drop(schema.PURCHASE_LABEL)
+    result = scale(features, fit_scaler(features, _X))
+    return result.select("user_session", *[F.round(c, 6).alias(c) for c in _X])
+
+
+@query("ml_01_scale", _standard("c"))
+def _(spark, d):
+    return _scaled(stored_sessions(spark, d, "click"))
+
+
+@query("ml_01_scale_retail", _standard("r"))
+def _(spark, d):
+    return _scaled(stored_sessions(spark, d, "retail"))
+
+
+@query(
+    "ml_01_fit_scaler_first_rows",
+    sql.with_sessions(
+        "r",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", {sql.rounded(f'AVG({c})', 6)} AS mean, {sql.rounded(f'STDDEV_POP({c})', 6)} AS std FROM f" for c in _X
+        ),
+        f"{_FLOAT_VIEW}, f AS (SELECT p.* FROM p JOIN s USING (user_session) ORDER BY session_start, user_session LIMIT 2000)",
+    ),
+)
+def _(spark, d):
+    features = prepare(stored_sessions(spark, d, "retail"), "user_session", "session_start")
+    fitted = fit_scaler(features, _X, fit_rows=2_000, order=[F.col("session_start"), F.col("user_session")])
+    return fitted.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def _rule(sessions):
+    """Sessions scored by a rule, so that SQL can score them too."""
+    return sessions.select(
+        "user_session",
+        (F.col("n_purchases") > 0).cast("int").alias("label"),
+        (F.col("n_views") >= 2).cast("int").alias("prediction"),
+        (2 * F.col("n_views") + F.col("n_add_to_cart")).cast("double").alias("score"),
+        F.col("total_spent").alias("actual"),
+        (F.col("n_views") * F.coalesce(F.col("avg_price_viewed"), F.lit(0.0))).alias("predicted"),
+    )
+
+
+_RULE = """k AS (SELECT user_session, CASE WHEN n_purchases > 0 THEN 1 ELSE 0 END AS label, CASE WHEN n_views >= 2 THEN 1 ELSE 0 END AS prediction,
+  CAST(2 * n_views + n_add_to_cart AS DOUBLE) AS score, total_spent AS actual, n_views * COALESCE(avg_price_viewed, 0) AS predicted FROM s)"""
+
+_REPORT = """z AS (SELECT cls, SUM(CASE WHEN label = cls AND prediction = cls THEN 1 ELSE 0 END) AS hits,
+    SUM(CASE WHEN prediction = cls THEN 1 ELSE 0 END) AS predicted, SUM(CASE WHEN label = cls THEN 1 ELSE 0 END) AS support
+  FROM k, (SELECT DISTINCT label AS cls FROM k UNION SELECT DISTINCT prediction FROM k) GROUP BY cls),
+m AS (SELECT CAST(cls AS VARCHAR) AS class, COALESCE(CAST(hits AS DOUBLE) / NULLIF(predicted, 0), 0) AS precision,
+    COALESCE(CAST(hits AS DOUBLE) / NULLIF(support, 0), 0) AS recall,
+    COALESCE(CAST(2 * hits AS DOUBLE) / NULLIF(predicted + support, 0), 0) AS f1, CAST(support AS BIGINT) AS support, hits FROM z)"""
+
+
+def _report_sql(view):
+    return sql.with_sessions(
+        view,
+        f"""SELECT class, {sql.rounded('precision', 9)} AS precision, {sql.rounded('recall', 9)} AS recall, {sql.rounded('f1', 9)} AS f1, support FROM (
+        SELECT class, precision, recall, f1, support FROM m
+        UNION ALL SELECT 'accuracy', NULL, NULL, CAST(SUM(hits) AS DOUBLE) / SUM(support), CAST(SUM(support) AS BIGINT) FROM m
+        UNION ALL SELECT 'macro avg', AVG(precision), AVG(recall), AVG(f1), CAST(SUM(support) AS BIGINT) FROM m
+        UNION ALL SELECT 'weighted avg', SUM(precision * support) / SUM(support), SUM(recall * support) / SUM(support),
+          SUM(f1 * support) / SUM(support), CAST(SUM(support) AS BIGINT) FROM m)""",
+        f"{_RULE}, {_REPORT}",
+    )
+
+
+def _report(sessions):
+    report = metrics.classification_report(_rule(sessions))
+    return report.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query("ml_04_classification_report", _report_sql("c"))
+def _(spark, d):
+    return _report(stored_sessions(spark, d, "click"))
+
+
+@query("ml_04_classification_report_retail", _report_sql("r"))
+def _(spark, d):
+    return _report(stored_sessions(spark, d, "retail"))
+
+
+@query(
+    "ml_07_regression_metrics",
+    sql.with_sessions(
+        "r",
+        """SELECT ROUND(SQRT(AVG((actual - predicted) ** 2)), 4) AS rmse, ROUND(AVG(ABS(actual - predicted)), 4) AS mae,
+        ROUND(1 - SUM((actual - predicted) ** 2) / (VAR_POP(actual) * COUNT(*)), 6) AS r2, COUNT(*) AS n FROM k""",
+        _RULE,
+    ),
+)
+def _(spark, d):
+    found = metrics.regression_metrics(_rule(stored_sessions(spark, d, "retail")), "actual", "predicted")
+    return found.select(F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), "n")
+
+
+@query(
+    "rm_01_roc_auc",
+    sql.with_sessions(
+        "c",
+        """SELECT ROUND(SUM(pos * (below + neg / 2.0)) / (SUM(pos) * SUM(neg)), 9) AS auc, CAST(SUM(pos) AS BIGINT) AS n_positive,
+        CAST(SUM(neg) AS BIGINT) AS n_negative FROM b""",
+        _RULE
+        + """, g AS (SELECT score, CAST(SUM(label) AS DOUBLE) AS pos, CAST(SUM(1 - label) AS DOUBLE) AS neg FROM k GROUP BY score),
+        b AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)""",
+    ),
+)
+def _(spark, d):
+    found = metrics.roc_auc_frame(_rule(stored_sessions(spark, d, "click")))
+    return found.withColumn("auc", F.round("auc", 9))
+
+
+@query("rm_02_confusion_matrix", sql.with_sessions("c", "SELECT label, prediction, COUNT(*) AS n FROM k GROUP BY 1, 2", _RULE))
+def _(spark, d):
+    return metrics.confusion_matrix(_rule(stored_sessions(spark, d, "click")))
+
+
+def _train_test(spark, d):
+    early, late = time_split(stored_sessions(spark, d, "click"))
+    return stage(prepare(early, "user_session"), "train"), prepare(late, "user_session")
+
+
+@query("ml_02_logistic_regression")
+def _(spark, d):
+    train, _test = _train_test(spark, d)
+    return models.feature_importance(models.train_purchase_model(train), train, _X)
+
+
+@query("ml_03_score")
+def _(spark, d):
+    train, test = _train_test(spark, d)
+    return models.score(models.train_purchase_model(train), test).select("user_session", "label_purchase", "prediction", "score")
+
+
+@query("rm_03_forest_classifier")
+def _(spark, d):
+    train, test = _train_test(spark, d)
+    scored = models.score(models.train_forest_classifier(train), test)
+    return metrics.classification_report(scored, schema.PURCHASE_LABEL, "prediction")
+
+
+@query("rm_04_boosted_classifier")
+def _(spark, d):
+    train, test = _train_test(spark, d)
+    scored = models.score(models.train_boosted_classifier(train, rounds=20), test)
+    return metrics.classification_report(scored, schema.PURCHASE_LABEL, "prediction")
+
+
+@query("rm_07_classifier_importance")
+def _(spark, d):
+    train, _test = _train_test(spark, d)
+    return models.feature_importance(models.train_forest_classifier(train), train, _X)
+
+
+@query("ml_05_boosted_spend")
+def _(spark, d):
+    return spend.train_spend(stored_sessions(spark, d, "click")).metrics
+
+
+@query("ml_06_forest_spend")
+def _(spark, d):
+    return spend.train_spend(stored_sessions(spark, d, "click"), forest=True).metrics
+
+
+@query("ml_08_spend_importance")
+def _(spark, d):
+    train = models.with_target(featurize(stored_sessions(spark, d, "click")))
+    return models.feature_importance(models.train_boosted_spend(train, rounds=20), train, schema.SPEND_FEATURES)
+
+
+@query("ml_09_prediction_points")
+def _(spark, d):
+    return spend.train_spend(stored_sessions(spark, d, "retail"), rounds=20).points
+
+
+@query("snk_06_stored_model")
+def _(spark, d):
+    train, test = _train_test(spark, d)
+    path = scratch_path(spark, "model")
+    models.save_model(models.train_purchase_model(train), path, _X)
+    model, _features = models.load_model(path)
+    return models.score(model, test).select("user_session", "label_purchase", "prediction", "score")
+
+
+@query("job_01_spend_model")
+def _(spark, d):
+    events = retail_events(spark, d, [*SESSION_COLUMNS, "month"])
+    sessions = spend.spend_sessions(events, source="month")
+    keyed = sessions.withColumn("user_session", F.concat_ws("@", "user_session", "month"))
+    return spend.train_spend(keyed, save_to=scratch_path(spark, "spend-model")).metrics
+
+
+@query("job_02_purchase_model")
+def _(spark, d):
+    result = purchase.train_purchase(stored_sessions(spark, d, "click"), save_to=scratch_path(spark, "purchase-model"))
+    return result.report.withColumn("auc", F.lit(result.auc()))
+
+
+_TOTALS = f"t AS ({sql.category_totals('category_id, event_type, month', where='WHERE category_id IS NOT NULL AND event_type IS NOT NULL')})"
+
+
+@query(
+    "job_03_category_report",
+    sql.retail(
+        "SELECT category_id, month AS month_str, CAST(SUM(CAST(total_sales AS DECIMAL(18,2))) AS DOUBLE) AS total_sales FROM t GROUP BY 1, 2",
+        _TOTALS,
+    ),
+)
+def _(spark, d):
+    path = scratch_path(spark, "category-totals")
+    category_report.aggregate_files(spark, retail_monthly_csv(spark, d), path, MONTH_FOLDER)
+    return category_report.report(spark, path).heat_cells
+
+
+@query(
+    "job_03_event_volumes",
+    sql.retail(
+        "SELECT month AS month_str, "
+        + ", ".join(
+            f"CAST(COALESCE(SUM(CASE WHEN event_type = '{t}' THEN num_events END), 0) AS BIGINT) AS {t}" for t in ("view", "cart", "purchase")
+        )
+        + " FROM t GROUP BY 1",
+        _TOTALS,
+    ),
+)
+def _(spark, d):
+    path = scratch_path(spark, "category-totals")
+    category_report.aggregate_files(spark, retail_monthly_csv(spark, d), path, MONTH_FOLDER)
+    return category_report.report(spark, path).volumes
+
+
+_CODES = """dict AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS code FROM (
+  SELECT 'event_type' AS "column", event_type AS value FROM r UNION SELECT 'category_code', category_code FROM r
+  UNION SELECT 'brand', brand FROM r) WHERE value IS NOT NULL)"""
+_CODE = "(SELECT CAST(code AS INTEGER) FROM dict WHERE \"column\" = '{c}' AND value = r.{c}) AS {c}_code"
+
+
+@query(
+    "job_04_dictionary_parquet",
+    sql.retail(
+        "SELECT event_time, "
+        + ", ".join(_CODE.format(c=c) for c in schema.DICTIONARY_COLUMNS)
+        + ", product_id, category_id, price, user_id, user_session FROM r",
+        _CODES,
+    ),
+)
+def _(spark, d):
+    folder = retail_monthly_csv(spark, d)
+    sources = [f"{folder}/month=199*", f"{folder}/month=200*"]
+    targets = [scratch_path(spark, "encoded"), scratch_path(spark, "encoded")]
+    dictionary_build.build(spark, sources, targets)
+    return spark.read.parquet(*targets)

@@ -69,10 +69,12 @@ def read_events_csv(
 
 
 def split_quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, texts of the bad rows) of a ``quarantine`` read."""
+    """(good rows, bad rows with their text and what could be read) of a ``quarantine`` read.
+
+    Spark refuses to read the text column alone; select another column with it.
+    """
     good = events.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = events.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-    return good, bad
+    return good, events.where(F.col(CORRUPT).isNotNull())
 
 
 def read_events_parquet(
