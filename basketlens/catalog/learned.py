@@ -9,7 +9,7 @@ from ..functions.features import featurize, prepare
 from ..learning import models
 from ..operators import metrics
 from ..operators.sampling import time_split
-from ..operators.scaling import fit_scaler, scale
+from ..operators.scaling import first_rows, fit_scaler, scale
 from ..plans import category_report, dictionary_build, purchase, spend
 from ..runtime import scratch_path, stage
 from ..sources.tables import click_events, retail_events
@@ -58,7 +58,7 @@ def _(spark, d):
 )
 def _(spark, d):
     features = prepare(stored_sessions(spark, d, "retail"), "user_session", "session_start")
-    fitted = fit_scaler(features, _X, fit_rows=2_000, order=[F.col("session_start"), F.col("user_session")])
+    fitted = fit_scaler(first_rows(features, 2_000), _X)
     return fitted.select("column", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
@@ -187,12 +187,12 @@ def _(spark, d):
 
 @query("ml_05_boosted_spend")
 def _(spark, d):
-    return spend.train_spend(stored_sessions(spark, d, "click")).metrics
+    return spend.train_spend(stored_sessions(spark, d, "click"), rounds=40).metrics
 
 
 @query("ml_06_forest_spend")
 def _(spark, d):
-    return spend.train_spend(stored_sessions(spark, d, "click"), forest=True).metrics
+    return spend.train_spend(stored_sessions(spark, d, "click"), forest=True, trees=40).metrics
 
 
 @query("ml_08_spend_importance")
@@ -220,7 +220,7 @@ def _(spark, d):
     events = retail_events(spark, d, [*SESSION_COLUMNS, "month"])
     sessions = spend.spend_sessions(events, source="month")
     keyed = sessions.withColumn("user_session", F.concat_ws("@", "user_session", "month"))
-    return spend.train_spend(keyed, save_to=scratch_path(spark, "spend-model")).metrics
+    return spend.train_spend(keyed, rounds=40, save_to=scratch_path(spark, "spend-model")).metrics
 
 
 @query("job_02_purchase_model")

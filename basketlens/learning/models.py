@@ -24,7 +24,7 @@ TREE_DEPTH = 5
 MIN_ROWS_PER_LEAF = 20
 FOREST_TREES = 200
 FOREST_DEPTH = 30
-BOOSTING_ROUNDS = 100
+BOOSTING_ROUNDS = 2_000
 IMPORTANCE_ROWS = 10
 POINT_ROWS = 2_000
 SEED = 42
@@ -37,9 +37,9 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=VECTOR)
 
 
-def scaling_stage(df: DataFrame, features: Sequence[str], **options) -> SQLTransformer:
+def scaling_stage(df: DataFrame, features: Sequence[str]) -> SQLTransformer:
     """A pipeline stage that appends ``<feature>_z`` with the scaler fitted on ``df``."""
-    fitted = fit_scaler(df, features, **options).collect()
+    fitted = fit_scaler(df, features).collect()
     scaled = ", ".join(
         f"(`{r['column']}` - CAST('{r['mean']!r}' AS DOUBLE)) / CAST('{r['std']!r}' AS DOUBLE) AS `{r['column']}_z`"
         for r in fitted
@@ -51,11 +51,14 @@ def train_purchase_model(
     train: DataFrame,
     features: Sequence[str] = schema.PURCHASE_FEATURES,
     label: str = schema.PURCHASE_LABEL,
-    fit_rows: int | None = None,
+    scale_on: DataFrame | None = None,
     max_iter: int = 100,
 ) -> PipelineModel:
-    """Logistic regression (log loss plus L2) on standardised features."""
-    scaler = scaling_stage(train, features, fit_rows=fit_rows)
+    """Logistic regression (log loss plus L2) on standardised features.
+
+    The scaler is fitted on all of ``train``, or on ``scale_on``.
+    """
+    scaler = scaling_stage(train if scale_on is None else scale_on, features)
     regression = LogisticRegression(
         featuresCol=VECTOR,
         labelCol=label,
@@ -83,7 +86,7 @@ def train_boosted_classifier(
     train: DataFrame,
     features: Sequence[str] = schema.PURCHASE_FEATURES,
     label: str = schema.PURCHASE_LABEL,
-    rounds: int = BOOSTING_ROUNDS,
+    rounds: int = 100,
     seed: int = SEED,
 ) -> PipelineModel:
     trees = GBTClassifier(
@@ -113,7 +116,7 @@ def train_boosted_spend(
     """Boosted trees on the log target.
 
     ``validation`` names a boolean column marking held-out rows; with it, boosting stops
-    once another round no longer lowers their error.
+    at the first round that does not lower their error.
     """
     trees = GBTRegressor(
         featuresCol=VECTOR,
@@ -125,7 +128,7 @@ def train_boosted_spend(
         seed=seed,
     )
     if validation:
-        trees = trees.setValidationIndicatorCol(validation)
+        trees = trees.setValidationIndicatorCol(validation).setParams(validationTol=0.0)
     return Pipeline(stages=[_assembler(features), trees]).fit(train)
 
 

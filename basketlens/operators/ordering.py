@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 from ..runtime import stage
 
 # Up to this many rows an ordered limit is cheap: each task keeps that many and one
-# task merges them. Longer prefixes are found by their boundary instead.
-TOP_ROWS = 10_000
+# task merges them. Longer prefixes are found by their boundary or rank instead.
+TOP_ROWS = 1_000
 
 # Rows one histogram pass brings to the driver, at most.
 HISTOGRAM_BUCKETS = 4_096
@@ -26,7 +26,11 @@ Order = Sequence[Column | str]
 
 def head_rows(df: DataFrame, n: int, order: Order | None = None) -> DataFrame:
     """The first ``n`` rows: by ``order``, or any ``n`` rows without one."""
-    return (df.orderBy(*order) if order else df).limit(n)
+    if not order:
+        return df.limit(n)
+    if n <= TOP_ROWS:
+        return df.orderBy(*order).limit(n)
+    return global_rank(df, order).where(F.col("rank") <= n).drop("rank")
 
 
 def last_events(events: DataFrame, n: int, tiebreak: Sequence[str]) -> DataFrame:
@@ -39,7 +43,7 @@ def first_events(events: DataFrame, n: int, tiebreak: Sequence[str]) -> DataFram
     return events.orderBy(F.col("event_time").asc_nulls_last(), *tiebreak).limit(n)
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, order: Order, name: str = "rank") -> DataFrame:
     """Add each row's 1-based position in the total order ``order``.
 
     One range shuffle sorts the rows; a row's rank is its position in its partition plus
@@ -174,7 +178,7 @@ def page(df: DataFrame, order: Column, tie: Column, offset: int, limit: int) ->
     return df.where(end & ~in_first(df, offset, order, tie))
 
 
-def numbered_pages(df: DataFrame, order: Sequence[Column], size: int) -> DataFrame:
+def numbered_pages(df: DataFrame, order: Order, size: int) -> DataFrame:
     """Every row with its ``rank`` and 0-based ``page`` number."""
     ranked = global_rank(df, order)
     return ranked.withColumn("page", F.floor((F.col("rank") - 1) / F.lit(size)))

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import stage
-from ..sources.events import infer_types
+from ..sources.events import read_head
 from ..sources.files import count_lines, detect_delimiter, list_files
 
 # Rows sampled for a profile, rows previewed, share below which a text
@@ -99,11 +98,9 @@ def profile(
     """
     found = detect_delimiter(spark, path).first()
     delimiter = found.delimiter if found else ","
-    types = infer_types(spark, path, sample, delimiter)
-    rows = spark.read.schema(types).option("header", True).option("sep", delimiter).csv(path).limit(sample)
-    rows = stage(rows, "profile")
+    rows = read_head(spark, path, sample, delimiter)
     position = spark.createDataFrame(
-        [("type", f.name, f.dataType.simpleString()) for f in types.fields]
+        [("type", f.name, f.dataType.simpleString()) for f in rows.schema.fields]
         + [("delimiter", None, delimiter)],
         "metric string, column string, value string",
     )

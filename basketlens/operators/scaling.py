@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import micros_of
+from .ordering import in_first
 
-def fit_scaler(
-    df: DataFrame,
-    columns: Sequence[str],
-    fit_rows: int | None = None,
-    order: Sequence[Column] | None = None,
-) -> DataFrame:
-    """``column, mean, std`` over all rows, or over the first ``fit_rows`` of ``order``.
+
+def first_rows(df: DataFrame, n: int, time: str = "session_start", tie: str = "user_session") -> DataFrame:
+    """The earliest ``n`` rows, to fit a scaler on those alone."""
+    return df.where(in_first(df, n, micros_of(time), F.col(tie)))
+
+
+def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, mean, std`` over all rows of ``df``, in one pass.
 
     A constant column gets std 1, so scaling it gives 0.
     """
-    if fit_rows is not None:
-        df = (df.orderBy(*order) if order else df).limit(fit_rows)
     moments = df.agg(
         *[
             f(F.col(c).cast("double")).alias(f"{c}.{name}")

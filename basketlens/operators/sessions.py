@@ -28,7 +28,7 @@ _MEASURES = {
 
 def _measures(labels: EventLabels, count_null_types: bool) -> dict[str, Column]:
     kind = F.col("event_type")
-    viewed = F.when(kind == labels.view, F.col("price"))
+    viewed = F.nanvl(F.when(kind == labels.view, F.col("price")), F.lit(None))
     counted = F.lit(1) if count_null_types else kind
     return {
         "first_time": F.min("event_time"),
@@ -39,7 +39,7 @@ def _measures(labels: EventLabels, count_null_types: bool) -> dict[str, Column]:
         "n_purchases": F.count_if(kind == labels.purchase),
         "spent_cents": F.sum(F.when(kind == labels.purchase, cents("price"))),
         "viewed_cents": F.sum(cents(viewed)),
-        "n_viewed_prices": F.count(F.nanvl(viewed.cast("double"), F.lit(None).cast("double"))),
+        "n_viewed_prices": F.count(viewed),
         "max_price_viewed": F.max(viewed),
     }
 

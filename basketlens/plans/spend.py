@@ -61,7 +61,8 @@ def train_spend(
         table = sample_n(table, sample, key)
     table = with_target(select_features(table, features, key, schema.SPEND_TARGET))
     test = hash_unit(key, SEED + 1) >= F.lit(int(TRAIN_FRACTION * HASH_RANGE))
-    table = stage(table.withColumn("is_test", test), "spend-sample")
+    # A small sample of a large table: few even files instead of one per scanned split.
+    table = stage(table.withColumn("is_test", test).hint("rebalance"), "spend-sample")
     held_out = table.where("is_test")
     if forest:
         options = {"trees": trees} if trees else {}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,24 +38,38 @@ def read_raw_csv(
     """Delimited text with a header under a fixed schema.
 
     ``on_bad`` says what a row with the wrong number of fields or an unreadable value
-    does: ``fail`` stops the job, ``drop`` leaves the row out, ``quarantine`` keeps it
-    with its text in ``_corrupt_record``. Bytes that are not UTF-8 become U+FFFD.
-    ``missing="skip"`` passes over absent paths.
+    does: ``fail`` stops the job when a column it is bad in is read, ``drop`` leaves the
+    row out, ``quarantine`` keeps it with its text in ``_corrupt_record``. Bytes that are
+    not UTF-8 become U+FFFD. ``missing="skip"`` passes over absent paths.
     """
-    mode = {"fail": "FAILFAST", "drop": "DROPMALFORMED", "quarantine": "PERMISSIVE"}[on_bad]
-    reader = spark.read.option("header", True).option("sep", delimiter).option("mode", mode)
-    # With pruning the parser looks at the selected fields only, and which rows count as
-    # bad would depend on the query.
-    reader = reader.option("columnPruning", on_bad == "fail")
-    if on_bad == "quarantine":
-        file_schema = T.StructType(file_schema.fields + [T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+    if on_bad not in ("fail", "drop", "quarantine"):
+        raise ValueError(f"unknown policy {on_bad!r}")
+    reader = spark.read.option("header", True).option("sep", delimiter)
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     found = _paths(spark, paths, missing)
+    if on_bad == "fail":
+        if not found:
+            return spark.createDataFrame([], file_schema)
+        return reader.option("mode", "FAILFAST").schema(file_schema).csv(found)
+
+    # The CSV reader only converts the columns a query selects, so its own modes would
+    # judge a row differently from query to query. Here every field is read as text and
+    # every conversion is part of the verdict.
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in file_schema.fields])
+    texts = texts.add(CORRUPT, T.StringType())
     if not found:
-        return spark.createDataFrame([], file_schema)
-    return reader.schema(file_schema).csv(found)
+        lines = spark.createDataFrame([], texts)
+    else:
+        reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT)
+        lines = reader.option("mode", "PERMISSIVE").schema(texts).csv(found)
+    converted = {f.name: F.col(f.name).try_cast(f.dataType) for f in file_schema.fields}
+    unreadable = reduce(or_, [F.col(c).isNotNull() & v.isNull() for c, v in converted.items()])
+    line = F.concat_ws(delimiter, *[F.coalesce(F.col(c), F.lit("")) for c in converted])
+    verdict = F.coalesce(F.col(CORRUPT), F.when(unreadable, line))
+    if on_bad == "drop":
+        return lines.where(verdict.isNull()).select(*[v.alias(c) for c, v in converted.items()])
+    return lines.select(*[v.alias(c) for c, v in converted.items()], verdict.alias(CORRUPT))
 
 
 def read_events_csv(
@@ -69,10 +86,7 @@ def read_events_csv(
 
 
 def split_quarantine(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows with their text and what could be read) of a ``quarantine`` read.
-
-    Spark refuses to read the text column alone; select another column with it.
-    """
+    """(good rows, bad rows with their text and what could be read) of a ``quarantine`` read."""
     good = events.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return good, events.where(F.col(CORRUPT).isNotNull())
 
@@ -107,8 +121,34 @@ def with_source_tag(df: DataFrame, pattern: str, name: str = "month", group: int
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, group))
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` lines of a text file as a table (``value``).
+
+    ``take`` reads as many splits as it needs; a limit inside a larger job would send up
+    to ``n`` lines of every split to one task.
+    """
+    lines = [row.value for row in spark.read.text(path).take(n)]
+    return spark.createDataFrame(pa.table({"value": pa.array(lines, pa.string())})).coalesce(1)
+
+
+def head_file(spark: SparkSession, path: str, n: int) -> str:
+    """Store the header and first ``n`` rows of a delimited file; the path of the copy."""
+    sample = scratch_path(spark, "head")
+    first_lines(spark, path, n + 1).write.text(sample)
+    return sample
+
+
 def infer_types(spark: SparkSession, path: str, n: int = 50_000, delimiter: str = ",") -> T.StructType:
     """Column types guessed from the first ``n`` rows, to be used for the whole read."""
-    sample = scratch_path(spark, "type-sample")
-    spark.read.text(path).limit(n + 1).write.text(sample)
-    return spark.read.option("header", True).option("sep", delimiter).option("inferSchema", True).csv(sample).schema
+    return _guess(spark, head_file(spark, path, n), delimiter)
+
+
+def read_head(spark: SparkSession, path: str, n: int = 50_000, delimiter: str = ",") -> DataFrame:
+    """The first ``n`` rows of a delimited file under types guessed from them."""
+    sample = head_file(spark, path, n)
+    types = _guess(spark, sample, delimiter)
+    return spark.read.schema(types).option("header", True).option("sep", delimiter).csv(sample)
+
+
+def _guess(spark: SparkSession, path: str, delimiter: str) -> T.StructType:
+    return spark.read.option("header", True).option("sep", delimiter).option("inferSchema", True).csv(path).schema

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .events import first_lines
+
 # Delimiters tried, and how many lines of a file are looked at.
 DELIMITERS = [",", ";", "\t", "|"]
 DELIMITER_SAMPLE_LINES = 100
@@ -44,7 +46,7 @@ def detect_delimiter(
     One row ``delimiter, n_fields, share``, or none if no candidate occurs. Quoted
     text does not count.
     """
-    sample = spark.read.text(path).limit(sample_lines)
+    sample = first_lines(spark, path, sample_lines)
     bare = F.regexp_replace("value", '"[^"]*"', "")
     counts = F.explode(
         F.array(
