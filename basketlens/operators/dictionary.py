@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DICTIONARY_COLUMNS
 from .ordering import global_rank
+from .sampling import union_distinct
 
 # A column's dictionary is broadcast up to this size; a larger one is joined by shuffle.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -17,12 +18,12 @@ _ENTRY_BYTES = 32
 
 def distinct_values(frames: Sequence[DataFrame], columns: Sequence[str] = DICTIONARY_COLUMNS) -> DataFrame:
     """Distinct non-null values per column over all inputs: ``column, value``."""
-    result = None
-    for frame in frames:
-        texts = frame.select(*[F.col(c).cast("string").alias(c) for c in columns])
-        values = texts.unpivot([], list(columns), "column", "value").where(F.col("value").isNotNull())
-        result = values if result is None else result.unionByName(values)
-    return result.distinct()
+    values = [
+        frame.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+        for frame in frames
+        for c in columns
+    ]
+    return union_distinct(values)
 
 
 def build_dictionary(frames: Sequence[DataFrame], columns: Sequence[str] = DICTIONARY_COLUMNS) -> DataFrame:

@@ -82,23 +82,26 @@ class Position:
     equal: int
 
 
-def kth_smallest(df: DataFrame, value: Column | str, k: int, buckets: int = HISTOGRAM_BUCKETS) -> Position:
-    """The k-th smallest (from 1) of a numeric column, exactly; nulls do not count.
+@dataclass(frozen=True)
+class Bounds:
+    """The least and greatest value of a column and how many it has."""
 
-    Each pass counts equal-width buckets between the known bounds and keeps the bucket
-    that holds the k-th value, so there is no sort and only bucket counts reach the
-    driver. Every pass narrows the bounds; a few are enough for times, prices or hashes.
-    """
-    value = F.col(value) if isinstance(value, str) else value
+    low: float | int | None
+    high: float | int | None
+    n: int
+
+
+def _values(df: DataFrame, value: Column) -> tuple[DataFrame, Bounds]:
     values = df.select(value.alias("v")).where(F.col("v").isNotNull())
     low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    if not 1 <= k <= n:
-        raise ValueError(f"position {k} is outside 1..{n}")
-    below, count = 0, n
-    whole = isinstance(low, int)
+    return values, Bounds(low, high, n)
+
+
+def _narrow_to(values: DataFrame, bounds: Bounds, k: int, buckets: int) -> Position:
+    low, high, below, equal = bounds.low, bounds.high, 0, bounds.n
+    v = F.col("v")
     while low < high:
-        v = F.col("v")
-        if whole:
+        if isinstance(low, int):
             width = (high - low) // buckets + 1
             bucket = F.floor((v - F.lit(low)) / F.lit(width))
         else:
@@ -113,25 +116,38 @@ def kth_smallest(df: DataFrame, value: Column | str, k: int, buckets: int = HIST
         )
         for row in counts:
             if below + row.n >= k:
-                low, high, count = row.low, row.high, row.n
+                low, high, equal = row.low, row.high, row.n
                 break
             below += row.n
-    return Position(low, below, count)
+    return Position(low, below, equal)
+
+
+def kth_smallest(df: DataFrame, value: Column | str, k: int, buckets: int = HISTOGRAM_BUCKETS) -> Position:
+    """The k-th smallest (from 1) of a numeric column, exactly; nulls do not count.
+
+    Each pass counts equal-width buckets between the known bounds and keeps the bucket
+    that holds the k-th value, so there is no sort and only bucket counts reach the
+    driver. Every pass narrows the bounds; a few are enough for times, prices or hashes.
+    """
+    values, bounds = _values(df, F.col(value) if isinstance(value, str) else value)
+    if not 1 <= k <= bounds.n:
+        raise ValueError(f"position {k} is outside 1..{bounds.n}")
+    return _narrow_to(values, bounds, k, buckets)
 
 
 def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
     """The interpolated percentile of a numeric column; null for no values."""
-    n = df.agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))).first()[0]
-    if n == 0:
+    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    values, bounds = _values(df, number)
+    if bounds.n == 0:
         return None
-    clean = df.select(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("v"))
-    at = p * (n - 1)
-    lower = int(at)
-    left = kth_smallest(clean, "v", lower + 1)
-    if at == lower:
+    at = p * (bounds.n - 1)
+    k = int(at) + 1
+    left = _narrow_to(values, bounds, k, HISTOGRAM_BUCKETS)
+    if at == int(at) or left.below + left.equal > k:
         return left.value
-    right = left if left.below + left.equal >= lower + 2 else kth_smallest(clean, "v", lower + 2)
-    return left.value + (right.value - left.value) * (at - lower)
+    right = values.where(F.col("v") > F.lit(left.value)).agg(F.min("v")).first()[0]
+    return left.value + (right - left.value) * (at - int(at))
 
 
 def in_first(df: DataFrame, n: int, order: Column, tie: Column) -> Column:
@@ -143,14 +159,14 @@ def in_first(df: DataFrame, n: int, order: Column, tie: Column) -> Column:
     """
     if n <= 0:
         return F.lit(False)
-    known = df.agg(F.count(order)).first()[0]
-    if known >= n:
-        edge = kth_smallest(df, order, n)
+    values, bounds = _values(df, order)
+    if bounds.n >= n:
+        edge = _narrow_to(values, bounds, n, HISTOGRAM_BUCKETS)
         before = F.coalesce(order < F.lit(edge.value), F.lit(False))
         at_edge = F.coalesce(order == F.lit(edge.value), F.lit(False))
         below, equal = edge.below, edge.equal
     else:
-        before, at_edge, below = order.isNotNull(), order.isNull(), known
+        before, at_edge, below = order.isNotNull(), order.isNull(), bounds.n
         equal = df.where(at_edge).count()
     wanted = n - below
     if wanted >= equal:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,17 +19,6 @@ PREVIEW_ROWS = 10
 DICTIONARY_SHARE = 0.5
 
 
-def _text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    # Adding 0.0 makes -0.0 and 0.0 one value, as in comparisons.
-    def text(name: str):
-        c = F.col(name)
-        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-            c = c + F.lit(0.0).cast(df.schema[name].dataType)
-        return c.cast("string").alias(name)
-
-    return df.select(*[text(c) for c in columns])
-
-
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, n_missing``, in one pass."""
     columns = list(columns or df.columns)
@@ -37,32 +26,37 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return counts.unpivot([], columns, "column", "n_missing")
 
 
+def _per_column(df: DataFrame, columns: Sequence[str], measures: Callable[[str], list[Column]]) -> DataFrame:
+    """``column`` and the measures, one row per column.
+
+    Each column gets its own aggregate over a scan of that column alone: values keep their
+    type, the shuffle carries nothing else, and a columnar file is read once in total.
+    """
+    parts = [df.agg(F.lit(c).alias("column"), *measures(c)) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """``column, n_distinct`` of non-null values.
 
-    The exact form turns columns into (column, value) rows and removes repeats before and
-    after the shuffle: one scan, a narrow shuffle, and no column gathered in one task.
-    ``approx=True`` uses a sketch per column and shuffles next to nothing.
+    The exact form shuffles each column's distinct values, spread by value.
+    ``approx=True`` uses a sketch per column in one scan and shuffles next to nothing.
     """
     columns = list(columns or df.columns)
     if approx:
         counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
         return counts.unpivot([], columns, "column", "n_distinct")
-    values = _text(df, columns).unpivot([], columns, "column", "value").distinct()
-    return values.groupBy("column").agg(F.count("value").alias("n_distinct"))
+    return _per_column(df, columns, lambda c: [F.count_distinct(c).alias("n_distinct")])
 
 
 def cardinality_profile(df: DataFrame, threshold: float = DICTIONARY_SHARE) -> DataFrame:
     """Text columns with ``n_distinct, n_rows, share, use_dictionary``."""
     columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    # One row per (column, value) with its frequency, so rows are counted in the same scan.
-    values = df.select(*columns).unpivot([], columns, "column", "value")
-    counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    profile = counts.groupBy("column").agg(
-        F.count("value").alias("n_distinct"), F.sum("n").alias("n_rows")
+    counts = _per_column(
+        df, columns, lambda c: [F.count_distinct(c).alias("n_distinct"), F.count(F.lit(1)).alias("n_rows")]
     )
-    share = F.col("n_distinct") / F.col("n_rows")
-    return profile.withColumn("share", share).withColumn("use_dictionary", F.col("share") < threshold)
+    share = F.col("n_distinct") / F.nullif(F.col("n_rows"), F.lit(0))
+    return counts.withColumn("share", share).withColumn("use_dictionary", F.col("share") < threshold)
 
 
 def column_footprint(df: DataFrame) -> DataFrame:
@@ -110,9 +104,11 @@ def profile(
         position,
         missing_counts(rows).select(*_row("missing", "column", "n_missing")),
         distinct_counts(rows).select(*_row("distinct", "column", "n_distinct")),
-        _text(rows.limit(preview), rows.columns)
-        .unpivot([], rows.columns, "column", "v")
-        .select(*_row("preview", "column", "v")),
+        rows.limit(preview)
+        .select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+        .withColumn("n", F.monotonically_increasing_id() + 1)
+        .unpivot("n", rows.columns, "column", "v")
+        .select(F.concat_ws(" ", F.lit("row"), "n").alias("metric"), "column", F.col("v").alias("value")),
     ]
     tidy = reduce(DataFrame.unionByName, parts)
     return tidy.select(F.lit(path).alias("file"), "metric", "column", "value")

@@ -121,13 +121,6 @@ def merge_session_fragments(fragments: DataFrame) -> DataFrame:
     return sessions.select(*_session_columns())
 
 
-def compact_fragments(fragments: DataFrame) -> DataFrame:
-    """Fragments with their source keys merged away, at the same grain as one source."""
-    return fragments.groupBy(SESSION, "product_id").agg(
-        *[combine(name).alias(name) for name, combine in _MEASURES.items()]
-    )
-
-
 def spanning_sessions(events: DataFrame, period: Column | str) -> DataFrame:
     """Sessions with events in more than one period: ``user_session, n_periods, n_events``."""
     period = F.col(period) if isinstance(period, str) else period
