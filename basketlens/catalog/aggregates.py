@@ -96,7 +96,7 @@ def _(spark, d):
     "agg_09_merge_partials_unweighted",
     sql.retail(
         """SELECT category_id, event_type,
-        CAST(SUM(CAST(total_sales AS DECIMAL(18,2))) AS DOUBLE) AS total_sales, ROUND(AVG(avg_price), 4) AS avg_price,
+        CAST(SUM(CAST(total_sales AS DECIMAL(18,2))) AS DOUBLE) AS total_sales, SUM(CAST(round_even(avg_price * 1e6, 0) AS BIGINT)) / 1e6 / COUNT(*) AS avg_price,
         CAST(SUM(num_events) AS BIGINT) AS num_events, CAST(SUM(unique_products) AS BIGINT) AS unique_products
         FROM t GROUP BY category_id, event_type""",
         f"t AS ({sql.category_totals('category_id, event_type, month')})",
@@ -105,8 +105,7 @@ def _(spark, d):
 def _(spark, d):
     events = retail_events(spark, d, [*CATEGORY_COLUMNS, "month"])
     partials = categories.category_partials(events, ["month"])
-    merged = categories.merge_category_partials(partials, ["month"], merge="unweighted")
-    return merged.withColumn("avg_price", F.round("avg_price", 4))
+    return categories.merge_category_partials(partials, ["month"], merge="unweighted")
 
 
 @query("agg_10_session_aggregate", sql.click(sql.sessions("c")))

@@ -11,6 +11,9 @@ from ..functions.columns import cents, money, null_to_zero, parse_month_tag
 
 KEYS = ["category_id", "event_type"]
 
+# Means of means are summed in whole millionths, so that the order of rows cannot show.
+MEAN_UNITS = 1_000_000.0
+
 
 def _not_null(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     for key in keys:
@@ -87,9 +90,10 @@ def merge_category_partials(
             F.sum("num_events").alias("num_events"),
             F.count("product_id").alias("unique_products"),
         )
+        mean = money(F.col("sum_cents")) / F.col("n_rows")
         totals = per_chunk.groupBy(*by, *KEYS).agg(
             F.sum("sum_cents").alias("sum_cents"),
-            F.avg(money(F.col("sum_cents")) / F.col("n_rows")).alias("mean_of_means"),
+            (F.sum(F.rint(mean * MEAN_UNITS).cast("long")) / F.lit(MEAN_UNITS) / F.count(mean)).alias("mean_of_means"),
             F.sum("num_events").alias("num_events"),
             F.sum("unique_products").alias("unique_products"),
         )
