@@ -28,7 +28,7 @@ def format_event_time(ts: Column | str) -> Column:
 
 def month_of(ts: Column | str) -> Column:
     """``yyyy-MM`` of a timestamp."""
-    return F.left(_col(ts).cast("string"), F.lit(7))
+    return F.left(_col(ts).cast("date").cast("string"), F.lit(7))
 
 
 def day_of(ts: Column | str) -> Column:

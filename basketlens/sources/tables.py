@@ -19,7 +19,8 @@ def click_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("ts").alias("event_time"),
         F.when(F.col("event_type") == "click", "cart").otherwise(F.col("event_type")).alias("event_type"),
-        F.get_json_object("props", "$.k").cast("long").alias("product_id"),
+        # ``props`` is one flat key; a pattern reads it several times faster than a JSON parser.
+        F.regexp_extract("props", r'"k":\s*(-?\d+)', 1).try_cast("long").alias("product_id"),
         F.col("value").alias("price"),
         "user_id",
         F.concat_ws("-", F.col("user_id").cast("string"), day).alias("user_session"),

@@ -75,6 +75,41 @@ def test_encoding_checks_the_size_before_it_broadcasts(spark, sf_dir):
     assert "SortMergeJoin" in large
 
 
+def test_a_hot_value_is_split_when_encoding_by_shuffle(spark):
+    """A third of the rows share one brand and a third have none."""
+    events = spark.range(0, 300_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("b"), F.col("id").cast("string"))).alias("brand"),
+        F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+    )
+    events = stage(events, "hot-events")
+    codes = build_dictionary([events], ["brand"])
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        encoded = encode(events, codes, ["brand"], broadcast_bytes=0)
+        assert encoded.groupBy().agg(F.count("brand_code"), F.count(F.lit(1))).first()[:] == (200_000, 300_000)
+        encoded.write.format("noop").mode("overwrite").save()
+        counted = encoded.select("brand_code", "payload")
+        counted.collect()
+        assert "skew=true" in plan(counted)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_partitioned_writes_are_rebalanced(spark, sf_dir):
+    events = retail_events(spark, sf_dir, ["month", "price"])
+    assert "RebalancePartitions [month" in events.hint("rebalance", "month")._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("build", [categories.category_aggregate, categories.monthly_category_aggregate])
 def test_categories_are_spread_over_products(spark, sf_dir, build):
     events = retail_events(spark, sf_dir, ["category_id", "event_type", "product_id", "price", "month"])
