@@ -182,12 +182,43 @@ def _(spark, d):
     return materialize(spark, path, lambda: events.limit(0))
 
 
-@query("typ_10_describe")
+def _described(*rows):
+    values = ", ".join(f"({i}, '{name}', '{dtype}', true)" for i, (name, dtype) in enumerate(rows))
+    return f"""SELECT * FROM (VALUES {values}) t(position, "column", type, nullable)"""
+
+
+@query(
+    "typ_10_describe",
+    _described(
+        ("event_time", "timestamp_ntz"),
+        ("event_type", "string"),
+        ("product_id", "bigint"),
+        ("category_id", "bigint"),
+        ("category_code", "string"),
+        ("brand", "string"),
+        ("price", "double"),
+        ("user_id", "bigint"),
+        ("user_session", "string"),
+    ),
+)
 def _(spark, d):
     return describe(retail_events(spark, d))
 
 
-@query("typ_11_infer_types")
+@query(
+    "typ_11_infer_types",
+    _described(
+        ("event_time", "timestamp"),
+        ("event_type", "string"),
+        ("product_id", "int"),
+        ("category_id", "int"),
+        ("category_code", "string"),
+        ("brand", "string"),
+        ("price", "double"),
+        ("user_id", "int"),
+        ("user_session", "int"),
+    ),
+)
 def _(spark, d):
     types = infer_types(spark, retail_csv(spark, d))
     return describe(spark.read.schema(types).option("header", True).csv(retail_csv(spark, d)))

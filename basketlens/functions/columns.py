@@ -54,13 +54,18 @@ def parse_month_tag(tag: Column | str) -> Column:
     return F.left(day.cast("string"), F.lit(7))
 
 
+def known(number: Column | str) -> Column:
+    """A number as a double, NaN as null."""
+    return F.nanvl(_col(number).cast("double"), F.lit(None).cast("double"))
+
+
 def cents(price: Column | str) -> Column:
     """A price as a whole number of cents.
 
     Sums of cents are exact and independent of the order rows arrive in, and longs
     stay in the fast path of hash aggregation. NaN counts as missing.
     """
-    return F.rint(F.nanvl(_col(price).cast("double"), F.lit(None).cast("double")) * 100).cast("long")
+    return F.rint(known(price) * 100).cast("long")
 
 
 def money(total_cents: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import stage
 from ..schema import DICTIONARY_COLUMNS
 from .ordering import global_rank
 from .sampling import union_distinct
@@ -37,9 +38,11 @@ def build_dictionary(frames: Sequence[DataFrame], columns: Sequence[str] = DICTI
     ranked = global_rank(values, [F.col("column"), F.col("value")], "place")
     # One row per column.
     firsts = ranked.groupBy("column").agg(F.min("place").alias("first_place"))
-    return ranked.join(F.broadcast(firsts), "column").select(
+    codes = ranked.join(F.broadcast(firsts), "column").select(
         "column", "value", (F.col("place") - F.col("first_place")).alias("code")
     )
+    # Looked up once per column and input: store it rather than rank it each time.
+    return stage(codes, "dictionary")
 
 
 def dictionary_bytes(dictionary: DataFrame) -> dict[str, int]:

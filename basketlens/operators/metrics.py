@@ -59,7 +59,10 @@ def classification_report(scored: DataFrame, label: str = "label", prediction: s
         average("recall").alias("recall"),
         F.when(summary == "accuracy", accuracy).otherwise(average("f1")).alias("f1"),
         F.sum("support").alias("support"),
-    ).withColumnRenamed("line", "class")
+    ).withColumnRenamed("line", "class").orderBy(
+        F.when(F.col("class") == "accuracy", 1).when(F.col("class") == "macro avg", 2).when(F.col("class") == "weighted avg", 3).otherwise(0),
+        "class",
+    )
 
 
 def regression_metrics(scored: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import known
 from ..runtime import stage
 
 # Up to this many rows an ordered limit is cheap: each task keeps that many and one
@@ -137,8 +138,7 @@ def kth_smallest(df: DataFrame, value: Column | str, k: int, buckets: int = HIST
 
 def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
     """The interpolated percentile of a numeric column; null for no values."""
-    number = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    values, bounds = _values(df, number)
+    values, bounds = _values(df, known(value))
     if bounds.n == 0:
         return None
     at = p * (bounds.n - 1)

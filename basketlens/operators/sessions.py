@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, money, null_to_zero, seconds_between
+from ..functions.columns import cents, known, money, null_to_zero, seconds_between
 from ..schema import DEFAULT_LABELS, EventLabels
 
 SESSION = "user_session"
@@ -28,7 +28,7 @@ _MEASURES = {
 
 def _measures(labels: EventLabels, count_null_types: bool) -> dict[str, Column]:
     kind = F.col("event_type")
-    viewed = F.nanvl(F.when(kind == labels.view, F.col("price")), F.lit(None))
+    viewed = known(F.when(kind == labels.view, F.col("price")))
     counted = F.lit(1) if count_null_types else kind
     return {
         "first_time": F.min("event_time"),
@@ -57,7 +57,7 @@ def _session_columns(extra: Sequence[str] = (), duration: bool = True) -> list[C
     columns += [
         money(null_to_zero("spent_cents")).alias("total_spent"),
         (money(F.col("viewed_cents")) / F.nullif(F.col("n_viewed_prices"), F.lit(0))).alias("avg_price_viewed"),
-        F.col("max_price_viewed").cast("double").alias("max_price_viewed"),
+        F.col("max_price_viewed"),
         F.col("unique_products"),
     ]
     return columns

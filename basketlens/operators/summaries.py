@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, day_of, money
+from ..functions.columns import cents, day_of, known, money
 from .ordering import exact_percentile
 
 
@@ -27,7 +27,7 @@ def price_summary(events: DataFrame, exact: bool = False, accuracy: int = 10_000
     The median is a bounded-size sketch by default; ``exact=True`` finds the interpolated
     median by counting passes over the price column.
     """
-    price = F.col("price")
+    price = known("price")
     if exact:
         median = F.lit(exact_percentile(events, "price", 0.5)).cast("double")
     else:
