@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import micros_of
 from ..operators import ordering, sampling
 from ..sources.tables import click_events, retail_events
 from . import sql
@@ -29,10 +28,15 @@ def _(spark, d):
 _BY_START = "ORDER BY session_start NULLS LAST, user_session NULLS FIRST"
 
 
+@query("srt_04_first_page", sql.with_sessions("r", f"SELECT * FROM s {_BY_START} LIMIT 500 OFFSET 100"))
+def _(spark, d):
+    return ordering.page(stored_sessions(spark, d, "retail"), ordering.by_time(), 100, 500)
+
+
 @query("srt_04_page", sql.with_sessions("r", f"SELECT * FROM s {_BY_START} LIMIT 1000 OFFSET 2000"))
 def _(spark, d):
     sessions = stored_sessions(spark, d, "retail")
-    return ordering.page(sessions, micros_of("session_start"), F.col("user_session"), 2_000, 1_000)
+    return ordering.page(sessions, ordering.by_time(), 2_000, 1_000)
 
 
 @query(
@@ -46,7 +50,7 @@ def _(spark, d):
 def _(spark, d):
     sessions = stored_sessions(spark, d, "retail")
     offset = int(sessions.count() * sampling.TRAIN_FRACTION)
-    return ordering.page(sessions, micros_of("session_start"), F.col("user_session"), offset, 20_000)
+    return ordering.page(sessions, ordering.by_time(), offset, 20_000)
 
 
 @query(

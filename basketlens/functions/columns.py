@@ -113,14 +113,29 @@ def unlog_target(c: Column | str) -> Column:
     return F.expm1(_col(c))
 
 
-def hash_unit(key: Column | str, seed: int) -> Column:
-    """A long in [0, 2**60) drawn from the key and a seed.
+# Hex digits of a key's hash that are used, and how many values they take.
+HASH_DIGITS = 15
+HASH_RANGE = 16**HASH_DIGITS
 
-    A function of the key alone, so a sample or split does not change when the data
-    is partitioned differently or a task is run again.
+
+def hash_digits(key: Column | str, seed: int) -> Column:
+    """Fixed-width hex digits drawn from the key and a seed.
+
+    A function of the key alone, so a sample or split does not change when the data is
+    partitioned differently or a task is run again. Digits sort like the number they are.
     """
     text = F.concat_ws(":", F.lit(str(seed)), _col(key).cast("string"))
-    return F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long")
+    return F.left(F.md5(text), F.lit(HASH_DIGITS))
+
+
+def hash_number(digits: Column) -> Column:
+    """Hash digits as a long."""
+    return F.conv(digits, 16, 10).cast("long")
 
 
-HASH_RANGE = 1 << 60
+def hash_below(key: Column | str, seed: int, fraction: float) -> Column:
+    """True for about ``fraction`` of the keys."""
+    limit = int(fraction * HASH_RANGE)
+    if limit >= HASH_RANGE:
+        return F.lit(True)
+    return hash_digits(key, seed) < F.lit(f"{limit:0{HASH_DIGITS}x}")

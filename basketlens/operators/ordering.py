@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import known
+from ..functions.columns import hash_digits, hash_number, known, micros_of
 from ..runtime import stage
 
 # Up to this many rows an ordered limit is cheap: each task keeps that many and one
@@ -150,48 +150,99 @@ def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
     return left.value + (right - left.value) * (at - int(at))
 
 
-def in_first(df: DataFrame, n: int, order: Column, tie: Column) -> Column:
-    """A condition that holds for exactly the first ``n`` rows by ``(order, tie)``.
+@dataclass(frozen=True)
+class TotalOrder:
+    """An order of rows as three columns.
 
-    ``order`` is numeric and sorts nulls last, ``tie`` sorts nulls first, and together
-    they tell rows apart. Finding the boundary takes a few counting passes; applying the
-    condition moves no rows. Only rows tied at the boundary are ranked by ``tie``.
+    ``coarse`` takes a few thousand values, ``fine`` is a number that orders rows of equal
+    ``coarse`` (nulls last in both), and ``tie`` tells rows of equal ``fine`` apart (nulls
+    first).
+    """
+
+    coarse: Column
+    fine: Column
+    tie: Column
+
+    def columns(self) -> list[Column]:
+        return [self.coarse.asc_nulls_last(), self.fine.asc_nulls_last(), self.tie.asc_nulls_first()]
+
+
+def by_time(time: str = "session_start", tie: str = "user_session") -> TotalOrder:
+    """By a timestamp, then by ``tie``; the day is the coarse part."""
+    return TotalOrder(F.unix_date(F.col(time).cast("date")), micros_of(time), F.col(tie))
+
+
+def by_hash(key: str, seed: int) -> TotalOrder:
+    """By the hash of a key, then by the key; three hex digits are the coarse part."""
+    digits = hash_digits(key, seed)
+    return TotalOrder(F.left(digits, F.lit(3)), hash_number(digits), F.col(key))
+
+
+def _is(column: Column, value) -> Column:
+    return column.isNull() if value is None else F.coalesce(column == F.lit(value), F.lit(False))
+
+
+def _precedes(column: Column, value) -> Column:
+    # Nulls come last.
+    return column.isNotNull() if value is None else F.coalesce(column < F.lit(value), F.lit(False))
+
+
+def in_first(df: DataFrame, n: int, order: TotalOrder) -> Column:
+    """A condition that holds for exactly the first ``n`` rows by ``order``.
+
+    One pass counts the coarse values and finds the one the boundary lies in; a second
+    stores that value's keys, and the rest is decided on them. Applying the condition
+    moves no rows. ``order`` must tell rows apart.
     """
     if n <= 0:
         return F.lit(False)
-    values, bounds = _values(df, order)
-    if bounds.n >= n:
-        edge = _narrow_to(values, bounds, n, HISTOGRAM_BUCKETS)
-        before = F.coalesce(order < F.lit(edge.value), F.lit(False))
-        at_edge = F.coalesce(order == F.lit(edge.value), F.lit(False))
-        below, equal = edge.below, edge.equal
+    counts = df.groupBy(order.coarse.alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = n
+    for coarse, here in counts.orderBy(F.col("c").asc_nulls_last()).collect():
+        if wanted <= here:
+            break
+        wanted -= here
+    else:
+        return F.lit(True)
+    before, at_edge = _precedes(order.coarse, coarse), _is(order.coarse, coarse)
+    if wanted == here:
+        return before | at_edge
+    # Few rows of many partitions: write them to few files.
+    edge = df.where(at_edge).select(order.fine.alias("v"), order.tie.alias("t")).hint("rebalance")
+    return before | (at_edge & _in_first_fine(stage(edge, "boundary"), wanted, order))
+
+
+def _in_first_fine(edge: DataFrame, n: int, order: TotalOrder) -> Column:
+    values, bounds = _values(edge, F.col("v"))
+    if n <= bounds.n:
+        found = _narrow_to(values, bounds, n, HISTOGRAM_BUCKETS)
+        fine, wanted, here = found.value, n - found.below, found.equal
     else:
-        before, at_edge, below = order.isNotNull(), order.isNull(), bounds.n
-        equal = df.where(at_edge).count()
-    wanted = n - below
-    if wanted >= equal:
+        fine, wanted = None, n - bounds.n
+        here = edge.where("v IS NULL").count()
+    before, at_edge = _precedes(order.fine, fine), _is(order.fine, fine)
+    if wanted == here:
         return before | at_edge
-    tied = df.where(at_edge).select(tie.alias("t"))
+    tied = edge.where(_is(F.col("v"), fine)).select("t")
     first = F.col("t").asc_nulls_first()
-    if equal <= TOP_ROWS:
+    if here <= TOP_ROWS:
         last = tied.orderBy(first).offset(wanted - 1).limit(1)
     else:
         last = global_rank(tied, [first]).where(F.col("rank") == wanted)
     last = last.first().t
-    up_to = tie.isNull() if last is None else (tie.isNull() | (tie <= F.lit(last)))
+    up_to = order.tie.isNull() if last is None else (order.tie.isNull() | (order.tie <= F.lit(last)))
     return before | (at_edge & up_to)
 
 
-def page(df: DataFrame, order: Column, tie: Column, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset + 1 .. offset + limit`` of the order (nulls of ``order`` last).
+def page(df: DataFrame, order: TotalOrder, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset + 1 .. offset + limit`` of the order.
 
     A deep page is cut out by its two boundaries; an ordered offset would send
     everything before the page through one task.
     """
     if offset + limit <= TOP_ROWS:
-        return df.orderBy(order.asc_nulls_last(), tie.asc_nulls_first()).offset(offset).limit(limit)
-    end = in_first(df, offset + limit, order, tie)
-    return df.where(end & ~in_first(df, offset, order, tie))
+        return df.orderBy(*order.columns()).offset(offset).limit(limit)
+    return df.where(in_first(df, offset + limit, order) & ~in_first(df, offset, order))
 
 
 def numbered_pages(df: DataFrame, order: Order, size: int) -> DataFrame:

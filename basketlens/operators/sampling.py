@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.columns import HASH_RANGE, hash_unit, micros_of
-from .ordering import in_first
+from ..functions.columns import hash_below
+from .ordering import by_hash, by_time, in_first
 
 # The sampling and split settings used by the training jobs.
 SEED = 42
@@ -24,7 +23,7 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = SEED, key: Colum
     """
     if key is None:
         return df.sample(fraction=fraction, seed=seed)
-    return df.where(hash_unit(key, seed) < F.lit(int(fraction * HASH_RANGE)))
+    return df.where(hash_below(key, seed, fraction))
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
@@ -33,12 +32,12 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
     The rows with the smallest key hashes. The cut-off hash is found by counting passes,
     so no task holds the sample, however large. ``key`` must be unique.
     """
-    return df.where(in_first(df, n, hash_unit(key, seed), F.col(key)))
+    return df.where(in_first(df, n, by_hash(key, seed)))
 
 
 def random_split(df: DataFrame, fraction: float, key: Column | str, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(about ``fraction`` of the rows, the rest), decided by the key's hash."""
-    inside = hash_unit(key, seed) < F.lit(int(fraction * HASH_RANGE))
+    inside = hash_below(key, seed, fraction)
     return df.where(inside), df.where(~inside)
 
 
@@ -51,14 +50,14 @@ def time_split_column(
 ) -> Column:
     """True for the first ``floor(fraction * rows)`` rows by ``(time, tie)``."""
     n_rows = df.count() if n_rows is None else n_rows
-    return in_first(df, int(n_rows * fraction), micros_of(time), F.col(tie))
+    return in_first(df, int(n_rows * fraction), by_time(time, tie))
 
 
 def time_split(df: DataFrame, fraction: float = TRAIN_FRACTION, **options) -> tuple[DataFrame, DataFrame]:
     """(train, test) by time: the first ``floor(fraction * rows)`` rows, and the rest.
 
     Equal times are ordered by the session, so the split is the same on every run. ``df``
-    is read a few times: pass a stored table, not a long computation. The split itself is
+    is read twice: pass a stored table, not a long computation. The split itself is
     a filter and moves no rows.
     """
     early = time_split_column(df, fraction, **options)

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import micros_of
-from .ordering import in_first
+from .ordering import by_time, in_first
 
 
 def first_rows(df: DataFrame, n: int, time: str = "session_start", tie: str = "user_session") -> DataFrame:
     """The earliest ``n`` rows, to fit a scaler on those alone."""
-    return df.where(in_first(df, n, micros_of(time), F.col(tie)))
+    return df.where(in_first(df, n, by_time(time, tie)))
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:

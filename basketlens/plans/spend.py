@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.columns import hash_below
 from ..functions.features import featurize, select_features
 from ..learning.models import (
     BOOSTING_ROUNDS,
@@ -23,7 +23,6 @@ from ..learning.models import (
 )
 from ..operators.metrics import regression_metrics
 from ..operators.sampling import SAMPLE_SESSIONS, SEED, TRAIN_FRACTION, sample_n
-from ..functions.columns import HASH_RANGE, hash_unit
 from ..operators.sessions import SESSION, session_aggregate
 from ..runtime import stage
 from ..schema import DEFAULT_LABELS, EventLabels
@@ -60,7 +59,7 @@ def train_spend(
     if sample is not None:
         table = sample_n(table, sample, key)
     table = with_target(select_features(table, features, key, schema.SPEND_TARGET))
-    test = hash_unit(key, SEED + 1) >= F.lit(int(TRAIN_FRACTION * HASH_RANGE))
+    test = ~hash_below(key, SEED + 1, TRAIN_FRACTION)
     # A small sample of a large table: few even files instead of one per scanned split.
     table = stage(table.withColumn("is_test", test).hint("rebalance"), "spend-sample")
     held_out = table.where("is_test")

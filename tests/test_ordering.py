@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import statistics
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from basketlens.operators import ordering, sampling
-from basketlens.operators.ordering import exact_percentile, global_rank, in_first, kth_smallest
+from basketlens.operators.ordering import TotalOrder, exact_percentile, global_rank, in_first, kth_smallest
 
 few = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -57,15 +58,28 @@ def test_first_rows(spark, starts, data):
     n = data.draw(st.integers(0, len(starts) + 1))
     rows = [(s, None if i == 0 else f"k{i:02d}") for i, s in enumerate(starts)]
     df = spark.createDataFrame(rows, "start bigint, key string")
-    found = df.where(in_first(df, n, F.col("start"), F.col("key"))).collect()
+    order = TotalOrder(F.floor(F.col("start") / 2), F.col("start"), F.col("key"))
+    found = df.where(in_first(df, n, order)).collect()
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
     assert {tuple(r) for r in found} == set(order[:n])
 
 
+@few
+@given(seconds=st.lists(st.one_of(st.none(), st.integers(-200_000, 200_000)), min_size=1, max_size=30), data=st.data())
+def test_first_rows_by_time(spark, seconds, data):
+    n = data.draw(st.integers(1, len(seconds)))
+    epoch = dt.datetime(1970, 1, 1)
+    rows = [(None if s is None else epoch + dt.timedelta(seconds=s, microseconds=i % 2), f"k{i:02d}") for i, s in enumerate(seconds)]
+    df = spark.createDataFrame(rows, "session_start timestamp_ntz, user_session string")
+    found = {tuple(r) for r in df.where(in_first(df, n, ordering.by_time())).collect()}
+    assert found == set(sorted(rows, key=lambda r: (r[0] is None, r[0] or epoch, r[1]))[:n])
+
+
 def test_first_rows_with_many_ties(spark, monkeypatch):
     monkeypatch.setattr(ordering, "TOP_ROWS", 10)
     df = spark.range(500).select(F.lit(7).alias("start"), F.format_string("%04d", "id").alias("key"))
-    found = df.where(in_first(df, 123, F.col("start"), F.col("key"))).orderBy("key").collect()
+    order = TotalOrder(F.col("start"), F.col("start"), F.col("key"))
+    found = df.where(in_first(df, 123, order)).orderBy("key").collect()
     assert [r.key for r in found] == [f"{i:04d}" for i in range(123)]
 
 
@@ -77,10 +91,11 @@ def test_global_rank(spark):
 
 def test_pages_cover_everything(spark, monkeypatch):
     df = spark.range(95).select((F.col("id") % 3).alias("start"), F.format_string("%03d", "id").alias("key"))
+    by_start = TotalOrder(F.col("start") * 0, F.col("start"), F.col("key"))
     order = sorted((tuple(r) for r in df.collect()))
     for top in (1000, 5):
         monkeypatch.setattr(ordering, "TOP_ROWS", top)
-        pages = [ordering.page(df, F.col("start"), F.col("key"), o, 20).collect() for o in range(0, 100, 20)]
+        pages = [ordering.page(df, by_start, o, 20).collect() for o in range(0, 100, 20)]
         assert [sorted(map(tuple, p)) for p in pages] == [order[o : o + 20] for o in range(0, 100, 20)]
     numbered = ordering.numbered_pages(df, [F.col("start"), F.col("key")], 20)
     assert rows_of(numbered.groupBy("page").count()) == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 15)]
