@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.columns import month_of
 from ..operators import categories, sessions, summaries
 from ..operators.sampling import union_all, union_distinct

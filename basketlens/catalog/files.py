@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import format_event_time, month_of
+from ..functions.columns import format_event_time
 from ..operators import categories, profile, sessions
 from ..operators.ordering import head_rows
-from ..operators.summaries import event_type_counts, row_counts, top_values
+from ..operators.summaries import event_type_counts, row_counts
 from ..operators.typing import describe
-from ..runtime import scratch_path, shared_root
-from ..schema import CATEGORY_TOTALS, EVENT_COLUMNS, RAW_EVENTS
+from ..runtime import scratch_path
+from ..schema import CATEGORY_TOTALS, EVENT_COLUMNS
 from ..sinks import convert_csv, materialize, write_csv, write_parquet
 from ..sources import files
 from ..sources.events import (
@@ -18,7 +18,6 @@ from ..sources.events import (
     read_category_csv,
     read_events_csv,
     read_events_parquet,
-    read_raw_csv,
     split_quarantine,
     with_source_tag,
 )
@@ -159,6 +158,13 @@ def _(spark, d):
     return read_events_parquet(spark, path)
 
 
+@query("snk_02_convert_csv_by_month", sql.retail(f"SELECT {NARROW_LIST}, month FROM r"))
+def _(spark, d):
+    path = scratch_path(spark, "converted")
+    convert_csv(spark, retail_monthly_csv(spark, d), path, month_pattern=MONTH_FOLDER, glob="*.csv")
+    return read_events_parquet(spark, path).withColumn("month", F.left(F.col("month").cast("string"), F.lit(7)))
+
+
 @query("snk_03_session_table", sql.click(sql.sessions("c")))
 def _(spark, d):
     path = scratch_path(spark, "session-table")

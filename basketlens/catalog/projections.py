@@ -54,7 +54,7 @@ def _(spark, d):
 
 @query(
     "prj_05_duration",
-    sql.with_sessions("c", "SELECT user_session, COALESCE(EXTRACT('epoch' FROM session_end - session_start), 0) AS session_duration FROM s"),
+    sql.with_sessions("c", f"SELECT user_session, COALESCE({sql.seconds('session_start', 'session_end')}, 0) AS session_duration FROM s"),
 )
 def _(spark, d):
     return features.with_duration(stored_sessions(spark, d, "click")).select("user_session", "session_duration")

@@ -29,20 +29,21 @@ def sessions(view: str, by: str = "", price: str = "price", where: str = "", tot
     """SELECT of the session table over a view."""
     keys = f"{by}, user_session" if by else "user_session"
     exact = f"CAST({price} AS DECIMAL(18,2))"
-    length = "EXTRACT('epoch' FROM MAX(event_time) - MIN(event_time)) AS session_duration," if duration else ""
-    return f"""SELECT {keys}, MIN(event_time) AS session_start, MAX(event_time) AS session_end, {length}
-  {total} AS total_events,
-  CAST(SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS n_views,
-  CAST(SUM(CASE WHEN event_type = 'cart' THEN 1 ELSE 0 END) AS BIGINT) AS n_add_to_cart,
-  CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n_purchases,
-  CAST(SUM(CASE WHEN event_type = 'purchase' THEN {exact} ELSE 0 END) AS DOUBLE) AS total_spent,
-  CAST(SUM(CASE WHEN event_type = 'view' THEN {exact} END) AS DOUBLE)
-    / NULLIF(COUNT(CASE WHEN event_type = 'view' THEN price END), 0) AS avg_price_viewed,
-  CAST(MAX(CASE WHEN event_type = 'view' THEN {price} END) AS DOUBLE) AS max_price_viewed,
-  COUNT(DISTINCT product_id) AS unique_products
+    length = f"{seconds('MIN(event_time)', 'MAX(event_time)')} AS session_duration," if duration else ""
+    views, carts, purchases = (f"FILTER (WHERE event_type = '{t}')" for t in ("view", "cart", "purchase"))
+    return f"""SELECT {keys}, {length} {total} AS total_events, COUNT(DISTINCT product_id) AS unique_products,
+  MIN(event_time) AS session_start, MAX(event_time) AS session_end,
+  COUNT(*) {views} AS n_views, COUNT(*) {carts} AS n_add_to_cart, COUNT(*) {purchases} AS n_purchases,
+  CAST(COALESCE(SUM({exact}) {purchases}, 0) AS DOUBLE) AS total_spent,
+  CAST(SUM({exact}) {views} AS DOUBLE) / NULLIF(COUNT(price) {views}, 0) AS avg_price_viewed,
+  CAST(MAX({price}) {views} AS DOUBLE) AS max_price_viewed
 FROM {view} {where} GROUP BY {keys}"""
 
 
+def seconds(start: str, end: str) -> str:
+    return f"(epoch_us({end}) - epoch_us({start})) / 1e6"
+
+
 def with_sessions(view: str, select: str, more: str = "") -> str:
     """``select`` over ``s``, the session table of ``c`` or ``r``; ``more`` adds CTEs."""
     base = CLICK if view == "c" else RETAIL

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -100,14 +101,19 @@ def _values(df: DataFrame, value: Column) -> tuple[DataFrame, Bounds]:
 
 def _narrow_to(values: DataFrame, bounds: Bounds, k: int, buckets: int) -> Position:
     low, high, below, equal = bounds.low, bounds.high, 0, bounds.n
+    if math.isinf(low) or math.isinf(high):
+        raise ValueError("infinite values have no buckets")
     v = F.col("v")
     while low < high:
         if isinstance(low, int):
             width = (high - low) // buckets + 1
             bucket = F.floor((v - F.lit(low)) / F.lit(width))
         else:
-            width = (high - low) / buckets
-            bucket = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(buckets - 1))
+            width = high / buckets - low / buckets
+            if width > 0:
+                bucket = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(buckets - 1))
+            else:
+                bucket = (v > F.lit(low)).cast("int")
         counts = (
             values.where(v.between(low, high))
             .groupBy(bucket.alias("b"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.columns import format_event_time
 from ..operators.typing import NARROW_EVENTS, narrow
 from ..runtime import path_exists
-from ..sources.events import read_events_csv
+from ..sources.events import read_events_csv, with_source_tag
 
 
 def write_parquet(
@@ -47,9 +47,23 @@ def write_events_csv(events: DataFrame, path: str, partition_by: Sequence[str] =
         write_csv(text, path, **options)
 
 
-def convert_csv(spark: SparkSession, source: str, target: str, types: Mapping[str, str] = NARROW_EVENTS, **options) -> None:
-    """Event CSV files to one typed Parquet table under one fixed schema."""
-    write_parquet(narrow(read_events_csv(spark, source, **options), types), target)
+def convert_csv(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    types: Mapping[str, str] = NARROW_EVENTS,
+    month_pattern: str | None = None,
+    **options,
+) -> None:
+    """Event CSV files to one typed Parquet table under one fixed schema.
+
+    ``month_pattern`` takes the month out of each file's path and gives each its folder.
+    """
+    events = narrow(read_events_csv(spark, source, **options), types)
+    if month_pattern is None:
+        write_parquet(events, target)
+    else:
+        write_parquet(with_source_tag(events, month_pattern), target, partition_by=["month"])
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -26,7 +26,10 @@ BATCH = "batch_id"
 def stream_events_csv(
     spark: SparkSession, path: str, max_files: int | None = None, glob: str = "*.csv"
 ) -> DataFrame:
-    """New event CSV files below ``path`` as a stream with typed times."""
+    """New event CSV files below ``path`` as a stream with typed times.
+
+    ``max_files`` bounds a micro-batch; without it the first one takes everything there is.
+    """
     reader = (
         spark.readStream.schema(schema.RAW_EVENTS)
         .option("header", True)

@@ -35,6 +35,17 @@ def test_kth_of_doubles(spark, values, data):
     assert found.value == sorted(values)[k - 1]
 
 
+@pytest.mark.parametrize("values", [[-1.7e308, 0.0, 1.7e308], [0.0, 5e-324, 1e-323], [1e16, 1e16 + 2, 1e16 + 4], [-0.0, 0.0, 0.0]])
+def test_kth_of_extreme_doubles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [kth_smallest(df, "v", k).value for k in (1, 2, 3)] == values
+
+
+def test_kth_refuses_infinities(spark):
+    with pytest.raises(ValueError):
+        kth_smallest(spark.createDataFrame([(1.0,), (float("inf"),)], "v double"), "v", 1)
+
+
 def test_kth_out_of_range(spark):
     with pytest.raises(ValueError):
         kth_smallest(spark.createDataFrame([(1,), (None,)], "v bigint"), "v", 2)

@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from basketlens import schema
@@ -51,6 +53,35 @@ def test_hand_made_sessions(events):
     assert (c.session_duration, c.avg_price_viewed, c.max_price_viewed) == (None, None, None)
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(
+        st.tuples(
+            st.integers(0, 5), st.sampled_from(["view", "cart", "purchase", "error", None]), st.one_of(st.none(), st.integers(1, 3)),
+            st.one_of(st.none(), st.integers(0, 99_999)), st.sampled_from(["a", "b", None]),
+        ),
+        max_size=40,
+    )
+)
+def test_against_plain_python(spark, rows):
+    df = spark.createDataFrame(
+        [(at(h), kind, product, 1, None if c is None else c / 100, key) for h, kind, product, c, key in rows], EVENT
+    ).repartition(4)
+    want = {}
+    for key in {r[4] for r in rows}:
+        mine = [r for r in rows if r[4] == key]
+        views = [r[3] for r in mine if r[1] == "view" and r[3] is not None]
+        spent = [r[3] for r in mine if r[1] == "purchase" and r[3] is not None]
+        want[key] = (
+            at(min(r[0] for r in mine)), at(max(r[0] for r in mine)), len(mine),
+            *[sum(r[1] == t for r in mine) for t in ("view", "cart", "purchase")],
+            sum(spent) / 100, sum(views) / 100 / len(views) if views else None, max(views) / 100 if views else None,
+            len({r[2] for r in mine} - {None}),
+        )
+    found = {r.user_session: tuple(r)[1:3] + tuple(r)[4:] for r in sessions.session_aggregate(df).collect()}
+    assert found == want
+
+
 def test_schema(events):
     found = sessions.session_aggregate(events).schema
     assert [(f.name, f.dataType) for f in found] == [(f.name, f.dataType) for f in schema.SESSIONS]
