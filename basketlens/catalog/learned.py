@@ -265,7 +265,7 @@ def _(spark, d):
 _CODES = """dict AS (SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS code FROM (
   SELECT 'event_type' AS "column", event_type AS value FROM r UNION SELECT 'category_code', category_code FROM r
   UNION SELECT 'brand', brand FROM r) WHERE value IS NOT NULL)"""
-_CODE = "(SELECT CAST(code AS INTEGER) FROM dict WHERE \"column\" = '{c}' AND value = r.{c}) AS {c}_code"
+_CODE = "(SELECT CAST(code AS DOUBLE) FROM dict WHERE \"column\" = '{c}' AND value = r.{c}) AS {c}_code"
 
 
 @query(
@@ -282,4 +282,5 @@ def _(spark, d):
     sources = [f"{folder}/month=199*", f"{folder}/month=200*"]
     targets = [scratch_path(spark, "encoded"), scratch_path(spark, "encoded")]
     dictionary_build.build(spark, sources, targets)
-    return spark.read.parquet(*targets)
+    encoded = spark.read.parquet(*targets)
+    return encoded.withColumns({f"{c}_code": F.col(f"{c}_code").cast("double") for c in schema.DICTIONARY_COLUMNS})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import format_event_time, parse_event_time
 from ..operators import dictionary, profile, typing
-from ..schema import EVENT_COLUMNS
+from ..schema import DICTIONARY_COLUMNS, EVENT_COLUMNS
 from ..sources.tables import click_events, retail_events
 from . import sql
 from .registry import query
@@ -36,12 +36,14 @@ def _numbered(spark, d):
 @query(
     "typ_02_narrow",
     sql.retail(
-        """SELECT user_session, price, TRY_CAST(CAST(user_session AS BIGINT) AS SMALLINT) AS session_no,
-        TRY_CAST(product_id AS TINYINT) AS product_id FROM r"""
+        """SELECT user_session, price, CAST(TRY_CAST(CAST(user_session AS BIGINT) AS SMALLINT) AS DOUBLE) AS session_no,
+        CAST(TRY_CAST(product_id AS TINYINT) AS DOUBLE) AS product_id FROM r"""
     ),
 )
 def _(spark, d):
-    return typing.narrow(_numbered(spark, d), _NARROW)
+    # Shown as doubles: a nullable integer has no plain form outside Spark.
+    narrowed = typing.narrow(_numbered(spark, d), _NARROW)
+    return narrowed.withColumns({c: F.col(c).cast("double") for c in _NARROW})
 
 
 @query(
@@ -127,13 +129,14 @@ def _(spark, d):
 @query(
     "typ_06_apply_types",
     sql.click(
-        """SELECT event_time, event_type, CAST(product_id AS TINYINT) AS product_id, CAST(price AS FLOAT) AS price,
-        CAST(user_id AS SMALLINT) AS user_id, user_session FROM c"""
+        "SELECT event_time, event_type, product_id, CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, user_id, user_session FROM c"
     ),
 )
 def _(spark, d):
     events = click_events(spark, d)
-    return typing.apply_types(events, typing.suggest_types(events))
+    narrow = typing.apply_types(events, typing.suggest_types(events))
+    # Widened again: which types fit depends on the tables, that nothing is lost does not.
+    return narrow.select(*[F.col(c).cast(t).alias(c) for c, t in events.dtypes])
 
 
 _DICTIONARY = """v AS (
@@ -155,7 +158,7 @@ def _(spark, d):
     return dictionary.build_dictionary(_sources(spark, d))
 
 
-_CODE = "(SELECT CAST(code AS INTEGER) FROM dict WHERE \"column\" = '{c}' AND value = r.{c}) AS {c}_code"
+_CODE = "(SELECT CAST(code AS DOUBLE) FROM dict WHERE \"column\" = '{c}' AND value = r.{c}) AS {c}_code"
 
 
 @query(
@@ -167,7 +170,8 @@ _CODE = "(SELECT CAST(code AS INTEGER) FROM dict WHERE \"column\" = '{c}' AND va
 )
 def _(spark, d):
     sources = _sources(spark, d)
-    return dictionary.encode(sources[0], dictionary.build_dictionary(sources))
+    encoded = dictionary.encode(sources[0], dictionary.build_dictionary(sources))
+    return encoded.withColumns({f"{c}_code": F.col(f"{c}_code").cast("double") for c in DICTIONARY_COLUMNS})
 
 
 @query("typ_09_decode", sql.retail(f"SELECT {sql.EVENT_LIST} FROM r"))
