@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.registry import Query
 from ..runtime import configure, stage
-from . import bpe, line_dedup, mixing, near_dedup, outliers
+from . import bpe, licenses, line_dedup, mixing, near_dedup, outliers, passage_dedup, secrets, sql, suffix_dedup, topk
 from .text import prepare
 
 QUERIES: dict[str, Query] = {}
@@ -47,37 +47,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table, outliers.fit(table), "doc_id", *outliers.COUNTS)
 
 
-_UNIFORM = "('0x' || substr(md5({}), 1, 13))::UBIGINT::DOUBLE / 4503599627370496"
-
-
-@query(
-    "op3_source_mixing",
-    f"""
-    WITH RECURSIVE mass AS (SELECT source, sum(length(text))::DOUBLE AS chars FROM documents GROUP BY source HAVING sum(length(text)) > 0),
-    rates AS (
-        SELECT source, (SELECT sum(chars) FROM mass) * (sqrt(chars) / (SELECT sum(sqrt(chars)) FROM mass)) / chars AS rate FROM mass),
-    parts AS (SELECT source, greatest(1, ceil(rate / 16))::INT AS chunks, rate / greatest(1, ceil(rate / 16)) AS mean FROM rates),
-    cdf AS (
-        SELECT source, 0 AS k, mean, exp(-mean) AS p, exp(-mean) AS total FROM parts
-        UNION ALL
-        SELECT source, k + 1, mean, p * mean / (k + 1), total + p * mean / (k + 1) FROM cdf WHERE k < 96),
-    draws AS (
-        SELECT doc_id, d.source, {_UNIFORM.format("'mix-1|' || doc_id || '|' || c")} AS u
-        FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, unnest(range(1, p.chunks + 1)) AS t(c)),
-    counts AS (
-        SELECT d.doc_id, d.source, count(*) AS copies
-        FROM draws d JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.total <= d.u GROUP BY ALL)
-    SELECT doc_id, source, copy::INT AS copy, {_UNIFORM.format("'mix-1|order|' || doc_id || '|' || copy")} AS "order"
-    FROM counts, unnest(range(1, copies + 1)) AS t(copy)
-    """,
-)
+@query("op2_lyndon_suffix_dedup", sql.SUBSTRINGS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(documents(spark, sf_dir)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op3_source_mixing", sql.MIXING)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = mixing.shuffled(mixing.replicate(docs, mixing.rates(docs)).select("row.doc_id", "row.source", "copy", "order"))
     return rows.select("doc_id", "source", "copy", "order")
 
 
-@query("op4_odd_sketch_near_dedup")
+@query("op4_odd_sketch_near_dedup", sql.NEAR)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -87,7 +69,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), tokenizer_path(), ["doc_id"], bpe.digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+@query("op6_threshold_top_k", sql.TOP_K)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
+@query("op7_license_diagonals", sql.LICENSES)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query("op8_relative_lz_passages", sql.PASSAGES)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.removed_passages(documents(spark, sf_dir)).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op9_line_chunk_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.removed_lines(documents(spark, sf_dir))
     return found.select("row.doc_id", "n_chunks", "n_bytes", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_linked_secrets", sql.SECRETS)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stage(secrets.scanned(documents(spark, sf_dir), "row.doc_id"), "secret-spans")
+    spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    return secrets.report(found, "doc_id").withColumn("spans", spans)
