@@ -66,9 +66,11 @@ def difference(df, con, sql: str) -> str | None:
 
 
 def main() -> int:
-    from basketlens.catalog import ORACLES, QUERIES
+    import __spark_entry__
     from basketlens.runtime import build_session
 
+    ORACLES, QUERIES = __spark_entry__.oracle_sql(), __spark_entry__.queries()
+
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     parts = sys.argv[2:]
     spark = build_session(
