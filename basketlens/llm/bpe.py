@@ -1,10 +1,10 @@
 """BPE by a table of distinct words.
 
-Tasks split their texts into words and write blocks: the block's distinct words, and every text as
-numbers of them. The words of all blocks are brought together by word, each distinct word is encoded
-once, and the ids go back to the block and position they came from. The block's distinct ids are
-joined with the vocabulary for their pieces; ids and pieces of a text are then read off its numbers.
-Only distinct words of a block are shuffled, never texts; a word in every text is one row a block.
+Tasks split their texts into words and write blocks: every text as numbers of the block's distinct words,
+and these words by buckets of their hash. Buckets are brought together from all blocks, and in its bucket each
+distinct word is encoded once. The ids go back to the block and are joined there by bucket and position. The block's
+distinct ids are joined with the vocabulary for their pieces; ids and pieces of a text are then read off its numbers.
+Only distinct words of a block are shuffled, never texts; a word in every text is one entry a block.
 
 The vocabulary has a fixed size and is broadcast. Its file is read from a path all machines have.
 Null texts count as empty and have no ids. Every row of the input gives one row. A text of any
@@ -18,6 +18,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from .text import prepare
 
 BLOCK_BYTES = 32 << 20
 WORDS_AT_ONCE = 4096
+WORDS_OUT = 100_000
 #: The tokenizer's word pattern, with white space written out for texts below U+0250.
 _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 
@@ -98,17 +100,34 @@ def encode_words(found: list[str], path: str) -> list[list[int]]:
 
 def _blocks_schema(docs: DataFrame, names: list[str]) -> T.StructType:
     row = T.StructType([docs.schema[n] for n in names])
+    bucket = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("words", T.StringType())])
     return T.StructType([
         T.StructField("block", T.LongType()),
         T.StructField("rows", T.ArrayType(row)),
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
         T.StructField("numbers", T.ArrayType(T.IntegerType())),
-        T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("buckets", T.ArrayType(bucket)),
     ])
 
 
-def blocks(docs: DataFrame, path: str, names: list[str]) -> DataFrame:
-    """A row per block: ``names`` of its rows, words per row, word numbers, distinct words."""
+def _by_bucket(found: list[str], n: int) -> tuple[np.ndarray, pa.Array]:
+    """The place of each word when they are ordered by bucket, and the buckets that have words."""
+    bucket = np.fromiter((crc32(w.encode()) % n for w in found), np.int32, len(found))
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(found), np.int32)
+    place[order] = np.arange(len(found), dtype=np.int32)
+    some, first = np.unique(bucket[order], return_index=True)
+    ends = [*first[1:].tolist(), len(found)]
+    listed = order.tolist()
+    lines = ["\n".join([found[k] for k in listed[a:b]]) for a, b in zip(first.tolist(), ends)]  # no words: no buckets
+    return place, pa.StructArray.from_arrays([pa.array(some, pa.int32()), pa.array(lines, pa.string())], names=["bucket", "words"])
+
+
+def blocks(docs: DataFrame, path: str, names: list[str], n_buckets: int) -> DataFrame:
+    """A row per block: ``names`` of its rows, words per row, word numbers, distinct words by bucket.
+
+    Words are numbered in the order of buckets. No word has white space in it: lines separate them.
+    """
     schema = _blocks_schema(docs, names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,19 +141,21 @@ def blocks(docs: DataFrame, path: str, names: list[str]) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             whole = pa.concat_arrays(rows).cast(types.field("rows").type.value_type)
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+            place, buckets = _by_bucket(list(table), n_buckets)
+            flat = place[np.concatenate(numbers)]
             listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            columns = [pa.array([base + made]), listed(whole), listed(pa.array(sizes, pa.int32())), listed(pa.array(flat)), listed(pa.array(list(table), pa.string()))]
+            columns = [pa.array([base + made]), listed(whole), listed(pa.array(sizes, pa.int32())), listed(pa.array(flat)), listed(buckets)]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             begun = 0
-            for k, text in enumerate(texts.to_pylist()):
-                found = split_words(text or "", path)
+            for k, text in enumerate(texts):
+                text = text.as_py() or ""
+                found = split_words(text, path)
                 numbers.append(np.fromiter(map(table.__getitem__, found), np.int32, len(found)))
                 sizes.append(len(found))
-                held += len(text or "")
+                held += len(text)
                 if held >= BLOCK_BYTES:
                     rows.append(_rows(batch, begun, k + 1, names))
                     yield block()
@@ -154,27 +175,27 @@ def _rows(batch: pa.RecordBatch, start: int, end: int, names: list[str]) -> pa.S
     return pa.StructArray.from_arrays([part.column(part.schema.get_field_index(n)) for n in names], names=names)
 
 
-def _encoded(sorted_words: DataFrame, path: str) -> DataFrame:
-    """(block, pos, ids), from (word, block, pos) with equal words next to each other."""
-    schema = "block bigint, pos int, ids array<int>"
+def _encoded(buckets: DataFrame, path: str) -> DataFrame:
+    """(block, bucket, counts, ids), from (bucket, block, words) with a bucket's rows next to each other."""
+    schema = "block bigint, bucket int, counts array<int>, ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str, list[int]] = ("", [])
+        at, table = None, {}  # the distinct words of this bucket, and their ids
         for batch in batches:
-            column = batch.column(0).dictionary_encode()
-            distinct = column.dictionary.to_pylist()
-            ids: list[list[int]] = []
-            fresh = distinct[1:] if distinct and distinct[0] == last[0] else distinct
-            for k in range(0, len(fresh), WORDS_AT_ONCE):
-                ids += encode_words(fresh[k : k + WORDS_AT_ONCE], path)
-            if len(fresh) < len(distinct):
-                ids.insert(0, last[1])
-            if distinct:
-                last = (distinct[-1], ids[-1])
-            table = pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), table.take(column.indices)], names=["block", "pos", "ids"])
-
-    return sorted_words.mapInArrow(encode, schema)
+            for bucket, block, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != at:
+                    at, table = bucket, {}
+                found = lines.split("\n")
+                fresh = [w for w in found if w not in table]
+                for k in range(0, len(fresh), WORDS_AT_ONCE):
+                    part = fresh[k : k + WORDS_AT_ONCE]
+                    table.update(zip(part, (np.array(i, np.int32) for i in encode_words(part, path)), strict=True))
+                ids = [table[w] for w in found]
+                counts = pa.array(np.fromiter(map(len, ids), np.int32, len(ids)))
+                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), one(counts), one(pa.array(np.concatenate(ids)))], names=["block", "bucket", "counts", "ids"])
+
+    return buckets.mapInArrow(encode, schema)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -196,13 +217,14 @@ def encode(docs: DataFrame, path: str, names: list[str], finish, schema: str) ->
     returns a tuple with the values of ``schema``.
     """
     spark = prepare(docs.sparkSession)
-    stored = _stored(blocks(docs, path, names), "blocks")
-    exploded = stored.select("block", F.posexplode("words").alias("pos", "word")).select("word", "block", "pos")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded = _encoded(exploded.repartition(n, "word").sortWithinPartitions("word"), path)
-    tables = encoded.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("entries"))
-    tables = _stored(tables.select("block", F.transform("entries", lambda e: e["ids"]).alias("table")), "word-ids")
-    used = tables.select("block", F.explode(F.array_distinct(F.flatten("table"))).alias("id"))
+    stored = _stored(blocks(docs, path, names, n), "blocks")
+    buckets = stored.select("block", F.inline("buckets")).select("bucket", "block", "words")
+    encoded = _encoded(buckets.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket"), path)
+    tables = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "ids"))).alias("entries"))
+    counts, ids = F.transform("entries", lambda e: e["counts"]), F.transform("entries", lambda e: e["ids"])
+    tables = _stored(tables.select("block", F.flatten(counts).alias("counts"), F.flatten(ids).alias("ids")), "word-ids")
+    used = tables.select("block", F.explode(F.array_distinct("ids")).alias("id"))
     pieces = used.join(F.broadcast(vocabulary(spark, path)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
     whole = stored.select("block", "rows", "sizes", "numbers").join(tables, "block", "left").join(pieces, "block", "left")
     row = T.StructType([docs.schema[c] for c in names])
@@ -217,25 +239,38 @@ def encode(docs: DataFrame, path: str, names: list[str], finish, schema: str) ->
                 get = lambda name, k=k, batch=batch: batch.column(batch.schema.get_field_index(name))[k].values
                 rows, sizes = get("rows"), get("sizes").to_numpy()
                 numbers = get("numbers").to_numpy()
-                table, known = get("table"), get("pieces")
-                flat = table.flatten().to_numpy() if table is not None else np.zeros(0, np.int32)
-                counts = table.value_lengths().to_numpy().astype(np.int64) if table is not None else np.zeros(0, np.int64)
+                known = get("pieces")
+                flat, counts = (a.to_numpy() if (a := get(c)) is not None else np.zeros(0, np.int32) for c in ("ids", "counts"))
+                counts = counts.astype(np.int64)
                 piece = dict(zip(known.field("id").to_pylist(), known.field("piece").to_pylist(), strict=True)) if known is not None else {}
-                starts, at = np.cumsum(counts) - counts, 0
-                made = []
-                for size in sizes:
-                    own = numbers[at : at + size]
-                    at += size
-                    n = counts[own]
-                    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)
-                    made.append(finish(flat[inside], piece))
-                values = [pa.array([m[c] for m in made], types.field(len(names) + c).type) for c in range(len(types) - len(names))]
-                yield pa.RecordBatch.from_arrays([*(f.cast(t.type) for f, t in zip(rows.flatten(), types, strict=False)), *values], schema=types)
-
-    # One row is a whole block: a few of them at once fill a batch.
+                starts = np.cumsum(counts) - counts
+                ends = np.cumsum(sizes, dtype=np.int64)
+                for low, high in _shares(sizes):
+                    made = []
+                    for r in range(low, high):
+                        own = numbers[ends[r] - sizes[r] : ends[r]]
+                        n = counts[own]
+                        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)
+                        made.append(finish(flat[inside], piece))
+                    values = [pa.array([m[c] for m in made], types.field(len(names) + c).type) for c in range(len(types) - len(names))]
+                    fields = rows.slice(low, high - low).flatten()
+                    yield pa.RecordBatch.from_arrays([*(f.cast(t.type) for f, t in zip(fields, types, strict=False)), *values], schema=types)
+
     return whole.mapInArrow(assemble, result)
 
 
+def _shares(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some ``WORDS_OUT`` words."""
+    low = total = 0
+    for k, size in enumerate(sizes.tolist()):
+        total += size
+        if total >= WORDS_OUT:
+            yield low, k + 1
+            low, total = k + 1, 0
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
 def tokens(ids: np.ndarray, piece: dict[int, str]) -> tuple[list[int], str]:
     """The ids, and the text that the tokenizer decodes them to: its pieces joined by spaces."""
     listed = ids.tolist()

@@ -2,9 +2,10 @@
 
 Every document gets a vector of transformed statistics. For each language and source a
 minimum-covariance-determinant estimate is fitted to all its documents: from two deterministic
-starts, concentration steps alternate between distances and the moments of the nearest half. A
-step is one aggregate by (group, distance bin), so a group with a third of all rows is summed in
-its map tasks and no group is ever gathered. Groups of under ``min_rows`` documents are judged by
+starts, concentration steps alternate between distances and the moments of the nearest half.
+Documents are first summed (count, sums, products) in the cells of a bounded grid of half a
+floor's width, in the map tasks; the steps take cells nearest first. So a group with a third of all rows
+is a table of cells like any other, and no group of documents is ever gathered. Groups of under ``min_rows`` documents are judged by
 the estimate of their language, or else by that of the whole table; with fewer rows than that in
 all, no document is rejected by distance. Variances get a floor per statistic, as most documents
 have no symbols and no repetition at all, where a plain estimate would be singular.
@@ -37,9 +38,9 @@ MIN_ROWS = 50
 COVER = 0.5
 #: The share of a normal population that lies beyond the cutoff.
 TAIL = 1e-6
-MAX_STEPS = 12
-#: Steps end when no group's log determinant falls by more.
-SETTLED = 1e-3
+MAX_STEPS = 100
+#: Components count as no larger than this for their cell: e to the 5th characters a word, and the most there is.
+LARGEST = [5, 1, 2, 1]
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -163,70 +164,89 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-_PARAMS = "level string, start string, center array<double>, inverse array<double>, logdet double"
+def _cell() -> list[Column]:
+    """Which cell of the grid a vector lies in; the grid is bounded, as the statistics are."""
+    return [F.floor(F.least(F.col(f"z{i}"), F.lit(float(LARGEST[i] * UNIT))) / F.lit(FLOORS[i] * UNIT / 2)).cast("int").alias(f"c{i}") for i in range(SIZE)]
 
 
-def _estimate(level: str, start: str, center: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    cov = cov + np.diag((np.array(FLOORS) * UNIT) ** 2)
-    return pd.DataFrame({"level": [level], "start": [start], "center": [center.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "logdet": [float(np.linalg.slogdet(cov)[1])]})
+class _Cells:
+    """The cells of a group: how many vectors each has, their sums and the sums of their products."""
 
+    def __init__(self, rows: pd.DataFrame):
+        rows = rows.sort_values([f"c{i}" for i in range(SIZE)])
+        self.n = rows["n"].to_numpy(float)
+        self.sums = rows[[f"s{i}" for i in range(SIZE)]].to_numpy(float)
+        self.products = np.stack([[rows[f"s{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(SIZE)] for i in range(SIZE)]).transpose(2, 0, 1)
+        self.means = self.sums / self.n[:, None]
 
-def _first_estimates(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-    """Medians and median deviations, from the counts of each value."""
-    center, spread = np.zeros(SIZE), np.zeros(SIZE)
-    for i, rows in cells.groupby("dim"):
-        middle = lambda v, n: v[np.argsort(v, kind="stable")][np.searchsorted(np.cumsum(n[np.argsort(v, kind="stable")]), n.sum() / 2)]
-        value, n = rows["value"].to_numpy(), rows["n"].to_numpy()
-        center[i] = middle(value, n)
-        spread[i] = 1.4826 * middle(np.abs(value - center[i]), n)
-    return _estimate(key[0], "median", center, np.diag(spread**2))
+    def estimate(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean, and covariance with the floors, of the vectors in these cells."""
+        count = self.n[cells].sum()
+        center = self.sums[cells].sum(axis=0) / count
+        cov = self.products[cells].sum(axis=0) / count - np.outer(center, center)
+        share = count / self.n.sum()
+        if share < 1:
+            cov = cov * share / chi2_share(chi2_quantile(share, SIZE), SIZE + 2)
+        return center, cov + np.diag((np.array(FLOORS) * UNIT) ** 2)
 
+    def nearest(self, center: np.ndarray, cov: np.ndarray) -> np.ndarray:
+        """The cells nearest to the center, as many as hold ``COVER`` of all vectors, in order of their number."""
+        away = self.means - center
+        order = np.argsort(np.einsum("ki,ij,kj->k", away, np.linalg.inv(cov), away), kind="stable")
+        enough = int(np.searchsorted(np.cumsum(self.n[order]), math.ceil(COVER * self.n.sum())))
+        return np.sort(order[: enough + 1])
 
-def _concentrated(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
-    """Mean and covariance of the nearest rows, as many bins of them as hold ``COVER`` of all."""
-    bins = bins.sort_values("bin")
-    n = bins["n"].to_numpy().cumsum()
-    need = n[-1] if key[1] == "all, at first" else math.ceil(COVER * n[-1])
-    last = int(np.searchsorted(n, need))
-    total, count = bins.iloc[: last + 1].sum(), float(n[last])
-    center = np.array([total[f"s{i}"] for i in range(SIZE)]) / count
-    cov = np.array([[total[f"s{min(i, j)}_{max(i, j)}"] for j in range(SIZE)] for i in range(SIZE)]) / count - np.outer(center, center)
-    share = count / n[-1]
-    if share < 1:
-        cov = cov * share / chi2_share(chi2_quantile(share, SIZE), SIZE + 2)
-    return _estimate(key[0], "all" if key[1] == "all, at first" else key[1], center, cov)
+    def medians(self) -> tuple[np.ndarray, np.ndarray]:
+        """Median and median deviation of each component, over the cells' means."""
 
+        def middle(values: np.ndarray) -> float:
+            order = np.argsort(values, kind="stable")
+            return float(values[order][np.searchsorted(np.cumsum(self.n[order]), self.n.sum() / 2)])
 
-def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
-    sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(SIZE)]
-    sums += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}_{j}") for i in range(SIZE) for j in range(i, SIZE)]
-    near = F.floor(16 * F.log2(1 + _distance())).cast("int")
-    binned = rows.join(small_side(params), "level").withColumn("bin", near).groupBy("level", "start", "bin").agg(F.count("*").alias("n"), *sums)
-    return stage(binned.groupBy("level", "start").applyInPandas(_concentrated, _PARAMS), "estimate")
+        center = np.array([middle(self.means[:, i]) for i in range(SIZE)])
+        spread = [1.4826 * middle(np.abs(self.means[:, i] - center[i])) for i in range(SIZE)]
+        return center, np.diag(np.square(spread) + (np.array(FLOORS) * UNIT) ** 2)
+
+
+_PARAMS = "level string, center array<double>, inverse array<double>, logdet double"
+
+
+def _concentrated(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The estimate with the least determinant, from either start."""
+    cells = _Cells(rows)
+    best: tuple[float, np.ndarray, np.ndarray] | None = None
+    for center, cov in (cells.medians(), cells.estimate(np.arange(len(cells.n)))):
+        chosen = np.zeros(0, int)
+        for _ in range(MAX_STEPS):
+            after = cells.nearest(center, cov)
+            if np.array_equal(after, chosen):
+                break
+            chosen = after
+            center, cov = cells.estimate(chosen)
+        logdet = float(np.linalg.slogdet(cov)[1])
+        if best is None or logdet < best[0]:
+            best = (logdet, center, cov)
+    return best[1], best[2]
 
 
 def fit(table: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(level, center, inverse): the estimate of every level with at least ``min_rows`` rows.
+    """(level, center, inverse): the estimate of every level with at least ``min_rows`` rows, stored.
 
-    ``table`` is a stored result of ``vectors``; rows that fail the base rule are left out.
+    ``table`` is a result of ``vectors``; rows that fail the base rule are left out.
     """
     z = [f"z{i}" for i in range(SIZE)]
-    rows = table.where("not base_failed").select(F.explode("levels").alias("level"), *z)
-    large = stage(rows.groupBy("level").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).select("level"), "levels")
-    rows = rows.join(small_side(large), "level")
-    values = rows.select("level", F.posexplode(F.array(*z)).alias("dim", "value")).groupBy("level", "dim", "value").agg(F.count("*").alias("n"))
-    medians = stage(values.groupBy("level").applyInPandas(_first_estimates, _PARAMS), "estimate")
-    every = _step(rows, medians.withColumn("start", F.lit("all, at first")))
-    params = _step(rows, _step(rows, medians.unionByName(every)))
-    best = F.min_by(F.struct("center", "inverse", "logdet"), F.struct("logdet", "start"))
-    params = stage(params.groupBy("level").agg(best.alias("p")).select("level", F.lit("best").alias("start"), "p.*"), "estimate")
-    for _ in range(MAX_STEPS):
-        after = _step(rows, params)
-        moved = after.alias("a").join(params.alias("b"), "level").agg(F.max(F.col("b.logdet") - F.col("a.logdet"))).first()[0]
-        params = after
-        if moved is None or moved < SETTLED:
-            break
-    return params.select("level", "center", "inverse")
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(z)]
+    sums += [F.sum(F.col(z[i]) * F.col(z[j])).alias(f"s{i}_{j}") for i in range(SIZE) for j in range(i, SIZE)]
+    rows = table.where("not base_failed").select(F.explode("levels").alias("level"), *z, *_cell())
+    cells = rows.groupBy("level", *(f"c{i}" for i in range(SIZE))).agg(F.count("*").alias("n"), *sums)
+
+    def estimate(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["n"].sum() < min_rows:
+            return pd.DataFrame(columns=["level", "center", "inverse", "logdet"], dtype=object)
+        center, cov = _concentrated(rows)
+        return pd.DataFrame({"level": [key[0]], "center": [center.tolist()], "inverse": [np.linalg.inv(cov).ravel().tolist()], "logdet": [float(np.linalg.slogdet(cov)[1])]})
+
+    return stage(cells.groupBy("level").applyInPandas(estimate, _PARAMS).select("level", "center", "inverse"), "estimates")
 
 
 def judge(table: DataFrame, params: DataFrame, *names: str) -> DataFrame:

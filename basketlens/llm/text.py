@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _POSITIONS = 1024
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64)
@@ -23,10 +23,15 @@ _PLACE = _rng.integers(1, 2**64, _POSITIONS, np.uint64) | np.uint64(1)
 _LAP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Arrow batches end at so many bytes or rows, as documents can be long and a task holds a batch whole.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Arrow batches of few rows: documents can be long, and a batch is held in memory whole."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != "256":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """Set ``BATCHES``."""
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) != value:
+            spark.conf.set(name, value)
     return spark
 
 
