@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from ..runtime import scratch_path
 from .text import prepare
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 WORDS_AT_ONCE = 4096
 WORDS_OUT = 100_000
 #: The tokenizer's word pattern, with white space written out for texts below U+0250.
@@ -105,11 +106,21 @@ def _blocks_schema(docs: DataFrame, names: list[str]) -> T.StructType:
         T.StructField("block", T.LongType()),
         T.StructField("rows", T.ArrayType(row)),
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("numbers", T.ArrayType(T.IntegerType())),
+        T.StructField("numbers", T.BinaryType()),
+        T.StructField("places", T.BinaryType()),
         T.StructField("buckets", T.ArrayType(bucket)),
     ])
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 up, all their first bytes, all their second bytes and so on: small ones compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _by_bucket(found: list[str], n: int) -> tuple[np.ndarray, pa.Array]:
     """The place of each word when they are ordered by bucket, and the buckets that have words."""
     bucket = np.fromiter((crc32(w.encode()) % n for w in found), np.int32, len(found))
@@ -126,7 +137,8 @@ def _by_bucket(found: list[str], n: int) -> tuple[np.ndarray, pa.Array]:
 def blocks(docs: DataFrame, path: str, names: list[str], n_buckets: int) -> DataFrame:
     """A row per block: ``names`` of its rows, words per row, word numbers, distinct words by bucket.
 
-    Words are numbered in the order of buckets. No word has white space in it: lines separate them.
+    Words are numbered by how often the block has them; places says where each number is in the
+    order of buckets. No word has white space in it: lines separate them.
     """
     schema = _blocks_schema(docs, names)
 
@@ -142,9 +154,13 @@ def blocks(docs: DataFrame, path: str, names: list[str], n_buckets: int) -> Data
         def block() -> pa.RecordBatch:
             whole = pa.concat_arrays(rows).cast(types.field("rows").type.value_type)
             place, buckets = _by_bucket(list(table), n_buckets)
-            flat = place[np.concatenate(numbers)]
+            flat = np.concatenate(numbers)
+            by_count = np.argsort(-np.bincount(flat, minlength=len(table)), kind="stable")
+            rank = np.empty(len(table), np.int32)
+            rank[by_count] = np.arange(len(table), dtype=np.int32)
             listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            columns = [pa.array([base + made]), listed(whole), listed(pa.array(sizes, pa.int32())), listed(pa.array(flat)), listed(buckets)]
+            columns = [pa.array([base + made]), listed(whole), listed(pa.array(sizes, pa.int32()))]
+            columns += [pa.array([packed(rank[flat])], pa.binary()), pa.array([packed(place[by_count])], pa.binary()), listed(buckets)]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
         for batch in batches:
@@ -176,8 +192,11 @@ def _rows(batch: pa.RecordBatch, start: int, end: int, names: list[str]) -> pa.S
 
 
 def _encoded(buckets: DataFrame, path: str) -> DataFrame:
-    """(block, bucket, counts, ids), from (bucket, block, words) with a bucket's rows next to each other."""
-    schema = "block bigint, bucket int, counts array<int>, ids array<int>"
+    """(block, bucket, counts, ids, used), from (bucket, block, words) with a bucket's rows next to each other.
+
+    used are the distinct ids.
+    """
+    schema = "block bigint, bucket int, counts binary, ids binary, used array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, table = None, {}  # the distinct words of this bucket, and their ids
@@ -191,9 +210,17 @@ def _encoded(buckets: DataFrame, path: str) -> DataFrame:
                     part = fresh[k : k + WORDS_AT_ONCE]
                     table.update(zip(part, (np.array(i, np.int32) for i in encode_words(part, path)), strict=True))
                 ids = [table[w] for w in found]
-                counts = pa.array(np.fromiter(map(len, ids), np.int32, len(ids)))
-                one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), one(counts), one(pa.array(np.concatenate(ids)))], names=["block", "bucket", "counts", "ids"])
+                flat = np.concatenate(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block], pa.int64()),
+                        pa.array([bucket], pa.int32()),
+                        pa.array([packed(np.fromiter(map(len, ids), np.int32, len(ids)))], pa.binary()),
+                        pa.array([packed(flat)], pa.binary()),
+                        pa.array([np.unique(flat)], pa.list_(pa.int32())),
+                    ],
+                    names=["block", "bucket", "counts", "ids", "used"],
+                )
 
     return buckets.mapInArrow(encode, schema)
 
@@ -204,10 +231,16 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in pieces.items()], "id int, piece string")
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _stored(df: DataFrame, label: str, n_buckets: int = 0) -> DataFrame:
+    """``df`` written to the shared folder; in buckets by block, a join by block does not move it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    writer = df.write.option("compression", "zstd")
+    if not n_buckets:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer.option("path", path).bucketBy(n_buckets, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(docs: DataFrame, path: str, names: list[str], finish, schema: str) -> DataFrame:
@@ -218,15 +251,15 @@ def encode(docs: DataFrame, path: str, names: list[str], finish, schema: str) ->
     """
     spark = prepare(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = _stored(blocks(docs, path, names, n), "blocks")
+    stored = _stored(blocks(docs, path, names, n), "blocks", n)
     buckets = stored.select("block", F.inline("buckets")).select("bucket", "block", "words")
     encoded = _encoded(buckets.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket"), path)
-    tables = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "ids"))).alias("entries"))
-    counts, ids = F.transform("entries", lambda e: e["counts"]), F.transform("entries", lambda e: e["ids"])
-    tables = _stored(tables.select("block", F.flatten(counts).alias("counts"), F.flatten(ids).alias("ids")), "word-ids")
-    used = tables.select("block", F.explode(F.array_distinct("ids")).alias("id"))
+    tables = encoded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "ids", "used"))).alias("entries"))
+    tables = _stored(tables, "word_ids")
+    used = tables.select("block", F.explode(F.array_distinct(F.flatten(F.col("entries.used")))).alias("id"))
     pieces = used.join(F.broadcast(vocabulary(spark, path)), "id").groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
-    whole = stored.select("block", "rows", "sizes", "numbers").join(tables, "block", "left").join(pieces, "block", "left")
+    tables = tables.select("block", F.col("entries.counts").alias("counts"), F.col("entries.ids").alias("ids")).join(pieces, "block")
+    whole = stored.select("block", "rows", "sizes", "numbers", "places").join(tables, "block", "left")
     row = T.StructType([docs.schema[c] for c in names])
     result = T.StructType([*row.fields, *T.StructType.fromDDL(schema).fields])
 
@@ -236,12 +269,12 @@ def encode(docs: DataFrame, path: str, names: list[str], finish, schema: str) ->
         types = to_arrow_schema(result)
         for batch in batches:
             for k in range(batch.num_rows):
-                get = lambda name, k=k, batch=batch: batch.column(batch.schema.get_field_index(name))[k].values
-                rows, sizes = get("rows"), get("sizes").to_numpy()
-                numbers = get("numbers").to_numpy()
-                known = get("pieces")
-                flat, counts = (a.to_numpy() if (a := get(c)) is not None else np.zeros(0, np.int32) for c in ("ids", "counts"))
-                counts = counts.astype(np.int64)
+                get = lambda name, k=k, batch=batch: batch.column(batch.schema.get_field_index(name))[k]
+                rows, sizes = get("rows").values, get("sizes").values.to_numpy()
+                joined = lambda name, get=get: np.concatenate([np.zeros(0, np.uint32), *map(unpacked, get(name).as_py() or [])])
+                flat, counts = joined("ids"), joined("counts").astype(np.int64)
+                numbers = unpacked(get("places").as_py())[unpacked(get("numbers").as_py())]
+                known = get("pieces").values
                 piece = dict(zip(known.field("id").to_pylist(), known.field("piece").to_pylist(), strict=True)) if known is not None else {}
                 starts = np.cumsum(counts) - counts
                 ends = np.cumsum(sizes, dtype=np.int64)
