@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import format_event_time
 from ..operators import categories, profile, sessions
 from ..operators.ordering import head_rows
+from ..operators.sampling import union_all
 from ..operators.summaries import event_type_counts, row_counts
 from ..operators.typing import describe
 from ..runtime import scratch_path
-from ..schema import CATEGORY_TOTALS, EVENT_COLUMNS
+from ..schema import CATEGORY_TOTALS, EVENT_COLUMNS, EVENTS
 from ..sinks import convert_csv, materialize, write_csv, write_parquet
 from ..sources import files
 from ..sources.events import (
@@ -63,6 +64,17 @@ def _dirty_csv(spark, d):
 _BAD = "((event_type = 'cart' AND brand IS NULL) OR (event_type = 'purchase' AND category_code IS NULL))"
 
 
+@query(
+    "src_03_lenient_rows",
+    sql.retail(
+        f"""SELECT event_time, event_type, CASE WHEN NOT {{bad}} THEN product_id END AS product_id, user_session
+        FROM r WHERE NOT (event_type = 'cart' AND brand IS NULL)""".format(bad="(event_type = 'purchase' AND category_code IS NULL)")
+    ),
+)
+def _(spark, d):
+    return read_events_csv(spark, _dirty_csv(spark, d), on_bad="lenient", columns=["event_time", "event_type", "product_id", "user_session"])
+
+
 @query("src_03_drop_bad_rows", sql.retail(f"SELECT {sql.EVENT_LIST} FROM r WHERE NOT {_BAD}"))
 def _(spark, d):
     return read_events_csv(spark, _dirty_csv(spark, d), on_bad="drop")
@@ -116,9 +128,19 @@ def _(spark, d):
     return counts.agg(F.sum(F.col("n_lines") - 1).alias("n_data_lines"))
 
 
-@query("src_09_file_inventory")
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query(
+    "src_09_file_inventory",
+    " UNION ALL ".join(f"SELECT '{t}' AS name, COUNT(*) AS n_rows, true AS has_bytes FROM {t}" for t in TABLES),
+)
 def _(spark, d):
-    return files.list_files(spark, d, glob="*.parquet")
+    # A table is a file, or a folder of files, by its name.
+    found = files.list_files(spark, d, glob="*.parquet").withColumn("name", F.regexp_extract("path", r"/(\w+)\.parquet", 1))
+    found = found.groupBy("name").agg(F.sum("bytes").alias("bytes"))
+    counts = [spark.read.parquet(f"{d}/{t}.parquet").agg(F.lit(t).alias("name"), F.count(F.lit(1)).alias("n_rows")) for t in TABLES]
+    return found.join(union_all(counts), "name").select("name", "n_rows", (F.col("bytes") > 0).alias("has_bytes"))
 
 
 @query("src_10_delimiter", "SELECT '|' AS delimiter, 9 AS n_fields, CAST(1 AS DOUBLE) AS share")
@@ -188,48 +210,75 @@ def _(spark, d):
     return materialize(spark, path, lambda: events.limit(0))
 
 
-def _described(*rows):
-    values = ", ".join(f"({i}, '{name}', '{dtype}', true)" for i, (name, dtype) in enumerate(rows))
-    return f"""SELECT * FROM (VALUES {values}) t(position, "column", type, nullable)"""
-
-
 @query(
     "typ_10_describe",
-    _described(
-        ("event_time", "timestamp_ntz"),
-        ("event_type", "string"),
-        ("product_id", "bigint"),
-        ("category_id", "bigint"),
-        ("category_code", "string"),
-        ("brand", "string"),
-        ("price", "double"),
-        ("user_id", "bigint"),
-        ("user_session", "string"),
+    sql.retail(
+        " UNION ALL ".join(
+            f"""SELECT {i} AS position, '{f.name}' AS "column", '{f.dataType.simpleString()}' AS type, true AS nullable, COUNT({f.name}) AS n_values FROM r"""
+            for i, f in enumerate(EVENTS)
+        )
     ),
 )
 def _(spark, d):
-    return describe(retail_events(spark, d))
+    events = retail_events(spark, d)
+    counts = events.agg(*[F.count(c).alias(c) for c in events.columns]).unpivot([], events.columns, "column", "n_values")
+    return describe(events).join(counts, "column").select("position", "column", "type", "nullable", "n_values")
+
+
+def _smallest(column):
+    """The type CSV inference gives whole numbers."""
+    return f"CASE WHEN MIN({column}) >= -2147483648 AND MAX({column}) <= 2147483647 THEN 'int' ELSE 'bigint' END"
+
+
+_INFERRED = {
+    "event_time": "'timestamp'",
+    "event_type": "'string'",
+    "product_id": _smallest("product_id"),
+    "category_id": _smallest("category_id"),
+    "category_code": "'string'",
+    "brand": "'string'",
+    "price": "'double'",
+    "user_id": _smallest("user_id"),
+    "user_session": _smallest("CAST(user_session AS BIGINT)"),
+}
 
 
 @query(
     "typ_11_infer_types",
-    _described(
-        ("event_time", "timestamp"),
-        ("event_type", "string"),
-        ("product_id", "int"),
-        ("category_id", "int"),
-        ("category_code", "string"),
-        ("brand", "string"),
-        ("price", "double"),
-        ("user_id", "int"),
-        ("user_session", "int"),
-    ),
+    sql.retail(" UNION ALL ".join(f"""SELECT {i} AS position, '{c}' AS "column", {t} AS type, COUNT({c}) AS n_values FROM r""" for i, (c, t) in enumerate(_INFERRED.items()))),
 )
 def _(spark, d):
-    types = infer_types(spark, retail_csv(spark, d))
-    return describe(spark.read.schema(types).option("header", True).csv(retail_csv(spark, d)))
+    folder = retail_monthly_csv(spark, d)
+    types = infer_types(spark, folder, glob="*.csv")
+    rows = spark.read.schema(types).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder)
+    counts = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).unpivot([], rows.columns, "column", "n_values")
+    return describe(rows).join(counts, "column").select("position", "column", "type", "n_values")
+
+
+def _profiled(metric, value):
+    return " UNION ALL ".join(
+        f"""SELECT month, '{metric}' AS metric, '{c}' AS "column", CAST({value.format(c=c)} AS VARCHAR) AS value FROM r GROUP BY month""" for c in EVENT_COLUMNS
+    )
 
 
-@query("prf_04_file_profile")
+@query(
+    "prf_04_file_profile",
+    sql.retail(
+        _profiled("missing", "COUNT(*) FILTER (WHERE {c} IS NULL)")
+        + " UNION ALL "
+        + _profiled("distinct", "COUNT(DISTINCT {c})")
+        + " UNION ALL SELECT month, 'lines', NULL, CAST(COUNT(*) + 1 AS VARCHAR) FROM r GROUP BY month UNION ALL SELECT DISTINCT month, 'delimiter', NULL, ',' FROM r"
+    ),
+)
 def _(spark, d):
-    return profile.profile(spark, retail_csv(spark, d))
+    # One file for each month.
+    found = profile.profile(spark, _one_file_a_month(spark, d), glob="*.csv")
+    month = F.regexp_extract("file", MONTH_FOLDER, 1).alias("month")
+    return found.where(F.col("metric").isin("missing", "distinct", "lines", "delimiter")).select(month, "metric", "column", "value")
+
+
+def _one_file_a_month(spark, d):
+    events = retail_events(spark, d, [*EVENT_COLUMNS, "month"]).withColumn("event_time", format_event_time("event_time"))
+    path = scratch_path(spark, "month-files")
+    events.repartition("month").write.partitionBy("month").option("header", True).csv(path)
+    return path

@@ -83,9 +83,15 @@ def _(spark, d):
     return sampling.sample_fraction(click_events(spark, d), 0.01, key="user_session")
 
 
-@query("smp_01_bernoulli_sample")
+# Six standard deviations around a hundredth of the rows.
+@query("smp_01_bernoulli_sample", sql.click("SELECT COUNT(*) AS n_rows, true AS is_a_hundredth, true AS are_events FROM c"))
 def _(spark, d):
-    return sampling.sample_fraction(click_events(spark, d), 0.01)
+    events = click_events(spark, d)
+    sample = sampling.sample_fraction(events, 0.01)
+    drawn = sample.join(events, sample.columns, "left_semi").agg(F.count(F.lit(1)).alias("found")).crossJoin(sample.agg(F.count(F.lit(1)).alias("n")))
+    whole = events.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(drawn)
+    near = F.abs(F.col("n") - 0.01 * F.col("n_rows")) <= 6 * F.sqrt(0.01 * F.col("n_rows")) + 1
+    return whole.select("n_rows", near.alias("is_a_hundredth"), (F.col("found") == F.col("n")).alias("are_events"))
 
 
 @query(

@@ -126,17 +126,26 @@ def _(spark, d):
     return typing.suggest_types(click_events(spark, d))
 
 
+def _as_types(column, integral):
+    """A row per type the column can get: whether it did, and an exact digest of its values."""
+    return f"""SELECT '{column}' AS "column", (SELECT suggested FROM n WHERE "column" = '{column}') AS type,
+    CAST(SUM({'CAST(' + column + ' AS DECIMAL(38,0))' if integral else f'CAST(CAST({column} AS FLOAT) AS DECIMAL(30,6))'}) AS DOUBLE) AS total FROM c"""
+
+
 @query(
     "typ_06_apply_types",
     sql.click(
-        "SELECT event_time, event_type, product_id, CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, user_id, user_session FROM c"
+        " UNION ALL ".join([_as_types("product_id", True), _as_types("user_id", True), _as_types("price", False)]),
+        "n AS (" + " UNION ALL ".join([_fits("product_id"), _fits("user_id"), _floats("price")]).format(view="c") + ")",
     ),
 )
 def _(spark, d):
     events = click_events(spark, d)
-    narrow = typing.apply_types(events, typing.suggest_types(events))
-    # Widened again: which types fit depends on the tables, that nothing is lost does not.
-    return narrow.select(*[F.col(c).cast(t).alias(c) for c, t in events.dtypes])
+    narrowed = typing.apply_types(events, typing.suggest_types(events))
+    types = dict(narrowed.dtypes)
+    sums = {c: F.sum(F.col(c).cast("decimal(28,0)")) for c in ("product_id", "user_id")} | {"price": F.sum(F.col("price").cast("double").cast("decimal(28,6)"))}
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type"), v.cast("double").alias("total")) for c, v in sums.items()]
+    return narrowed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 _DICTIONARY = """v AS (
@@ -199,9 +208,17 @@ def _(spark, d):
     return profile.distinct_counts(retail_events(spark, d))
 
 
-@query("prf_02_distinct_approx")
+# The sketch's standard error is 5 %; four of them, and one for very small columns.
+@query(
+    "prf_02_distinct_approx",
+    sql.retail(_per_column(EVENT_COLUMNS, "SELECT '{c}' AS \"column\", COUNT(DISTINCT {c}) AS n_exact, true AS is_near FROM r")),
+)
 def _(spark, d):
-    return profile.distinct_counts(retail_events(spark, d), approx=True)
+    events = retail_events(spark, d)
+    exact = profile.distinct_counts(events).withColumnRenamed("n_distinct", "n_exact")
+    both = exact.join(profile.distinct_counts(events, approx=True), "column")
+    near = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(F.lit(1.0), 0.2 * F.col("n_exact"))
+    return both.select("column", "n_exact", near.alias("is_near"))
 
 
 def _bytes(c):

@@ -5,20 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The text form of event times and the cap on session minutes.
+# The text form of event times, other forms that are read, and the cap on session minutes.
 EVENT_TIME_PATTERN = "____-__-__ __:__:__ UTC"
 EVENT_TIME_SUFFIX = " UTC"
+EVENT_TIME_FORMS = r"^(\d{4}-\d{2}-\d{2})[ T](\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?) ?(?:UTC|Z|([+-])(\d{2}):?(\d{2}))?$"
 MAX_SESSION_MINUTES = 24 * 60
 
+# Digits after the point that sums of prices keep.
+PRICE_SCALE = 6
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def parse_event_time(text: Column | str) -> Column:
-    """``2019-10-01 00:00:00 UTC`` to a timestamp; anything else is null."""
+    """``2019-10-01 00:00:00 UTC`` to a timestamp; anything else is null.
+
+    Also read: a ``T`` between date and time, fractions of a second, ``Z``, an offset such as
+    ``+02:00`` (taken off), and no zone at all (UTC). A date alone is not a time.
+    """
     text = _col(text)
-    return F.when(text.like(EVENT_TIME_PATTERN), F.left(text, F.lit(19))).try_cast("timestamp_ntz")
+    part = lambda k: F.regexp_extract(text, EVENT_TIME_FORMS, k)
+    wall = F.concat(part(1), F.lit(" "), part(2)).try_cast("timestamp_ntz")
+    minutes = (F.coalesce(part(4).try_cast("int"), F.lit(0)) * 60 + F.coalesce(part(5).try_cast("int"), F.lit(0)))
+    east = F.make_dt_interval(mins=F.when(part(3) == "-", -minutes).otherwise(minutes))
+    other = F.when(text.rlike(EVENT_TIME_FORMS), wall - east)
+    return F.when(text.like(EVENT_TIME_PATTERN), F.left(text, F.lit(19)).try_cast("timestamp_ntz")).otherwise(other)
 
 
 def format_event_time(ts: Column | str) -> Column:
@@ -55,22 +68,23 @@ def parse_month_tag(tag: Column | str) -> Column:
 
 
 def known(number: Column | str) -> Column:
-    """A number as a double, NaN as null."""
-    return F.nanvl(_col(number).cast("double"), F.lit(None).cast("double"))
+    """A number as a double; NaN and infinities count as missing."""
+    value = _col(number).cast("double")
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def cents(price: Column | str) -> Column:
-    """A price as a whole number of cents.
+def amount(price: Column | str, scale: int = PRICE_SCALE) -> Column:
+    """A price as a decimal with ``scale`` digits after the point.
 
-    Sums of cents are exact and independent of the order rows arrive in, and longs
-    stay in the fast path of hash aggregation. NaN counts as missing.
+    Sums of decimals are exact and independent of the order rows arrive in. NaN, infinities
+    and prices too large for the type count as missing.
     """
-    return F.rint(known(price) * 100).cast("long")
+    return known(price).try_cast(f"decimal({24 + scale},{scale})")
 
 
-def money(total_cents: Column) -> Column:
-    """Cents back to a price; one correctly rounded division."""
-    return total_cents.cast("double") / F.lit(100.0)
+def money(total: Column) -> Column:
+    """A sum of amounts as a double, correctly rounded."""
+    return total.cast("double")
 
 
 def ratio(numerator: Column | str, denominator: Column | str) -> Column:

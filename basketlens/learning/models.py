@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.columns import log_target, unlog_target
+from ..operators.ordering import head_rows
 from ..operators.scaling import fit_scaler
-from ..runtime import stage
+from ..runtime import scratch_path, stage
 
 # Training settings.
 L2_PENALTY = 1e-4
@@ -25,6 +26,7 @@ MIN_ROWS_PER_LEAF = 20
 FOREST_TREES = 200
 FOREST_DEPTH = 30
 BOOSTING_ROUNDS = 2_000
+BOOSTING_PATIENCE = 50
 IMPORTANCE_ROWS = 10
 POINT_ROWS = 2_000
 SEED = 42
@@ -33,6 +35,13 @@ VECTOR = "features"
 TARGET = "target"
 
 
+def _cut_lineage(df: DataFrame) -> None:
+    """Give MLlib a shared folder to checkpoint in: boosting's lineage grows with every round."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(df.sparkSession, "mllib"))
+
+
 def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=VECTOR)
 
@@ -78,6 +87,7 @@ def train_forest_classifier(
     depth: int = 10,
     seed: int = SEED,
 ) -> PipelineModel:
+    _cut_lineage(train)
     forest = RandomForestClassifier(featuresCol=VECTOR, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
     return Pipeline(stages=[_assembler(features), forest]).fit(train)
 
@@ -89,6 +99,7 @@ def train_boosted_classifier(
     rounds: int = 100,
     seed: int = SEED,
 ) -> PipelineModel:
+    _cut_lineage(train)
     trees = GBTClassifier(
         featuresCol=VECTOR,
         labelCol=label,
@@ -111,25 +122,44 @@ def train_boosted_spend(
     features: Sequence[str] = schema.SPEND_FEATURES,
     validation: str | None = None,
     rounds: int = BOOSTING_ROUNDS,
+    patience: int = BOOSTING_PATIENCE,
     seed: int = SEED,
 ) -> PipelineModel:
     """Boosted trees on the log target.
 
-    ``validation`` names a boolean column marking held-out rows; with it, boosting stops
-    at the first round that does not lower their error.
+    ``validation`` names a boolean column marking held-out rows. With it, boosting goes on until
+    their error has not fallen for ``patience`` rounds (or ``rounds`` are done), and the model has the
+    trees up to the best round. Trees do not depend on how many follow, so the number of rounds is
+    doubled until the best one is far enough from the end, and that many are fitted again.
     """
-    trees = GBTRegressor(
-        featuresCol=VECTOR,
-        labelCol=TARGET,
-        stepSize=LEARNING_RATE,
-        maxDepth=TREE_DEPTH,
-        minInstancesPerNode=MIN_ROWS_PER_LEAF,
-        maxIter=rounds,
-        seed=seed,
-    )
-    if validation:
-        trees = trees.setValidationIndicatorCol(validation).setParams(validationTol=0.0)
-    return Pipeline(stages=[_assembler(features), trees]).fit(train)
+    _cut_lineage(train)
+
+    def fit(rows: DataFrame, n: int) -> PipelineModel:
+        trees = GBTRegressor(
+            featuresCol=VECTOR,
+            labelCol=TARGET,
+            stepSize=LEARNING_RATE,
+            maxDepth=TREE_DEPTH,
+            minInstancesPerNode=MIN_ROWS_PER_LEAF,
+            maxIter=n,
+            seed=seed,
+        )
+        return Pipeline(stages=[_assembler(features), trees]).fit(rows)
+
+    if not validation:
+        return fit(train, rounds)
+    seen = train.where(~F.col(validation))
+    held_out = _assembler(features).transform(train.where(F.col(validation)))
+    if held_out.isEmpty():
+        return fit(seen, rounds)
+    n = min(rounds, 2 * patience)
+    while True:
+        model = fit(seen, n)
+        errors = model.stages[-1].evaluateEachIteration(held_out, "squared")
+        best = min(range(n), key=errors.__getitem__) + 1
+        if n == rounds or n - best >= patience:
+            return model if best == n else fit(seen, best)
+        n = min(rounds, 2 * n)
 
 
 def train_forest_spend(
@@ -140,6 +170,7 @@ def train_forest_spend(
     seed: int = SEED,
 ) -> PipelineModel:
     """Random forest on the log target, every feature considered at every split."""
+    _cut_lineage(train)
     forest = RandomForestRegressor(
         featuresCol=VECTOR,
         labelCol=TARGET,
@@ -156,9 +187,12 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     probability of class 1."""
     scored = model.transform(df)
     if "probability" in scored.columns:
-        scored = scored.withColumn("score", vector_to_array("probability")[1])
-    drop = [c for c in (VECTOR, "rawPrediction", "probability") if c in scored.columns]
-    return scored.drop(*drop, *[c for c in scored.columns if c.endswith("_z")])
+        # A model that has seen one class only knows no probability of class 1.
+        scored = scored.withColumn("score", F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)))
+    made = [VECTOR, "rawPrediction", "probability"]
+    if isinstance(model.stages[0], SQLTransformer):
+        made += model.stages[1].getInputCols()
+    return scored.drop(*[c for c in made if c in scored.columns and c not in df.columns])
 
 
 def score_spend(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -186,7 +220,7 @@ def feature_importance(model: PipelineModel, df: DataFrame, features: Sequence[s
 
 def prediction_points(scored: DataFrame, key: str, n: int = POINT_ROWS) -> DataFrame:
     """``n`` (actual, predicted) points by key and the bound both axes need."""
-    points = stage(scored.select(key, "actual", "predicted").orderBy(key).limit(n), "points")
+    points = stage(head_rows(scored.select(key, "actual", "predicted"), n, [key]), "points")
     bound = points.agg(F.greatest(F.max("actual"), F.max("predicted"))).first()[0]
     return points.withColumn("axis_max", F.lit(bound).cast("double"))
 

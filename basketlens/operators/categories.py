@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, money, null_to_zero, parse_month_tag
+from ..functions.columns import amount, money, null_to_zero, parse_month_tag
 
 KEYS = ["category_id", "event_type"]
 
@@ -33,15 +33,15 @@ def category_aggregate(
     if drop_null_keys:
         events = _not_null(events, KEYS)
     grouped = events.groupBy(*by, *KEYS).agg(
-        F.sum(null_to_zero(cents("price"))).alias("sum_cents"),
+        F.sum(null_to_zero(amount("price"))).alias("sales"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count("event_type").alias("num_events"),
         F.count_distinct("product_id").alias("unique_products"),
     )
     return grouped.select(
         *KEYS,
-        money(F.col("sum_cents")).alias("total_sales"),
-        (money(F.col("sum_cents")) / F.col("n_rows")).alias("avg_price"),
+        money(F.col("sales")).alias("total_sales"),
+        (money(F.col("sales")) / F.col("n_rows")).alias("avg_price"),
         "num_events",
         "unique_products",
         *by,
@@ -57,12 +57,18 @@ def monthly_category_aggregate(events: DataFrame, month: str = "month", **option
 def category_partials(events: DataFrame, chunk: Sequence[str]) -> DataFrame:
     """Mergeable partial sums per chunk, at (chunk, category, event type, product) grain."""
     return events.groupBy(*chunk, *KEYS, "product_id").agg(
-        F.sum(null_to_zero(cents("price"))).alias("sum_cents"),
+        F.sum(null_to_zero(amount("price"))).alias("sales"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count("event_type").alias("num_events"),
     )
 
 
+def sum_category_partials(partials: DataFrame) -> DataFrame:
+    """Partials of many chunks as partials of one: a row per category, event type and product."""
+    sums = [F.sum(c).cast(partials.schema[c].dataType).alias(c) for c in ("sales", "n_rows", "num_events")]
+    return partials.groupBy(*KEYS, "product_id").agg(*sums)
+
+
 def merge_category_partials(
     partials: DataFrame,
     chunk: Sequence[str],
@@ -77,22 +83,22 @@ def merge_category_partials(
     """
     if merge == "exact":
         totals = partials.groupBy(*by, *KEYS).agg(
-            F.sum("sum_cents").alias("sum_cents"),
+            F.sum("sales").alias("sales"),
             F.sum("n_rows").alias("n_rows"),
             F.sum("num_events").alias("num_events"),
             F.count_distinct("product_id").alias("unique_products"),
         )
-        average = money(F.col("sum_cents")) / F.col("n_rows")
+        average = money(F.col("sales")) / F.col("n_rows")
     elif merge == "unweighted":
         per_chunk = partials.groupBy(*chunk, *KEYS).agg(
-            F.sum("sum_cents").alias("sum_cents"),
+            F.sum("sales").alias("sales"),
             F.sum("n_rows").alias("n_rows"),
             F.sum("num_events").alias("num_events"),
             F.count("product_id").alias("unique_products"),
         )
-        mean = money(F.col("sum_cents")) / F.col("n_rows")
+        mean = money(F.col("sales")) / F.col("n_rows")
         totals = per_chunk.groupBy(*by, *KEYS).agg(
-            F.sum("sum_cents").alias("sum_cents"),
+            F.sum("sales").alias("sales"),
             (F.sum(F.rint(mean * MEAN_UNITS).cast("long")) / F.lit(MEAN_UNITS) / F.count(mean)).alias("mean_of_means"),
             F.sum("num_events").alias("num_events"),
             F.sum("unique_products").alias("unique_products"),
@@ -102,7 +108,7 @@ def merge_category_partials(
         raise ValueError(f"unknown merge {merge!r}")
     return totals.select(
         *KEYS,
-        money(F.col("sum_cents")).alias("total_sales"),
+        money(F.col("sales")).alias("total_sales"),
         average.alias("avg_price"),
         "num_events",
         "unique_products",
@@ -111,7 +117,7 @@ def merge_category_partials(
 
 
 def _sum_money(column: str) -> Column:
-    return money(F.sum(cents(column)))
+    return money(F.sum(amount(column)))
 
 
 def with_month_str(totals: DataFrame) -> DataFrame:
@@ -125,16 +131,25 @@ def top_categories(totals: DataFrame, n: int = 15) -> DataFrame:
     return sums.orderBy(F.desc("total_sales"), "category_id").limit(n)
 
 
-def events_pivot(totals: DataFrame, event_types: Sequence[str]) -> DataFrame:
-    """Month by event type, summed ``num_events``, 0 where nothing happened."""
-    kept = _not_null(totals, ["month_str"])
-    return kept.groupBy("month_str").pivot("event_type", list(event_types)).agg(F.sum("num_events")).na.fill(0)
+def events_pivot(totals: DataFrame, event_types: Sequence[str] | None = None) -> DataFrame:
+    """Month by event type, summed ``num_events``, 0 where nothing happened.
+
+    The columns are the types that occur (Spark stops above ``spark.sql.pivotMaxValues`` of
+    them), or those listed. Events without a type are left out.
+    """
+    kept = _not_null(totals, ["month_str", "event_type"])
+    types = None if event_types is None else list(event_types)
+    return kept.groupBy("month_str").pivot("event_type", types).agg(F.sum("num_events")).na.fill(0)
+
 
+def sales_pivot(totals: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
+    """Category by month, summed ``total_sales``, 0 where nothing was sold.
 
-def sales_pivot(totals: DataFrame, months: Sequence[str]) -> DataFrame:
-    """Category by month, summed ``total_sales``, 0 where nothing was sold."""
-    kept = _not_null(totals, ["category_id"])
-    return kept.groupBy("category_id").pivot("month_str", list(months)).agg(_sum_money("total_sales")).na.fill(0)
+    The columns are the months that occur, up to ``spark.sql.pivotMaxValues``, or those listed.
+    """
+    kept = _not_null(totals, ["category_id", "month_str"])
+    months = None if months is None else list(months)
+    return kept.groupBy("category_id").pivot("month_str", months).agg(_sum_money("total_sales")).na.fill(0)
 
 
 def sales_long(totals: DataFrame) -> DataFrame:

@@ -18,12 +18,11 @@ _ENTRY_BYTES = 32
 
 
 def distinct_values(frames: Sequence[DataFrame], columns: Sequence[str] = DICTIONARY_COLUMNS) -> DataFrame:
-    """Distinct non-null values per column over all inputs: ``column, value``."""
-    values = [
-        frame.where(F.col(c).isNotNull()).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        for frame in frames
-        for c in columns
-    ]
+    """Distinct non-null values per column over all inputs: ``column, value``; one scan each."""
+    values = []
+    for frame in frames:
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+        values.append(frame.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull()))
     return union_distinct(values)
 
 

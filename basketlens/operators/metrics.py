@@ -66,7 +66,8 @@ def classification_report(scored: DataFrame, label: str = "label", prediction: s
 
 
 def regression_metrics(scored: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """``rmse, mae, r2, n`` in one pass."""
+    """``rmse, mae, r2, n`` in one pass, over the rows that have both values."""
+    scored = scored.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
     error = a - p
     n = F.count(error)

@@ -27,22 +27,25 @@ Order = Sequence[Column | str]
 
 
 def head_rows(df: DataFrame, n: int, order: Order | None = None) -> DataFrame:
-    """The first ``n`` rows: by ``order``, or any ``n`` rows without one."""
-    if not order:
-        return df.limit(n)
+    """The first ``n`` rows: in the order ``order``, or any ``n`` rows without one.
+
+    However large ``n``, no task gathers more than ``TOP_ROWS`` of them.
+    """
     if n <= TOP_ROWS:
-        return df.orderBy(*order).limit(n)
-    return global_rank(df, order).where(F.col("rank") <= n).drop("rank")
+        return df.orderBy(*order).limit(n) if order else df.limit(n)
+    if order:
+        return global_rank(df, order).where(F.col("rank") <= n).drop("rank").orderBy(*order)
+    return _numbered(df, "_number").where(F.col("_number") <= n).drop("_number")
 
 
 def last_events(events: DataFrame, n: int, tiebreak: Sequence[str]) -> DataFrame:
-    """The latest ``n`` events of a source."""
-    return events.orderBy(F.col("event_time").desc_nulls_last(), *tiebreak).limit(n)
+    """The latest ``n`` events of a source, latest first."""
+    return head_rows(events, n, [F.col("event_time").desc_nulls_last(), *tiebreak])
 
 
 def first_events(events: DataFrame, n: int, tiebreak: Sequence[str]) -> DataFrame:
-    """The earliest ``n`` events of a source."""
-    return events.orderBy(F.col("event_time").asc_nulls_last(), *tiebreak).limit(n)
+    """The earliest ``n`` events of a source, earliest first."""
+    return head_rows(events, n, [F.col("event_time").asc_nulls_last(), *tiebreak])
 
 
 def global_rank(df: DataFrame, order: Order, name: str = "rank") -> DataFrame:
@@ -54,15 +57,14 @@ def global_rank(df: DataFrame, order: Order, name: str = "rank") -> DataFrame:
     ``order`` must tell all rows apart, otherwise a repeated key cannot be split over
     partitions.
     """
-    position = F.monotonically_increasing_id()
-    laid_out = stage(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_position", position),
-        "ranked",
-    )
+    return _numbered(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Number the rows from 1, partition by partition, from a stored copy."""
+    laid_out = stage(df.withColumn("_position", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_position", _POSITION_BITS)
-    # One row per range partition.
+    # One row per partition.
     sizes = laid_out.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
@@ -84,85 +86,96 @@ class Position:
     equal: int
 
 
-@dataclass(frozen=True)
-class Bounds:
-    """The least and greatest value of a column and how many it has."""
+class Places:
+    """Finds values by their place in the order of a numeric column; nulls have none.
 
-    low: float | int | None
-    high: float | int | None
-    n: int
-
-
-def _values(df: DataFrame, value: Column) -> tuple[DataFrame, Bounds]:
-    values = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
-    return values, Bounds(low, high, n)
+    Each pass counts equal-width buckets between known bounds and keeps the bucket that holds
+    the place, so there is no sort and at most ``buckets`` counts reach the driver. The first
+    pass serves every place asked for; a few more are enough for times, prices or hashes.
+    """
 
+    def __init__(self, values: DataFrame, buckets: int = HISTOGRAM_BUCKETS):
+        """``values`` has ``v`` and ``n``, how many rows have that value."""
+        self.values = values.where(F.col("v").isNotNull())
+        self.buckets = buckets
+        self.low, self.high, n = self.values.agg(F.min("v"), F.max("v"), F.sum("n")).first()
+        self.n = n or 0
+        self._first: list | None = None
 
-def _narrow_to(values: DataFrame, bounds: Bounds, k: int, buckets: int) -> Position:
-    low, high, below, equal = bounds.low, bounds.high, 0, bounds.n
-    if math.isinf(low) or math.isinf(high):
-        raise ValueError("infinite values have no buckets")
-    v = F.col("v")
-    while low < high:
+    def _counts(self, low, high) -> list:
+        v = F.col("v")
         if isinstance(low, int):
-            width = (high - low) // buckets + 1
+            width = (high - low) // self.buckets + 1
             bucket = F.floor((v - F.lit(low)) / F.lit(width))
         else:
-            width = high / buckets - low / buckets
+            width = high / self.buckets - low / self.buckets
             if width > 0:
-                bucket = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(buckets - 1))
+                bucket = F.least(F.floor((v - F.lit(low)) / F.lit(width)), F.lit(self.buckets - 1))
             else:
                 bucket = (v > F.lit(low)).cast("int")
-        counts = (
-            values.where(v.between(low, high))
-            .groupBy(bucket.alias("b"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .orderBy("b")
-            .collect()
-        )
-        for row in counts:
-            if below + row.n >= k:
-                low, high, equal = row.low, row.high, row.n
-                break
-            below += row.n
-    return Position(low, below, equal)
+        grouped = self.values.where(v.between(low, high)).groupBy(bucket.alias("b"))
+        return grouped.agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect()
+
+    def at(self, k: int) -> Position:
+        """The k-th smallest, from 1."""
+        if not 1 <= k <= self.n:
+            raise ValueError(f"position {k} is outside 1..{self.n}")
+        low, high, below, equal = self.low, self.high, 0, self.n
+        if isinstance(low, float) and (math.isinf(low) or math.isinf(high)):
+            raise ValueError("infinite values have no buckets")
+        counts = None
+        while low < high:
+            if counts is None:
+                self._first = counts = self._first or self._counts(low, high)
+            else:
+                counts = self._counts(low, high)
+            for row in counts:
+                if below + row.n >= k:
+                    low, high, equal = row.low, row.high, row.n
+                    break
+                below += row.n
+        return Position(low, below, equal)
+
+
+def _ones(df: DataFrame, value: Column) -> DataFrame:
+    return df.select(value.alias("v"), F.lit(1).cast("long").alias("n"))
 
 
 def kth_smallest(df: DataFrame, value: Column | str, k: int, buckets: int = HISTOGRAM_BUCKETS) -> Position:
-    """The k-th smallest (from 1) of a numeric column, exactly; nulls do not count.
+    """The k-th smallest (from 1) of a numeric column, exactly; nulls do not count."""
+    return Places(_ones(df, F.col(value) if isinstance(value, str) else value), buckets).at(k)
 
-    Each pass counts equal-width buckets between the known bounds and keeps the bucket
-    that holds the k-th value, so there is no sort and only bucket counts reach the
-    driver. Every pass narrows the bounds; a few are enough for times, prices or hashes.
-    """
-    values, bounds = _values(df, F.col(value) if isinstance(value, str) else value)
-    if not 1 <= k <= bounds.n:
-        raise ValueError(f"position {k} is outside 1..{bounds.n}")
-    return _narrow_to(values, bounds, k, buckets)
 
+def value_counts(df: DataFrame, value: Column) -> DataFrame:
+    """``v, n``: each distinct value and its rows, null included, as a stored table."""
+    return stage(df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")), "value-counts")
 
-def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
-    """The interpolated percentile of a numeric column; null for no values."""
-    values, bounds = _values(df, known(value))
-    if bounds.n == 0:
+
+def percentile_of_counts(counts: DataFrame, p: float) -> float | None:
+    """The interpolated percentile of counted values; null for no values."""
+    places = Places(counts)
+    if places.n == 0:
         return None
-    at = p * (bounds.n - 1)
+    at = p * (places.n - 1)
     k = int(at) + 1
-    left = _narrow_to(values, bounds, k, HISTOGRAM_BUCKETS)
+    left = places.at(k)
     if at == int(at) or left.below + left.equal > k:
         return left.value
-    right = values.where(F.col("v") > F.lit(left.value)).agg(F.min("v")).first()[0]
-    return left.value + (right - left.value) * (at - int(at))
+    return left.value + (places.at(k + 1).value - left.value) * (at - int(at))
+
+
+def exact_percentile(df: DataFrame, value: str, p: float) -> float | None:
+    """The interpolated percentile of a numeric column; null for no values."""
+    return percentile_of_counts(value_counts(df, known(value)), p)
 
 
 @dataclass(frozen=True)
 class TotalOrder:
     """An order of rows as three columns.
 
-    ``coarse`` takes a few thousand values, ``fine`` is a number that orders rows of equal
+    ``coarse`` is a whole number of few values, ``fine`` a number that orders rows of equal
     ``coarse`` (nulls last in both), and ``tie`` tells rows of equal ``fine`` apart (nulls
-    first).
+    first). With very many coarse values places take another pass or two.
     """
 
     coarse: Column
@@ -181,7 +194,7 @@ def by_time(time: str = "session_start", tie: str = "user_session") -> TotalOrde
 def by_hash(key: str, seed: int) -> TotalOrder:
     """By the hash of a key, then by the key; three hex digits are the coarse part."""
     digits = hash_digits(key, seed)
-    return TotalOrder(F.left(digits, F.lit(3)), hash_number(digits), F.col(key))
+    return TotalOrder(hash_number(F.left(digits, F.lit(3))), hash_number(digits), F.col(key))
 
 
 def _is(column: Column, value) -> Column:
@@ -196,20 +209,24 @@ def _precedes(column: Column, value) -> Column:
 def in_first(df: DataFrame, n: int, order: TotalOrder) -> Column:
     """A condition that holds for exactly the first ``n`` rows by ``order``.
 
-    One pass counts the coarse values and finds the one the boundary lies in; a second
-    stores that value's keys, and the rest is decided on them. Applying the condition
-    moves no rows. ``order`` must tell rows apart.
+    A count of the coarse values finds the one the boundary lies in; another pass stores
+    that value's keys, and the rest is decided on them. Applying the condition moves no
+    rows. ``order`` must tell rows apart.
     """
+    return _in_first(df, n, order, Places(_ones(df, order.coarse)))
+
+
+def _in_first(df: DataFrame, n: int, order: TotalOrder, places: Places) -> Column:
     if n <= 0:
         return F.lit(False)
-    counts = df.groupBy(order.coarse.alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    wanted = n
-    for coarse, here in counts.orderBy(F.col("c").asc_nulls_last()).collect():
-        if wanted <= here:
-            break
-        wanted -= here
+    if n <= places.n:
+        found = places.at(n)
+        coarse, wanted, here = found.value, n - found.below, found.equal
     else:
-        return F.lit(True)
+        coarse, wanted = None, n - places.n
+        here = df.where(order.coarse.isNull()).count()
+        if wanted >= here:
+            return F.lit(True)
     before, at_edge = _precedes(order.coarse, coarse), _is(order.coarse, coarse)
     if wanted == here:
         return before | at_edge
@@ -219,12 +236,12 @@ def in_first(df: DataFrame, n: int, order: TotalOrder) -> Column:
 
 
 def _in_first_fine(edge: DataFrame, n: int, order: TotalOrder) -> Column:
-    values, bounds = _values(edge, F.col("v"))
-    if n <= bounds.n:
-        found = _narrow_to(values, bounds, n, HISTOGRAM_BUCKETS)
+    places = Places(_ones(edge, F.col("v")))
+    if n <= places.n:
+        found = places.at(n)
         fine, wanted, here = found.value, n - found.below, found.equal
     else:
-        fine, wanted = None, n - bounds.n
+        fine, wanted = None, n - places.n
         here = edge.where("v IS NULL").count()
     before, at_edge = _precedes(order.fine, fine), _is(order.fine, fine)
     if wanted == here:
@@ -241,14 +258,16 @@ def _in_first_fine(edge: DataFrame, n: int, order: TotalOrder) -> Column:
 
 
 def page(df: DataFrame, order: TotalOrder, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset + 1 .. offset + limit`` of the order.
+    """Rows ``offset + 1 .. offset + limit`` of the order, in order.
 
-    A deep page is cut out by its two boundaries; an ordered offset would send
-    everything before the page through one task.
+    A deep page is cut out by its two boundaries, found in one count, and sorted; an
+    ordered offset would send everything before the page through one task.
     """
     if offset + limit <= TOP_ROWS:
         return df.orderBy(*order.columns()).offset(offset).limit(limit)
-    return df.where(in_first(df, offset + limit, order) & ~in_first(df, offset, order))
+    places = Places(_ones(df, order.coarse))
+    cut = _in_first(df, offset + limit, order, places) & ~_in_first(df, offset, order, places)
+    return df.where(cut).orderBy(*order.columns())
 
 
 def numbered_pages(df: DataFrame, order: Order, size: int) -> DataFrame:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.events import read_head
-from ..sources.files import count_lines, detect_delimiter, list_files
+from ..runtime import stage
+from ..sources.files import FILE, count_lines, detect_delimiters, first_rows_of_files, list_files
 
-# Rows sampled for a profile, rows previewed, share below which a text
-# column is worth a dictionary.
-PROFILE_ROWS = 50_000
+# Rows previewed, share below which a text column is worth a dictionary.
 PREVIEW_ROWS = 10
 DICTIONARY_SHARE = 0.5
+# Types a text column may be read as, in the order they are tried.
+TEXT_TYPES = ["int", "bigint", "double", "timestamp", "boolean"]
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -26,35 +26,44 @@ def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return counts.unpivot([], columns, "column", "n_missing")
 
 
-def _per_column(df: DataFrame, columns: Sequence[str], measures: Callable[[str], list[Column]]) -> DataFrame:
-    """``column`` and the measures, one row per column.
+def _as_text(name: str, dtype: T.DataType) -> Column:
+    """Text that differs where the values differ; both zeros are one value."""
+    c = F.col(f"`{name}`")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        c = c + F.lit(0.0).cast(dtype)
+    return F.hex(c) if isinstance(dtype, T.BinaryType) else c.cast("string")
 
-    Each column gets its own aggregate over a scan of that column alone: values keep their
-    type, the shuffle carries nothing else, and a columnar file is read once in total.
+
+def _value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``by, column, value, n`` for every distinct value (null too), in one scan.
+
+    Map tasks combine equal values, and the shuffle spreads a column over its values.
     """
-    parts = [df.agg(F.lit(c).alias("column"), *measures(c)) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    pairs = [F.struct(F.lit(c).alias("column"), _as_text(c, df.schema[c].dataType).alias("value")) for c in columns]
+    flat = df.select(*by, F.inline(F.array(*pairs)))
+    return flat.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """``column, n_distinct`` of non-null values.
+    """``column, n_distinct`` of non-null values, in one scan.
 
     The exact form shuffles each column's distinct values, spread by value.
-    ``approx=True`` uses a sketch per column in one scan and shuffles next to nothing.
+    ``approx=True`` uses a sketch per column and shuffles next to nothing.
     """
     columns = list(columns or df.columns)
     if approx:
         counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
         return counts.unpivot([], columns, "column", "n_distinct")
-    return _per_column(df, columns, lambda c: [F.count_distinct(c).alias("n_distinct")])
+    found = _value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n_distinct"))
+    # A column of a table without rows has no value at all.
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
 
 
 def cardinality_profile(df: DataFrame, threshold: float = DICTIONARY_SHARE) -> DataFrame:
-    """Text columns with ``n_distinct, n_rows, share, use_dictionary``."""
+    """Text columns with ``n_distinct, n_rows, share, use_dictionary``, in one scan."""
     columns = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    counts = _per_column(
-        df, columns, lambda c: [F.count_distinct(c).alias("n_distinct"), F.count(F.lit(1)).alias("n_rows")]
-    )
+    counts = _value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n_distinct"), F.sum("n").alias("n_rows"))
     share = F.col("n_distinct") / F.nullif(F.col("n_rows"), F.lit(0))
     return counts.withColumn("share", share).withColumn("use_dictionary", F.col("share") < threshold)
 
@@ -82,38 +91,49 @@ def _width(dtype: T.DataType) -> int:
     return widths.get(type(dtype), 8)
 
 
-def profile(
-    spark: SparkSession, path: str, sample: int = PROFILE_ROWS, preview: int = PREVIEW_ROWS
-) -> DataFrame:
-    """Everything known about one delimited file as ``file, metric, column, value`` rows.
+def profile(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, preview: int = PREVIEW_ROWS) -> DataFrame:
+    """Everything known about delimited files as ``file, metric, column, value`` rows.
 
-    Size, lines, delimiter, columns and types, and over the first ``sample`` rows missing
-    and distinct counts and a preview.
+    For each file its size, lines, delimiter, missing and distinct counts over all rows, and a
+    preview of its first rows; types are those that fit all rows of the files with one
+    delimiter, which are expected to share a header. Header lines are not rows.
     """
-    found = detect_delimiter(spark, path).first()
-    delimiter = found.delimiter if found else ","
-    rows = read_head(spark, path, sample, delimiter)
-    position = spark.createDataFrame(
-        [("type", f.name, f.dataType.simpleString()) for f in rows.schema.fields]
-        + [("delimiter", None, delimiter)],
-        "metric string, column string, value string",
-    )
+    delimiters = stage(detect_delimiters(spark, path, glob=glob), "delimiters")
+    none = F.lit(None).cast("string").alias("column")
     parts = [
-        list_files(spark, path).agg(F.sum("bytes").alias("v")).select(*_row("bytes", None, "v")),
-        count_lines(spark, path).agg(F.sum("n_lines").alias("v")).select(*_row("lines", None, "v")),
-        position,
-        missing_counts(rows).select(*_row("missing", "column", "n_missing")),
-        distinct_counts(rows).select(*_row("distinct", "column", "n_distinct")),
-        rows.limit(preview)
-        .select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
-        .withColumn("n", F.monotonically_increasing_id() + 1)
-        .unpivot("n", rows.columns, "column", "v")
-        .select(F.concat_ws(" ", F.lit("row"), "n").alias("metric"), "column", F.col("v").alias("value")),
+        list_files(spark, path, glob).select(F.col("path").alias(FILE), F.lit("bytes").alias("metric"), none, F.col("bytes").cast("string").alias("value")),
+        count_lines(spark, path, glob).select(F.col("path").alias(FILE), F.lit("lines").alias("metric"), none, F.col("n_lines").cast("string").alias("value")),
+        delimiters.select(FILE, F.lit("delimiter").alias("metric"), none, F.col("delimiter").alias("value")),
+    ]
+    # One pass per delimiter in use; there are as many as candidates at most.
+    for (delimiter,) in delimiters.select("delimiter").distinct().orderBy("delimiter").collect():
+        parts += _profile_alike(spark, path, glob, delimiter, delimiters, preview)
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed(FILE, "file")
+
+
+def _profile_alike(spark: SparkSession, path, glob: str | None, delimiter: str, delimiters: DataFrame, preview: int) -> list[DataFrame]:
+    own = delimiters.where(F.col("delimiter") == delimiter).select(FILE)
+    reader = spark.read.option("header", True).option("sep", delimiter)
+    names = reader.csv(own.agg(F.min(FILE)).first()[0]).columns
+    if glob:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = reader.schema(texts).csv(path if isinstance(path, str) else list(path))
+    rows = rows.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias("_block"), "*").join(own, FILE, "left_semi")
+    counts = stage(_value_counts(rows, names, [FILE]).groupBy(FILE, "column").agg(
+        F.count("value").alias("distinct"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+        *[F.count_if(F.col("value").isNotNull() & F.col("value").try_cast(t).isNull()).alias(t) for t in TEXT_TYPES],
+    ), "profile")
+    # The narrowest type that every value of every file can be read as.
+    fits = [F.when(F.sum(t) == 0, F.lit(t)) for t in TEXT_TYPES]
+    types = counts.groupBy("column").agg(F.coalesce(F.when(F.sum("distinct") == 0, F.lit("string")), *fits, F.lit("string")).alias("value"))
+    described = own.join(F.broadcast(types)).select(FILE, F.lit("type").alias("metric"), "column", "value")
+    first = first_rows_of_files(rows, preview)
+    shown = [F.struct(F.concat_ws(" ", F.lit("row"), "place").alias("metric"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in names]
+    return [
+        counts.select(FILE, F.lit("missing").alias("metric"), "column", F.col("missing").cast("string").alias("value")),
+        counts.select(FILE, F.lit("distinct").alias("metric"), "column", F.col("distinct").cast("string").alias("value")),
+        described,
+        first.select(FILE, F.inline(F.array(*shown))),
     ]
-    tidy = reduce(DataFrame.unionByName, parts)
-    return tidy.select(F.lit(path).alias("file"), "metric", "column", "value")
-
-
-def _row(metric: str, column: str | None, value: str):
-    name = F.col(column) if column else F.lit(None).cast("string")
-    return [F.lit(metric).alias("metric"), name.alias("column"), F.col(value).cast("string").alias("value")]

@@ -11,7 +11,6 @@ from .ordering import by_hash, by_time, in_first
 
 # The sampling and split settings used by the training jobs.
 SEED = 42
-SAMPLE_SESSIONS = 100_000
 TRAIN_FRACTION = 0.8
 
 

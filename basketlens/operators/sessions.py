@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, known, money, null_to_zero, seconds_between
+from ..functions.columns import amount, known, money, null_to_zero, seconds_between
 from ..schema import DEFAULT_LABELS, EventLabels
 
 SESSION = "user_session"
@@ -19,8 +19,8 @@ _MEASURES = {
     "n_views": F.sum,
     "n_add_to_cart": F.sum,
     "n_purchases": F.sum,
-    "spent_cents": F.sum,
-    "viewed_cents": F.sum,
+    "spent": F.sum,
+    "viewed_sum": F.sum,
     "n_viewed_prices": F.sum,
     "max_price_viewed": F.max,
 }
@@ -37,8 +37,8 @@ def _measures(labels: EventLabels, count_null_types: bool) -> dict[str, Column]:
         "n_views": F.count_if(kind == labels.view),
         "n_add_to_cart": F.count_if(kind == labels.cart),
         "n_purchases": F.count_if(kind == labels.purchase),
-        "spent_cents": F.sum(F.when(kind == labels.purchase, cents("price"))),
-        "viewed_cents": F.sum(cents(viewed)),
+        "spent": F.sum(F.when(kind == labels.purchase, amount("price"))),
+        "viewed_sum": F.sum(amount(viewed)),
         "n_viewed_prices": F.count(viewed),
         "max_price_viewed": F.max(viewed),
     }
@@ -55,8 +55,8 @@ def _session_columns(extra: Sequence[str] = (), duration: bool = True) -> list[C
         columns.append(seconds_between("first_time", "last_time").alias("session_duration"))
     columns += [F.col(c) for c in ("total_events", "n_views", "n_add_to_cart", "n_purchases")]
     columns += [
-        money(null_to_zero("spent_cents")).alias("total_spent"),
-        (money(F.col("viewed_cents")) / F.nullif(F.col("n_viewed_prices"), F.lit(0))).alias("avg_price_viewed"),
+        money(null_to_zero("spent")).alias("total_spent"),
+        (money(F.col("viewed_sum")) / F.nullif(F.col("n_viewed_prices"), F.lit(0))).alias("avg_price_viewed"),
         F.col("max_price_viewed"),
         F.col("unique_products"),
     ]
@@ -72,6 +72,8 @@ def session_aggregate(
 ) -> DataFrame:
     """One row per session over all events; ``by`` adds group keys such as the source.
 
+    Prices that are NaN or infinite count as missing.
+
     The distinct product count makes Spark aggregate by (session, product) first and by
     session second, combining before both shuffles, so a session that holds a large part
     of all rows is spread over its products and no task sees it whole.
@@ -112,6 +114,12 @@ def session_fragments(
     )
 
 
+def sum_session_fragments(fragments: DataFrame) -> DataFrame:
+    """Fragments of many batches as fragments of one: a row per session and product."""
+    combined = [combine(name).cast(fragments.schema[name].dataType).alias(name) for name, combine in _MEASURES.items()]
+    return fragments.groupBy(SESSION, "product_id").agg(*combined)
+
+
 def merge_session_fragments(fragments: DataFrame) -> DataFrame:
     """Fragments of any number of sources to the table :func:`session_aggregate` gives."""
     sessions = fragments.groupBy(SESSION).agg(

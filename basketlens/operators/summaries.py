@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cents, day_of, known, money
-from .ordering import exact_percentile
+from ..functions.columns import amount, day_of, known, money
+from .ordering import percentile_of_counts, value_counts
 
 
 def row_counts(df: DataFrame, source: str | None = None) -> DataFrame:
@@ -22,17 +22,21 @@ def event_type_counts(events: DataFrame) -> DataFrame:
 
 
 def price_summary(events: DataFrame, exact: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """``min_price, avg_price, max_price, median_price``.
+    """``min_price, avg_price, max_price, median_price``; NaN and infinite prices do not count.
 
-    The median is a bounded-size sketch by default; ``exact=True`` finds the interpolated
-    median by counting passes over the price column.
+    The median is a bounded-size sketch by default. ``exact=True`` counts each distinct price in
+    one scan and finds everything, the interpolated median too, on those counts.
     """
     price = known("price")
     if exact:
-        median = F.lit(exact_percentile(events, "price", 0.5)).cast("double")
+        counts = value_counts(events, price)
+        median = F.lit(percentile_of_counts(counts, 0.5)).cast("double")
+        price, weight = F.col("v"), F.col("n")
+        total, n = F.sum(amount(price) * weight.cast("decimal(20,0)")), F.sum(F.when(price.isNotNull(), weight))
+        events = counts
     else:
         median = F.percentile_approx(price, 0.5, accuracy)
-    total, n = F.sum(cents(price)), F.count(price)
+        total, n = F.sum(amount(price)), F.count(price)
     return events.agg(
         F.min(price).alias("min_price"),
         (money(total) / F.nullif(n, F.lit(0))).alias("avg_price"),

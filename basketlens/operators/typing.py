@@ -17,12 +17,15 @@ FRACTIONAL = (T.FloatType, T.DoubleType)
 INTEGER_TYPES = [("tinyint", 8), ("smallint", 16), ("int", 32), ("bigint", 64)]
 FLOAT_TOLERANCE = 5e-4
 
-# Types of a narrowed event table.
+# Types of a narrowed event table.
 NARROW_EVENTS = {"product_id": "int", "user_id": "int", "price": "float"}
 
 
 def narrow(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Cast to fixed narrower types; a value out of range becomes null."""
+    """Cast to fixed narrower types; a value out of range becomes null.
+
+    :func:`narrowing_losses` counts such values, :func:`fitting_types` picks types without any.
+    """
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
 
 
@@ -35,6 +38,14 @@ def narrowing_losses(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return lost.unpivot([], present, "column", "n_lost")
 
 
+def fitting_types(df: DataFrame, types: Mapping[str, str]) -> dict[str, str]:
+    """Those of ``types`` that no value is lost by; one pass, a row per column to the driver."""
+    present = [c for c in types if c in df.columns]
+    if not present:
+        return {}
+    return {r["column"]: types[r["column"]] for r in narrowing_losses(df, types).where("n_lost = 0").collect()}
+
+
 def stringify_columns(df: DataFrame, columns: Sequence[str], null_literal: str | None = None) -> DataFrame:
     """Columns as text, optionally with a literal where they are null."""
     return df.withColumns({c: stringify(c, null_literal) for c in columns if c in df.columns})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.categories import (
     events_pivot,
@@ -40,17 +39,15 @@ def aggregate_files(spark: SparkSession, source: str, target: str, pattern: str,
 def report(spark: SparkSession, totals_path: str) -> CategoryReport:
     """The reports over a stored category table.
 
-    Months and event types are read from the table (a few rows each) to give the pivots
-    their columns.
+    The pivots have a column per month or event type that occurs; Spark counts them first and stops
+    above ``spark.sql.pivotMaxValues``. ``heat_cells`` has no such bound.
     """
     totals = with_month_str(read_category_csv(spark, totals_path))
-    months = [r[0] for r in totals.select("month_str").where(F.col("month_str").isNotNull()).distinct().orderBy("month_str").collect()]
-    types = [r[0] for r in totals.select("event_type").distinct().orderBy("event_type").collect()]
     return CategoryReport(
         totals=totals,
         by_month=sales_by_month(totals),
         top=top_categories(totals),
-        volumes=events_pivot(totals, types),
-        heat=sales_pivot(totals, months),
+        volumes=events_pivot(totals),
+        heat=sales_pivot(totals),
         heat_cells=sales_long(totals),
     )

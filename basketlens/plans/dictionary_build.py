@@ -13,7 +13,10 @@ from ..sources.events import read_events_csv
 
 
 def build(spark: SparkSession, sources: Sequence[str], targets: Sequence[str], **options) -> DataFrame:
-    """Encode each source to its target; returns the dictionary they share."""
+    """Encode each source to its target; returns the dictionary they share.
+
+    Each source is parsed twice: for all its dictionary columns at once, and to be encoded.
+    """
     frames = [read_events_csv(spark, s, **options) for s in sources]
     dictionary = build_dictionary(frames, DICTIONARY_COLUMNS)
     for frame, target in zip(frames, targets, strict=True):

@@ -22,7 +22,7 @@ from ..learning.models import (
     with_target,
 )
 from ..operators.metrics import regression_metrics
-from ..operators.sampling import SAMPLE_SESSIONS, SEED, TRAIN_FRACTION, sample_n
+from ..operators.sampling import SEED, TRAIN_FRACTION, sample_n
 from ..operators.sessions import SESSION, session_aggregate
 from ..runtime import stage
 from ..schema import DEFAULT_LABELS, EventLabels
@@ -31,6 +31,7 @@ from ..schema import DEFAULT_LABELS, EventLabels
 @dataclass(frozen=True)
 class SpendResult:
     model: PipelineModel
+    scored: DataFrame
     metrics: DataFrame
     importance: DataFrame
     points: DataFrame
@@ -44,24 +45,24 @@ def spend_sessions(events: DataFrame, source: str | None = None, labels: EventLa
 def train_spend(
     sessions: DataFrame,
     features: Sequence[str] = schema.SPEND_FEATURES,
-    sample: int | None = SAMPLE_SESSIONS,
+    sample: int | None = None,
     key: str = SESSION,
     forest: bool = False,
     rounds: int = BOOSTING_ROUNDS,
     trees: int | None = None,
     save_to: str | None = None,
 ) -> SpendResult:
-    """Sample sessions, split 80/20, fit on log1p of the spend, score the held-out part.
+    """Split sessions 80/20, fit on log1p of the spend, score the held-out part.
 
-    ``key`` must be unique in ``sessions``. ``sample=None`` trains on every session.
+    ``key`` must be unique in ``sessions``. Every session takes part; ``sample`` draws so many
+    of them first.
     """
     table = stage(featurize(sessions), "spend-sessions")
     if sample is not None:
         table = sample_n(table, sample, key)
     table = with_target(select_features(table, features, key, schema.SPEND_TARGET))
     test = ~hash_below(key, SEED + 1, TRAIN_FRACTION)
-    # A small sample of a large table: few even files instead of one per scanned split.
-    table = stage(table.withColumn("is_test", test).hint("rebalance"), "spend-sample")
+    table = stage(table.withColumn("is_test", test).hint("rebalance"), "spend-split")
     held_out = table.where("is_test")
     if forest:
         options = {"trees": trees} if trees else {}
@@ -73,6 +74,7 @@ def train_spend(
         save_model(model, save_to, features)
     return SpendResult(
         model=model,
+        scored=scored,
         metrics=regression_metrics(scored, "actual", "predicted"),
         importance=feature_importance(model, table, features),
         points=prediction_points(scored, key),

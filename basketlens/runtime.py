@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,7 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[|$)", context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             base = tempfile.mkdtemp(prefix="basketlens-")
         _roots[app] = f"{base.rstrip('/')}/basketlens/{app}"
@@ -67,6 +68,30 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The existing paths that a path or glob pattern names."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(hadoop_path)
+    return [] if found is None else [str(f.getPath()) for f in found]
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; ``target`` may be an empty folder and must not be anything else."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path(target)):
+        fs.delete(path(target), False)
+    if not fs.rename(path(source), path(target)):
+        raise RuntimeError(f"{source} could not be moved to {target}")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table.
 
@@ -83,6 +108,4 @@ def release(spark: SparkSession) -> None:
     """Delete this application's folder; call when its results are no longer read."""
     root = _roots.pop(spark.sparkContext.applicationId, None)
     if root:
-        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(hadoop_path, True)
+        delete_path(spark, root)

@@ -40,6 +40,7 @@ RAW_EVENTS = T.StructType(
     [T.StructField("event_time", T.StringType())] + EVENTS.fields[1:]
 )
 
+# The session table.
 SESSIONS = T.StructType(
     [
         T.StructField("user_session", T.StringType()),
@@ -57,6 +58,7 @@ SESSIONS = T.StructType(
     ]
 )
 
+# The category table.
 CATEGORY_TOTALS = T.StructType(
     [
         T.StructField("category_id", T.LongType()),
@@ -94,10 +96,11 @@ SPEND_FEATURES = [
 ]
 SPEND_TARGET = "total_spent"
 
-# Columns that identify a session or give its purchase away.
+# Columns that identify a session or give its purchase away.
 IDENTIFIERS = ["user_session", "session_start", "session_end"]
 LEAKS = ["n_purchases", "total_spent"]
 
+# Columns that share dictionaries.
 DICTIONARY_COLUMNS = ["event_type", "category_code", "brand"]
 
 

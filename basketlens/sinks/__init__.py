@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import format_event_time
-from ..operators.typing import NARROW_EVENTS, narrow
-from ..runtime import path_exists
+from ..operators.typing import NARROW_EVENTS, fitting_types, narrow
+from ..runtime import matching_paths, move_path, path_exists
 from ..sources.events import read_events_csv, with_source_tag
 
 
@@ -37,14 +38,16 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", delimiter: str = ",
     df.write.mode(mode).option("header", True).option("sep", delimiter).csv(path)
 
 
-def write_events_csv(events: DataFrame, path: str, partition_by: Sequence[str] = (), **options) -> None:
+def write_events_csv(
+    events: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error", delimiter: str = ","
+) -> None:
     """Events in their text form (``2019-10-01 00:00:00 UTC``)."""
     text = events.withColumn("event_time", format_event_time("event_time"))
     if partition_by:
         text = text.hint("rebalance", *partition_by)
-        text.write.option("header", True).partitionBy(*partition_by).csv(path)
+        text.write.mode(mode).option("header", True).option("sep", delimiter).partitionBy(*partition_by).csv(path)
     else:
-        write_csv(text, path, **options)
+        write_csv(text, path, mode, delimiter)
 
 
 def convert_csv(
@@ -55,11 +58,14 @@ def convert_csv(
     month_pattern: str | None = None,
     **options,
 ) -> None:
-    """Event CSV files to one typed Parquet table under one fixed schema.
+    """Event CSV files to one typed Parquet table under one schema.
 
+    ``types`` are narrower types wished for; a column with a value that does not fit keeps
+    its type, so no id is lost. That takes a pass over the files before they are converted.
     ``month_pattern`` takes the month out of each file's path and gives each its folder.
     """
-    events = narrow(read_events_csv(spark, source, **options), types)
+    events = read_events_csv(spark, source, **options)
+    events = narrow(events, fitting_types(events, types))
     if month_pattern is None:
         write_parquet(events, target)
     else:
@@ -67,7 +73,17 @@ def convert_csv(
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``, built and written only if it is not complete there."""
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    """The table at ``path``, built and written only if it is not there.
+
+    It is written next to ``path`` and moved there when complete, so whatever is found at
+    ``path`` is whole or somebody else's: a folder that has files but was not completed by
+    Spark is left alone and an error raised.
+    """
+    path = path.rstrip("/")
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        if matching_paths(spark, f"{path}/*"):
+            raise RuntimeError(f"{path} holds files but no complete table")
+        aside = f"{path}.building-{uuid.uuid4().hex}"
+        build().write.parquet(aside)
+        move_path(spark, aside, path)
     return spark.read.parquet(path)

@@ -6,25 +6,71 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
 from ..functions.columns import parse_event_time
-from ..runtime import path_exists, scratch_path
+from ..runtime import matching_paths
 
 CORRUPT = "_corrupt_record"
+LINE = "_line"
+
+# What to do with a bad row, and a separator that text files do not have.
+POLICIES = ("fail", "drop", "quarantine", "lenient")
+NO_SEPARATOR = "\x01"
 
 
 def _paths(spark: SparkSession, paths, missing: str) -> list[str]:
     paths = [paths] if isinstance(paths, str) else list(paths)
     if missing == "skip":
-        paths = [p for p in paths if path_exists(spark, p)]
+        paths = [p for p in paths if matching_paths(spark, p)]
     return paths
 
 
+def as_lines(reader, glob: str | None = None):
+    """A batch or stream reader of delimited text set up for whole lines without the header."""
+    if glob:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    return reader.option("header", True).option("sep", NO_SEPARATOR).option("quote", "").schema(f"{LINE} string")
+
+
+def parse_lines(
+    lines: DataFrame,
+    file_schema: T.StructType = schema.RAW_EVENTS,
+    delimiter: str = ",",
+    on_bad: str = "fail",
+    times: Sequence[str] = (),
+) -> DataFrame:
+    """Lines to typed columns under a policy; see :func:`read_raw_csv`.
+
+    A row is judged by all its fields, whichever columns the query reads. ``times`` names text
+    columns that must hold event times; they are returned as timestamps.
+    """
+    if on_bad not in POLICIES:
+        raise ValueError(f"unknown policy {on_bad!r}")
+    names = file_schema.names
+    fields = ", ".join(f"`{n}` string" for n in names)
+    options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = lines.withColumn("_p", F.from_csv(F.col(LINE), f"{fields}, {CORRUPT} string", options))
+    read = {f.name: parse_event_time(F.col(f"_p.{f.name}")) if f.name in times else F.col(f"_p.{f.name}").try_cast(f.dataType) for f in file_schema.fields}
+    miscounted = F.col(f"_p.{CORRUPT}").isNotNull()
+    unreadable = reduce(or_, [F.col(f"_p.{n}").isNotNull() & value.isNull() for n, value in read.items()])
+    columns = [value.alias(n) for n, value in read.items()]
+    if on_bad == "lenient":
+        wider = F.from_csv(F.col(LINE), f"{fields}, _surplus string, {CORRUPT} string", options)
+        surplus = F.col(f"_w.{CORRUPT}").isNull() | F.col("_w._surplus").isNotNull() | (miscounted & F.col(f"_p.{names[-1]}").isNotNull())
+        return rows.withColumn("_w", wider).where(~surplus).select(*columns)
+    bad = F.coalesce(miscounted | unreadable, F.lit(False))
+    if on_bad == "drop":
+        return rows.where(~bad).select(*columns)
+    if on_bad == "fail":
+        stop = F.raise_error(F.concat(F.lit("MALFORMED row: "), F.col(LINE))).cast("boolean")
+        return rows.where(F.when(bad, stop).otherwise(F.lit(True))).select(*columns)
+    return rows.select(*columns, F.when(bad, F.col(LINE)).alias(CORRUPT))
+
+
 def read_raw_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -34,42 +80,22 @@ def read_raw_csv(
     on_bad: str = "fail",
     glob: str | None = None,
     missing: str = "fail",
+    times: Sequence[str] = (),
 ) -> DataFrame:
-    """Delimited text with a header under a fixed schema.
+    """Delimited text with a header line per file under a fixed schema.
 
-    ``on_bad`` says what a row with the wrong number of fields or an unreadable value
-    does: ``fail`` stops the job when a column it is bad in is read, ``drop`` leaves the
-    row out, ``quarantine`` keeps it with its text in ``_corrupt_record``. Bytes that are
-    not UTF-8 become U+FFFD. ``missing="skip"`` passes over absent paths.
+    ``on_bad`` says what a row with the wrong number of fields or an unreadable value does:
+    ``fail`` stops the job, ``drop`` leaves the row out, ``quarantine`` keeps it with its line as
+    it was in ``_corrupt_record``. ``lenient`` keeps rows with too few fields, the missing ones
+    null, makes unreadable values null, and leaves out rows with too many fields. Bytes that
+    are not UTF-8 become U+FFFD. ``missing="skip"`` passes over paths and patterns that match nothing.
     """
-    if on_bad not in ("fail", "drop", "quarantine"):
-        raise ValueError(f"unknown policy {on_bad!r}")
-    reader = spark.read.option("header", True).option("sep", delimiter)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     found = _paths(spark, paths, missing)
-    if on_bad == "fail":
-        if not found:
-            return spark.createDataFrame([], file_schema)
-        return reader.option("mode", "FAILFAST").schema(file_schema).csv(found)
-
-    # The CSV reader only converts the columns a query selects, so its own modes would
-    # judge a row differently from query to query. Here every field is read as text and
-    # every conversion is part of the verdict.
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in file_schema.fields])
-    texts = texts.add(CORRUPT, T.StringType())
-    if not found:
-        lines = spark.createDataFrame([], texts)
+    if found:
+        lines = as_lines(spark.read, glob).csv(found)
     else:
-        reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT)
-        lines = reader.option("mode", "PERMISSIVE").schema(texts).csv(found)
-    converted = {f.name: F.col(f.name).try_cast(f.dataType) for f in file_schema.fields}
-    unreadable = reduce(or_, [F.col(c).isNotNull() & v.isNull() for c, v in converted.items()])
-    line = F.concat_ws(delimiter, *[F.coalesce(F.col(c), F.lit("")) for c in converted])
-    verdict = F.coalesce(F.col(CORRUPT), F.when(unreadable, line))
-    if on_bad == "drop":
-        return lines.where(verdict.isNull()).select(*[v.alias(c) for c, v in converted.items()])
-    return lines.select(*[v.alias(c) for c, v in converted.items()], verdict.alias(CORRUPT))
+        lines = spark.createDataFrame([], f"{LINE} string")
+    return parse_lines(lines, file_schema, delimiter, on_bad, times)
 
 
 def read_events_csv(
@@ -80,8 +106,7 @@ def read_events_csv(
     **options,
 ) -> DataFrame:
     """Event CSV with typed times. ``columns`` is a projection the scan honours."""
-    events = read_raw_csv(spark, paths, **options)
-    events = events.withColumn("event_time", parse_event_time("event_time"))
+    events = read_raw_csv(spark, paths, times=["event_time"], **options)
     return events.select(*columns) if columns else events
 
 
@@ -117,38 +142,17 @@ def read_category_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_source_tag(df: DataFrame, pattern: str, name: str = "month", group: int = 1) -> DataFrame:
-    """Tag each row with the part of its file's path that ``pattern`` captures."""
-    return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, group))
+    """Tag each row with the part of its file's path that ``pattern`` captures; null without a match."""
+    path = F.col("_metadata.file_path")
+    return df.withColumn(name, F.when(path.rlike(pattern), F.regexp_extract(path, pattern, group)))
 
 
-def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The first ``n`` lines of a text file as a table (``value``).
+def infer_types(spark: SparkSession, path: str | Sequence[str], delimiter: str = ",", glob: str | None = None) -> T.StructType:
+    """Column types that fit every row of the files, to be used for the whole read.
 
-    ``take`` reads as many splits as it needs; a limit inside a larger job would send up
-    to ``n`` lines of every split to one task.
+    One distributed pass; what reaches the driver is a type per column.
     """
-    lines = [row.value for row in spark.read.text(path).take(n)]
-    return spark.createDataFrame(pa.table({"value": pa.array(lines, pa.string())})).coalesce(1)
-
-
-def head_file(spark: SparkSession, path: str, n: int) -> str:
-    """Store the header and first ``n`` rows of a delimited file; the path of the copy."""
-    sample = scratch_path(spark, "head")
-    first_lines(spark, path, n + 1).write.text(sample)
-    return sample
-
-
-def infer_types(spark: SparkSession, path: str, n: int = 50_000, delimiter: str = ",") -> T.StructType:
-    """Column types guessed from the first ``n`` rows, to be used for the whole read."""
-    return _guess(spark, head_file(spark, path, n), delimiter)
-
-
-def read_head(spark: SparkSession, path: str, n: int = 50_000, delimiter: str = ",") -> DataFrame:
-    """The first ``n`` rows of a delimited file under types guessed from them."""
-    sample = head_file(spark, path, n)
-    types = _guess(spark, sample, delimiter)
-    return spark.read.schema(types).option("header", True).option("sep", delimiter).csv(sample)
-
-
-def _guess(spark: SparkSession, path: str, delimiter: str) -> T.StructType:
-    return spark.read.option("header", True).option("sep", delimiter).option("inferSchema", True).csv(path).schema
+    reader = spark.read.option("header", True).option("sep", delimiter).option("inferSchema", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    return reader.csv(path if isinstance(path, str) else list(path)).schema

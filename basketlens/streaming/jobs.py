@@ -2,10 +2,17 @@
 
 Every job takes what is there and stops (``availableNow``); run it again, or with a
 processing-time trigger, for new files. Progress is in the checkpoint folder.
+
+Sessions and categories are kept as partial results per micro-batch, in
+``<target>/batches=<first>-<last>/attempt=<k>``. A batch that is run again after a failure writes a
+further attempt; readers take the last complete attempt of every batch, so they see a batch whole,
+old or new. ``compact_sessions`` and ``compact_categories`` merge all complete batches into one such
+folder, which then stands for them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -13,33 +20,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import schema
-from ..functions.columns import cents, money, null_to_zero, parse_event_time
+from ..functions.columns import amount, money, null_to_zero
 from ..learning.models import score
-from ..operators.categories import KEYS, category_partials, merge_category_partials
-from ..operators.sessions import merge_session_fragments, session_fragments
-from ..operators.typing import NARROW_EVENTS, narrow
+from ..operators.categories import KEYS, category_partials, merge_category_partials, sum_category_partials
+from ..operators.sessions import merge_session_fragments, session_fragments, sum_session_fragments
+from ..operators.typing import narrow
+from ..runtime import delete_path, matching_paths
+from ..schema import DEFAULT_LABELS, EventLabels
+from ..sources.events import as_lines, parse_lines
 
-BATCH = "batch_id"
+# Types that a stream can narrow to without losing an id.
+NARROW_STREAM = {"price": "float"}
 
 
 def stream_events_csv(
-    spark: SparkSession, path: str, max_files: int | None = None, glob: str = "*.csv"
+    spark: SparkSession, path: str, max_files: int | None = None, glob: str = "*.csv", on_bad: str = "fail", delimiter: str = ","
 ) -> DataFrame:
     """New event CSV files below ``path`` as a stream with typed times.
 
     ``max_files`` bounds a micro-batch; without it the first one takes everything there is.
+    ``on_bad`` as in a batch read: with ``fail`` a bad row stops the stream until it is mended.
     """
-    reader = (
-        spark.readStream.schema(schema.RAW_EVENTS)
-        .option("header", True)
-        .option("mode", "FAILFAST")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-    )
+    reader = as_lines(spark.readStream, glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(path).withColumn("event_time", parse_event_time("event_time"))
+    return parse_lines(reader.csv(path), delimiter=delimiter, on_bad=on_bad, times=["event_time"])
 
 
 def stream_convert(
@@ -47,11 +52,16 @@ def stream_convert(
     source: str,
     target: str,
     checkpoint: str,
-    types: Mapping[str, str] = NARROW_EVENTS,
+    types: Mapping[str, str] = NARROW_STREAM,
     max_files: int | None = None,
+    on_bad: str = "fail",
 ) -> StreamingQuery:
-    """New CSV files to typed Parquet, each exactly once."""
-    events = narrow(stream_events_csv(spark, source, max_files), types)
+    """New CSV files to typed Parquet, each exactly once.
+
+    A stream cannot look ahead, so ids keep their width unless ``types`` says otherwise; then a value
+    that does not fit becomes null.
+    """
+    events = narrow(stream_events_csv(spark, source, max_files, on_bad=on_bad), types)
     return (
         events.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
@@ -60,12 +70,36 @@ def stream_convert(
     )
 
 
+def _attempts(spark: SparkSession, target: str) -> dict[tuple[int, int], list[tuple[int, str]]]:
+    """The attempts of every range of batches, complete or not, with a name per folder."""
+    found: dict[tuple[int, int], list[tuple[int, str]]] = {}
+    for path in matching_paths(spark, f"{target}/batches=*/attempt=*"):
+        first, last, attempt = map(int, re.search(r"batches=(\d+)-(\d+)/attempt=(\d+)$", path).groups())
+        found.setdefault((first, last), []).append((attempt, path))
+    return found
+
+
+def complete_batches(spark: SparkSession, target: str) -> dict[tuple[int, int], str]:
+    """The folder to read for each range of batches: the last complete attempt of the widest ranges."""
+    done = set()
+    for marker in matching_paths(spark, f"{target}/batches=*/attempt=*/_SUCCESS"):
+        done.add(marker.rsplit("/", 1)[0])
+    complete = {span: max((a, p) for a, p in attempts if p in done)[1] for span, attempts in _attempts(spark, target).items() if any(p in done for _, p in attempts)}
+    inside = lambda a, b: a != b and b[0] <= a[0] and a[1] <= b[1]
+    return {span: path for span, path in complete.items() if not any(inside(span, other) for other in complete)}
+
+
+def _store(partials: DataFrame, target: str, first: int, last: int) -> None:
+    spark = partials.sparkSession
+    attempt = 1 + max((a for a, _ in _attempts(spark, target).get((first, last), [])), default=0)
+    partials.write.parquet(f"{target}/batches={first}-{last}/attempt={attempt}")
+
+
 def _write_partials(
     events: DataFrame, target: str, checkpoint: str, partials: Callable[[DataFrame], DataFrame]
 ) -> StreamingQuery:
-    # A batch that is run again after a failure overwrites its own folder.
     def write(batch: DataFrame, batch_id: int) -> None:
-        partials(batch).write.mode("overwrite").parquet(f"{target}/{BATCH}={batch_id}")
+        _store(partials(batch), target, batch_id, batch_id)
 
     return (
         events.writeStream.foreachBatch(write)
@@ -75,15 +109,44 @@ def _write_partials(
     )
 
 
-def stream_sessions(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def _read_partials(spark: SparkSession, target: str) -> DataFrame:
+    paths = sorted(complete_batches(spark, target).values())
+    if not paths:
+        raise FileNotFoundError(f"{target} has no complete batch yet")
+    return spark.read.parquet(*paths)
+
+
+def _compact(spark: SparkSession, target: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge all complete batches into one folder.
+
+    Folders that an earlier merge already stood for are deleted; those just merged stay for readers
+    that have begun with them.
+    """
+    before = complete_batches(spark, target)
+    kept = set(before.values())
+    for path in matching_paths(spark, f"{target}/batches=*/attempt=*/_SUCCESS"):
+        if (folder := path.rsplit("/", 1)[0]) not in kept:
+            delete_path(spark, folder)
+    spans = sorted(before)
+    gaps = [a for a, b in zip(spans, spans[1:]) if a[1] + 1 != b[0]]
+    if len(spans) > 1 and not gaps:
+        _store(merge(spark.read.parquet(*kept)), target, spans[0][0], spans[-1][1])
+
+
+def stream_sessions(events: DataFrame, target: str, checkpoint: str, labels: EventLabels = DEFAULT_LABELS) -> StreamingQuery:
     """Each micro-batch's session fragments to ``target``; a session may go on in any
     later batch. :func:`current_sessions` merges them."""
-    return _write_partials(events, target, checkpoint, lambda batch: session_fragments(batch, []))
+    return _write_partials(events, target, checkpoint, lambda batch: session_fragments(batch, [], labels))
 
 
 def current_sessions(spark: SparkSession, target: str) -> DataFrame:
-    """The session table over all batches so far."""
-    return merge_session_fragments(spark.read.parquet(target))
+    """The session table over all complete batches."""
+    return merge_session_fragments(_read_partials(spark, target))
+
+
+def compact_sessions(spark: SparkSession, target: str) -> None:
+    """One fragment per session and product instead of one per batch, session and product."""
+    _compact(spark, target, sum_session_fragments)
 
 
 def stream_category_partials(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -92,8 +155,13 @@ def stream_category_partials(events: DataFrame, target: str, checkpoint: str) ->
 
 
 def current_categories(spark: SparkSession, target: str) -> DataFrame:
-    """Category totals over all batches so far."""
-    return merge_category_partials(spark.read.parquet(target), [BATCH])
+    """Category totals over all complete batches."""
+    return merge_category_partials(_read_partials(spark, target), [])
+
+
+def compact_categories(spark: SparkSession, target: str) -> None:
+    """One partial per category, event type and product instead of one per batch and those."""
+    _compact(spark, target, sum_category_partials)
 
 
 def stream_category_aggregate(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -103,15 +171,15 @@ def stream_category_aggregate(events: DataFrame, by: Sequence[str] = ()) -> Data
     count is approximate; use the partials for the exact one.
     """
     grouped = events.groupBy(*by, *KEYS).agg(
-        F.sum(null_to_zero(cents("price"))).alias("sum_cents"),
+        F.sum(null_to_zero(amount("price"))).alias("sales"),
         F.count(F.lit(1)).alias("n_rows"),
         F.count("event_type").alias("num_events"),
         F.approx_count_distinct("product_id").alias("unique_products"),
     )
     return grouped.select(
         *KEYS,
-        money(F.col("sum_cents")).alias("total_sales"),
-        (money(F.col("sum_cents")) / F.col("n_rows")).alias("avg_price"),
+        money(F.col("sales")).alias("total_sales"),
+        (money(F.col("sales")) / F.col("n_rows")).alias("avg_price"),
         "num_events",
         "unique_products",
         *by,

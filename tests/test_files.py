@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from basketlens import schema
 from basketlens.operators import profile, typing
-from basketlens.operators.dictionary import build_dictionary, decode, encode
+from basketlens.operators.categories import category_aggregate
+from basketlens.operators.dictionary import build_dictionary, decode, distinct_values, encode
+from basketlens.operators.sessions import session_aggregate
+from basketlens.operators.summaries import price_summary
 from basketlens.runtime import path_exists, shared_root, stage
 from basketlens.sinks import convert_csv, materialize, write_events_csv, write_parquet
 from basketlens.sources import events as source
@@ -52,9 +55,36 @@ def test_bad_rows_do_not_depend_on_the_columns_read(spark, dirty):
     assert texts[1].endswith("extra") and "oops" in texts[2]
 
 
+def test_quarantine_keeps_the_line(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    late = 'yesterday,view,3,10,"a,b",acme,1.25,7,s1'
+    path.write_text("\n".join([HEADER, GOOD, late, '2019-10-01 00:00:03 UTC,view,"x ""y""",10,,,,7,s1']) + "\n")
+    events = source.read_events_csv(spark, str(path), on_bad="quarantine")
+    good, bad = source.split_quarantine(events)
+    assert good.count() == 1
+    assert {r._corrupt_record for r in bad.collect()} == set(path.read_text().splitlines()[2:])
+    assert bad.where("category_code = 'a,b'").count() == 1
+
+
+def test_lenient_keeps_short_rows(spark, dirty):
+    rows = {r.product_id: r for r in source.read_events_csv(spark, dirty, on_bad="lenient").collect()}
+    assert set(rows) == {1, 2, None, 5}
+    assert rows[2].price is None and rows[2].category_id == 10
+    assert rows[None].user_session == "s1"
+
+
+def test_headers_of_all_files_are_left_out(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"{HEADER}\n{GOOD}\n{GOOD}\n")
+    for policy in source.POLICIES:
+        assert source.read_events_csv(spark, str(tmp_path), on_bad=policy).count() == 6
+
+
 def test_fail_stops(spark, dirty):
     with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
         source.read_events_csv(spark, dirty).collect()
+    with pytest.raises(Exception, match="MALFORMED"):
+        source.read_events_csv(spark, dirty, columns=["event_type"]).count()
     with pytest.raises(ValueError):
         source.read_events_csv(spark, dirty, on_bad="ignore")
 
@@ -68,6 +98,8 @@ def test_glob_and_missing(spark, dirty, tmp_path):
     assert {tuple(r) for r in tagged.groupBy("month").count().collect()} == {("2019-Oct", 2), ("2019-Nov", 1)}
     absent = str(tmp_path / "absent")
     assert source.read_events_csv(spark, [dirty, absent], on_bad="drop", missing="skip").count() == 2
+    assert source.read_events_csv(spark, f"{tmp_path}/2019-*.csv", on_bad="drop", missing="skip").count() == 3
+    assert source.read_events_csv(spark, [f"{tmp_path}/none-*.csv", dirty], on_bad="drop", missing="skip").count() == 2
     for policy in ("fail", "drop"):
         nothing = source.read_events_csv(spark, absent, missing="skip", on_bad=policy)
         assert nothing.count() == 0 and nothing.schema == schema.EVENTS
@@ -78,7 +110,8 @@ def test_glob_and_missing(spark, dirty, tmp_path):
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_times_do_not_depend_on_the_zone(spark, zone):
-    texts = ["2019-03-10 02:30:00 UTC", "2019-10-01", "2019-10-01 00:00:00", "2019-13-01 00:00:00 UTC", None]
+    texts = ["2019-03-10 02:30:00 UTC", "2019-10-01", "yesterday", "2019-13-01 00:00:00 UTC", None]
+    others = ["2019-03-10T02:30:00Z", "2019-03-10 02:30:00", "2019-03-10 04:30:00+02:00", "2019-03-09T21:00:00.000000-0530"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     from basketlens.functions import columns as fn
 
@@ -89,10 +122,12 @@ def test_times_do_not_depend_on_the_zone(spark, zone):
             time.cast("string").alias("time"), fn.format_event_time(time).alias("text"), fn.month_of(time).alias("month"),
             fn.day_of(time).cast("string").alias("day"), fn.micros_of(time).alias("micros"),
         ).collect()
+        same = spark.createDataFrame([(t,) for t in others], "t string").select(time.cast("string").alias("time")).collect()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert tuple(found[0]) == ("2019-03-10 02:30:00", texts[0], "2019-03", "2019-03-10 00:00:00", 1552185000000000)
     assert [r.time for r in found[1:]] == [None] * 4
+    assert [r.time for r in same] == ["2019-03-10 02:30:00"] * 3 + ["2019-03-10 02:30:00"]
 
 
 @pytest.mark.parametrize("delimiter", [",", ";", "\t", "|"])
@@ -116,24 +151,37 @@ def test_lines_and_sizes(spark, dirty):
     assert found.bytes == os.path.getsize(dirty)
 
 
-def test_types_come_from_the_first_rows(spark, tmp_path):
+def test_types_fit_every_row(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text("id,name,price\n1,x,1.5\n2,y,2\n3,z,late\n")
-    types = source.infer_types(spark, str(path), n=2)
-    assert [f.dataType.simpleString() for f in types] == ["int", "string", "double"]
+    path.write_text("id,name,price\n1,x,1.5\n2,y,2\n3000000000,z,late\n")
+    types = source.infer_types(spark, str(path))
+    assert [f.dataType.simpleString() for f in types] == ["bigint", "string", "string"]
 
 
 def test_profile(spark, tmp_path):
-    path = tmp_path / "t.csv"
-    path.write_text("id;name\n1;x\n2;\n2;y\n")
-    found = {(r.metric, r.column): r.value for r in profile.profile(spark, str(path)).collect()}
-    assert found["delimiter", None] == ";"
-    assert found["lines", None] == "4"
-    assert found["bytes", None] == str(os.path.getsize(path))
-    assert found["missing", "name"] == "1"
-    assert found["distinct", "id"] == "2"
-    assert found["row 1", "name"] == "x"
-    assert found["type", "id"] == "int"
+    (tmp_path / "a.csv").write_text("id;name\n1;x\n2;\n2;y\n")
+    (tmp_path / "b.csv").write_text("id;name\n7;z\n")
+    (tmp_path / "c.csv").write_text("k,v\n1,2\n")
+    rows = profile.profile(spark, str(tmp_path), glob="*.csv").collect()
+    found = {(os.path.basename(r.file), r.metric, r.column): r.value for r in rows}
+    assert found["a.csv", "delimiter", None] == ";"
+    assert found["a.csv", "lines", None] == "4"
+    assert found["a.csv", "bytes", None] == str(os.path.getsize(tmp_path / "a.csv"))
+    assert found["a.csv", "missing", "name"] == "1"
+    assert found["a.csv", "distinct", "id"] == "2"
+    assert found["a.csv", "row 1", "name"] == "x"
+    assert found["a.csv", "row 3", "name"] == "y"
+    assert found["b.csv", "type", "id"] == "int"
+    assert found["b.csv", "missing", "name"] == "0"
+    assert found["b.csv", "lines", None] == "2"
+    assert found["c.csv", "delimiter", None] == ","
+    assert len(rows) == len(found)
+
+
+def test_profiles_scan_once(spark, sf_dir):
+    events = retail_events(spark, sf_dir, ["event_type", "product_id", "price", "user_session"])
+    for df in (profile.distinct_counts(events), profile.cardinality_profile(events), distinct_values([events], ["event_type", "user_session"])):
+        assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
 def test_column_profiles(spark):
@@ -189,6 +237,22 @@ def test_csv_round_trip(spark, sf_dir, tmp_path):
     assert typed.count() == events.count()
 
 
+def test_conversion_loses_no_id(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text(f"{HEADER}\n{GOOD}\n{GOOD.replace(',1,', ',3000000000,', 1)}\n")
+    convert_csv(spark, str(path), str(tmp_path / "typed"))
+    typed = spark.read.parquet(str(tmp_path / "typed"))
+    assert {r.product_id for r in typed.collect()} == {1, 3000000000}
+    assert typed.schema["user_id"].dataType.simpleString() == "int"
+
+
+def test_partitioned_csv_obeys_its_options(spark, sf_dir, tmp_path):
+    events = retail_events(spark, sf_dir, [*schema.EVENT_COLUMNS, "month"]).limit(50)
+    for _ in range(2):
+        write_events_csv(events, str(tmp_path / "m"), partition_by=["month"], mode="overwrite", delimiter="|")
+    assert source.read_events_csv(spark, str(tmp_path / "m"), delimiter="|").count() == 50
+
+
 def test_partitioned_write(spark, sf_dir, tmp_path):
     events = retail_events(spark, sf_dir, [*schema.EVENT_COLUMNS, "month"])
     path = str(tmp_path / "monthly")
@@ -212,10 +276,29 @@ def test_materialize_builds_once(spark, tmp_path):
     assert len(built) == 1
 
 
-def test_unfinished_output_is_built_again(spark, tmp_path):
-    path = tmp_path / "cut-short"
+def test_other_tables_are_left_alone(spark, tmp_path):
+    path = tmp_path / "empty"
     path.mkdir()
     assert materialize(spark, str(path), lambda: spark.range(3)).count() == 3
+    os.remove(path / "_SUCCESS")
+    with pytest.raises(RuntimeError):
+        materialize(spark, str(path), lambda: spark.range(1))
+    assert spark.read.parquet(str(path)).count() == 3
+
+
+def test_sums_of_small_and_odd_prices(spark):
+    rows = [("s", 0.004), ("s", 0.004), ("t", float("inf")), ("t", 2.5), ("t", float("nan")), ("u", None)]
+    events = spark.createDataFrame(rows, "user_session string, price double").selectExpr(
+        "timestamp_ntz'2019-10-01 00:00:00' AS event_time", "'view' AS event_type", "1L AS product_id", "1L AS category_id", "price", "user_session"
+    )
+    found = {r.user_session: r for r in session_aggregate(events).collect()}
+    assert (found["s"].avg_price_viewed, found["s"].max_price_viewed) == (0.004, 0.004)
+    assert (found["t"].avg_price_viewed, found["t"].max_price_viewed) == (2.5, 2.5)
+    assert found["u"].avg_price_viewed is None
+    assert category_aggregate(events).first().total_sales == 2.508
+    summary = price_summary(events, exact=True).first()
+    assert (summary.min_price, summary.max_price, summary.median_price) == (0.004, 2.5, 0.004)
+    assert summary.avg_price == pytest.approx(2.508 / 3)
 
 
 def test_stage_goes_to_the_shared_folder(spark):

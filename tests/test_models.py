@@ -131,3 +131,31 @@ def test_spend_models(sessions, tmp_path, forest):
 def test_spend_sample_is_exact(sessions):
     result = spend.train_spend(sessions, sample=100, rounds=2)
     assert 0 < result.metrics.first().n < 40
+
+
+def test_boosting_stops_after_its_patience(sessions):
+    table = models.with_target(features.featurize(sessions)).withColumn("held_out", F.abs(F.hash("user_session")) % 5 == 0)
+    model = models.train_boosted_spend(table, validation="held_out", rounds=24, patience=3).stages[-1]
+    held_out = models._assembler(schema.SPEND_FEATURES).transform(table.where("held_out"))
+    n = model.getNumTrees
+    longer = models.train_boosted_spend(table.where("NOT held_out"), rounds=min(24, n + 3)).stages[-1]
+    errors = longer.evaluateEachIteration(held_out, "squared")
+    assert errors[n - 1] == pytest.approx(min(errors))
+
+
+def test_scores_keep_the_callers_columns(sessions):
+    train = features.prepare(sessions, "user_session").withColumn("own_z", F.lit(1.5))
+    scored = models.score(models.train_purchase_model(train), train)
+    assert scored.columns == [*train.columns, "prediction", "score"]
+
+
+def test_a_forest_of_one_class_scores_zero(sessions):
+    train = features.prepare(sessions, "user_session").withColumn(schema.PURCHASE_LABEL, F.lit(0))
+    scored = models.score(models.train_forest_classifier(train, trees=2, depth=2), train)
+    assert scored.agg(F.max("score")).first()[0] == 0.0
+
+
+def test_metrics_leave_out_rows_without_a_prediction(spark):
+    scored = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 3.0), (100.0, None), (None, 4.0)], "a double, p double")
+    found = metrics.regression_metrics(scored, "a", "p").first()
+    assert (found.n, found.r2) == (3, pytest.approx(1 - 5 / 8))

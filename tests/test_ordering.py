@@ -107,7 +107,7 @@ def test_pages_cover_everything(spark, monkeypatch):
     for top in (1000, 5):
         monkeypatch.setattr(ordering, "TOP_ROWS", top)
         pages = [ordering.page(df, by_start, o, 20).collect() for o in range(0, 100, 20)]
-        assert [sorted(map(tuple, p)) for p in pages] == [order[o : o + 20] for o in range(0, 100, 20)]
+        assert [[tuple(r) for r in p] for p in pages] == [order[o : o + 20] for o in range(0, 100, 20)]
     numbered = ordering.numbered_pages(df, [F.col("start"), F.col("key")], 20)
     assert rows_of(numbered.groupBy("page").count()) == [(0, 20), (1, 20), (2, 20), (3, 20), (4, 15)]
 
@@ -115,8 +115,18 @@ def test_pages_cover_everything(spark, monkeypatch):
 def test_long_heads_are_ranked(spark, monkeypatch):
     monkeypatch.setattr(ordering, "TOP_ROWS", 5)
     df = spark.range(100).repartition(4)
-    assert rows_of(ordering.head_rows(df, 40, [F.desc("id")])) == [(i,) for i in range(60, 100)]
+    assert [r.id for r in ordering.head_rows(df, 40, [F.desc("id")]).collect()] == list(range(99, 59, -1))
     assert ordering.head_rows(df, 3).count() == 3
+    assert ordering.head_rows(df, 40).distinct().count() == 40
+    assert ordering.head_rows(df, 400).count() == 100
+
+
+def test_pages_on_both_sides_of_the_limit(spark):
+    df = spark.range(3000).select(F.floor(F.col("id") * 7919 % 3000 / 7).alias("start"), F.format_string("%04d", "id").alias("key")).repartition(6)
+    order = TotalOrder(F.floor(F.col("start") / 50), F.col("start"), F.col("key"))
+    want = sorted(tuple(r) for r in df.collect())
+    for offset in (0, 400, 990, 1000, 1700, 2990):
+        assert [tuple(r) for r in ordering.page(df, order, offset, 500).collect()] == want[offset : offset + 500]
 
 
 @pytest.fixture(scope="module")

@@ -8,6 +8,7 @@ import pytest
 from basketlens import schema
 from basketlens.operators.categories import category_aggregate
 from basketlens.operators.sessions import session_aggregate
+from basketlens.schema import EventLabels
 from basketlens.sources.events import read_events_csv
 from basketlens.streaming import jobs
 
@@ -61,7 +62,47 @@ def test_sessions_across_batches_and_runs(spark, folder, tmp_path):
         run(jobs.stream_sessions(jobs.stream_events_csv(spark, str(folder), 1), target, checkpoint))
         expected = session_aggregate(read_events_csv(spark, str(folder)))
         assert rows_of(jobs.current_sessions(spark, target)) == rows_of(expected)
-    assert len([f for f in os.listdir(target) if f.startswith("batch_id=")]) == 3
+    assert len([f for f in os.listdir(target) if f.startswith("batches=")]) == 3
+    # Two merges: the second deletes what the first stood for already.
+    for _ in range(2):
+        jobs.compact_sessions(spark, target)
+        assert list(jobs.complete_batches(spark, target)) == [(0, 2)]
+        assert rows_of(jobs.current_sessions(spark, target)) == rows_of(expected)
+    write(folder, 3)
+    run(jobs.stream_sessions(jobs.stream_events_csv(spark, str(folder), 1), target, checkpoint))
+    expected = session_aggregate(read_events_csv(spark, str(folder)))
+    assert rows_of(jobs.current_sessions(spark, target)) == rows_of(expected)
+    jobs.compact_sessions(spark, target)
+    assert list(jobs.complete_batches(spark, target)) == [(0, 3)]
+    assert rows_of(jobs.current_sessions(spark, target)) == rows_of(expected)
+
+
+def test_session_labels(spark, folder, tmp_path):
+    target, labels = str(tmp_path / "out"), EventLabels(cart="purchase")
+    run(jobs.stream_sessions(jobs.stream_events_csv(spark, str(folder)), target, str(tmp_path / "cp"), labels))
+    assert rows_of(jobs.current_sessions(spark, target)) == rows_of(session_aggregate(read_events_csv(spark, str(folder)), labels))
+
+
+def test_a_batch_is_seen_whole(spark, folder, tmp_path):
+    """While a batch is written again, readers have the attempt before it."""
+    target = str(tmp_path / "out")
+    run(jobs.stream_category_partials(jobs.stream_events_csv(spark, str(folder), 1), target, str(tmp_path / "cp")))
+    before = rows_of(jobs.current_categories(spark, target))
+    begun = tmp_path / "out" / "batches=1-1" / "attempt=2"
+    begun.mkdir()
+    (begun / "part-0.parquet").write_bytes(b"half a file")
+    assert rows_of(jobs.current_categories(spark, target)) == before
+    with pytest.raises(FileNotFoundError):
+        jobs.current_categories(spark, str(tmp_path / "nothing"))
+
+
+def test_bad_rows_of_a_stream(spark, folder, tmp_path):
+    (folder / "9.csv").write_text(f"{HEADER}\n2019-10-01 00:00:00 UTC,view,x\n")
+    target = str(tmp_path / "out")
+    run(jobs.stream_convert(spark, str(folder), target, str(tmp_path / "cp"), on_bad="drop"))
+    assert spark.read.parquet(target).count() == 18
+    with pytest.raises(Exception, match="MALFORMED"):
+        run(jobs.stream_convert(spark, str(folder), str(tmp_path / "out2"), str(tmp_path / "cp2")))
 
 
 def test_a_repeated_batch_changes_nothing(spark, folder, tmp_path):
