@@ -42,8 +42,17 @@ class Lists:
     def __init__(self, ids: np.ndarray, matrix: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.matrix = ids[order], matrix[order]
-        self.rows = np.argsort(self.matrix, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.matrix, self.rows, axis=0)
+        columns = np.ascontiguousarray(self.matrix.T)
+        self.rows = np.argsort(columns, axis=1, kind="stable")  # a list for each dimension
+        self.values = np.take_along_axis(columns, self.rows, axis=1)
+        self.largest = int(np.abs(self.matrix).max(initial=0))
+        self.floats = self.matrix.astype(np.float64)
+
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products; in doubles, which multiply faster, where these hold all sums exactly."""
+        if self.largest * int(np.abs(query).max(initial=0)) * max(1, len(query)) < 2**53:
+            return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
+        return self.matrix[rows] @ query
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows; smaller ids first among equals."""
@@ -55,7 +64,7 @@ class Lists:
         depth, step = 0, max(k, n // 256)
         while depth < n:
             until = min(n, depth + step)
-            fresh = np.concatenate((self.rows[depth:until, ascending].ravel(), self.rows[n - until : n - depth, falling].ravel()))
+            fresh = np.concatenate((self.rows[ascending, depth:until].ravel(), self.rows[falling, n - until : n - depth].ravel()))
             if not len(query) or not (len(ascending) or len(falling)):
                 fresh, until = np.arange(n), n
             mark = np.zeros(n, bool)
@@ -64,11 +73,11 @@ class Lists:
             seen |= mark
             rows_own = rows[self.ids[rows] != query_id]
             found = np.concatenate((found, rows_own))
-            scores = np.concatenate((scores, self.matrix[rows_own] @ query))
+            scores = np.concatenate((scores, self._scores(rows_own, query)))
             if len(found) > k:
                 keep = np.lexsort((self.ids[found], -scores))[:k]
                 found, scores = found[keep], scores[keep]
-            bound = query[ascending] @ self.values[until - 1, ascending] + query[falling] @ self.values[n - until, falling]
+            bound = query[ascending] @ self.values[ascending, until - 1] + query[falling] @ self.values[falling, n - until]
             if len(found) == k and bound < scores.min():
                 break
             depth, step = until, step * 2
