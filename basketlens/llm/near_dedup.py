@@ -8,7 +8,8 @@ similarity precisely; the limit leaves six standard deviations below the thresho
 passes is compared on full sets.
 
 No bucket is expanded into pairs. (1) Every class is held against the smallest class of each of its
-buckets and the best of these is verified: most groups are one component after that. (2) In buckets that still
+buckets; the best of these is verified, then those that are still in other components: most groups are one
+component after that. (2) In buckets that still
 hold several components, classes outside the largest one meet the others of the bucket in a join whose condition
 is the sketch, so only likely pairs come out; each class's best per component is verified, (3) then all that
 are still in different components. No cap is set anywhere.
@@ -186,9 +187,16 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
     stars = stars.select("a", "b", _bits("x", "y").alias("bits")).where(F.col("bits") <= limit)
-    best = stage(stars.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "stars")
+    stars = stage(stars, "stars")
+    best = stage(stars.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "best")
     linked = verifier.confirm(best)
     found = components(linked)
+    # The other smallest classes of its buckets, where the best one has not brought them together.
+    others = _labelled(_labelled(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
+    others = stage(others.where("label_a <> label_b").select("a", "b"), "other-stars")
+    if not others.isEmpty():
+        linked = stage(linked.union(verifier.confirm(others)), "linked")
+        found = components(linked)
 
     # Buckets with several components; all but the largest one meet the whole bucket.
     labelled = stage(_labelled(members.select("bucket", "id"), found, "id", "label"), "bucket-labels")
@@ -199,7 +207,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (_bits("x", "y") <= limit)
     crossing = crossing & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, crossing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _bits("x", "y").alias("bits")).distinct()
-    pairs = stage(pairs.join(best, ["a", "b"], "left_anti"), "crossing")
+    pairs = stage(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     if pairs.isEmpty():
         return linked
     marked = _labelled(_labelled(pairs, found, "a", "label_a"), found, "b", "label_b")
