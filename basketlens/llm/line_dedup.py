@@ -1,12 +1,18 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by content-defined chunks and by windows of two lines.
 
-Lines are hashed; a rolling hash over ``WINDOW`` line hashes ends a chunk wherever it is divisible by
-``DIVISOR``, so that the same passage is cut alike wherever it stands. Chunks of ``MIN_LINES`` lines or
-more with a word are counted over the whole table by hash. Of those found more than once, the
-first (by doc_id, key and place) stays; every other one is removed if its bytes equal those of the first.
+``removed_passages`` (op9) does the whole job: every two consecutive lines with a word, and what stands between
+them, are a window; of windows found more than once in the table the first (by doc_id, key and place) stays, and the
+lines of every other one are removed if its bytes equal those of the first. So each repeated passage of two
+lines or more goes, wherever it begins and ends. Where a window overlaps an equal one (three equal lines), the
+shared line is left to the first.
+
+``removed_lines`` (the pipeline's stage) has fewer rows to compare: a chunk ends after each line whose hash is a local
+minimum among the lines with a word, so that the same passage is cut alike wherever it stands, about every three
+lines. Chunks of ``MIN_LINES`` lines or more with a word are counted, and repeated ones go in the same way. A
+passage loses only the chunks that lie inside it whole; short ones often have none.
 
 Equal rows (same doc_id and text) are one document and are cut alike. Null ids come first; null texts
-stay null. A text that loses all its lines leaves the table, as an earlier document has all of it; empty
+stay null. A text that loses all its lines leaves the table, as earlier documents have all of it; empty
 texts stay. Counts by hash are summed in the map tasks, and the comparison joins one row per repeated
 chunk with its copies, so a chunk in a third of all rows is split by AQE.
 """
@@ -14,7 +20,7 @@ chunk with its copies, so a chunk in a third of all rows is split by AQE.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,54 +28,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
-from .text import gram_hashes, prepare, runs, slices, span_hashes, text_key, utf8, words
+from .text import prepare, slices, span_hashes, text_key, utf8, words
 
-WINDOW = 2
-DIVISOR = 4
 MIN_LINES = 2
 
 
-def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of every chunk: its text's number, its start and end in bytes, and its lines with a word.
-
-    The chunks of a text, joined, are the text; line ends belong to the line they end.
-    """
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every line: its text's number, its start, its end with and without the line end, and whether it has a word."""
     starts, _ = words(data, offsets)
     first = np.concatenate(([True], data[:-1] == 10)) if len(data) else np.zeros(0, bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
     line_starts = np.flatnonzero(first)
-    line_ends = np.append(line_starts[1:], len(data))
+    line_ends = np.append(line_starts[1:], len(data)) if len(line_starts) else line_starts
     bare = line_ends - (data[np.maximum(line_ends - 1, 0)] == 10 if len(data) else 0)
     line_text = np.searchsorted(offsets, line_starts, side="right") - 1
     filled = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-    hashes = span_hashes(data, line_starts, bare)
-    last = np.append(line_text[1:] != line_text[:-1], True) if len(line_text) else np.zeros(0, bool)
-    ends = last.copy()
-    rolled = gram_hashes(hashes, WINDOW)
-    if len(rolled):
-        within = line_text[WINDOW - 1 :] == line_text[: len(rolled)]
-        ends[WINDOW - 1 :] |= within & (rolled % np.uint64(DIVISOR) == 0)
+    return line_text, line_starts, line_ends, bare, filled
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every chunk: its text's number, its start and end in bytes, and its lines with a word.
+
+    The chunks of a text, joined, are the text; line ends belong to the line they end.
+    """
+    line_text, line_starts, line_ends, bare, filled = _lines(data, offsets)
+    ends = np.append(line_text[1:] != line_text[:-1], True) if len(line_text) else np.zeros(0, bool)
+    own = np.flatnonzero(filled)
+    hashes, text = span_hashes(data, line_starts, bare)[own], line_text[own]
+    if len(own) > 2:
+        within = text[2:] == text[:-2]
+        ends[own[1:-1]] |= within & (hashes[:-2] > hashes[1:-1]) & (hashes[1:-1] <= hashes[2:])
     end_lines = np.flatnonzero(ends)
     start_lines = np.concatenate(([0], end_lines[:-1] + 1)) if len(end_lines) else end_lines
     total = np.concatenate(([0], np.cumsum(filled)))
     return line_text[start_lines], line_starts[start_lines], line_ends[end_lines], total[end_lines + 1] - total[start_lines]
 
 
+def _long_chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    text, start, end, lines = cut(data, offsets)
+    pick = lines >= MIN_LINES
+    return text[pick], start[pick], end[pick]
+
+
+def _line_pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    line_text, line_starts, _, bare, filled = _lines(data, offsets)
+    own = np.flatnonzero(filled)
+    one, two = own[:-1], own[1:]
+    pick = line_text[one] == line_text[two]
+    return line_text[one[pick]], line_starts[one[pick]], bare[two[pick]]
+
+
 def _bare(chunk: bytes) -> bytes:
     """A chunk that ends its text has no line end; it is the same passage."""
     return chunk[:-1] if chunk.endswith(b"\n") else chunk
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, place, hash, bytes) of every chunk of ``MIN_LINES`` lines; place is its first byte."""
+def _spans(docs: DataFrame, find: Callable) -> DataFrame:
+    """(key, doc_id, place, hash, bytes) of every span that ``find`` gives; place is its first byte."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column(2))
-                text, start, end, lines = cut(data, offsets)
-                pick = lines >= MIN_LINES
-                text, start, end = text[pick], start[pick], end[pick]
+                text, start, end = find(data, offsets)
                 raw = [_bare(data[a:b].tobytes()) for a, b in zip(start, end, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -86,10 +107,20 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "key binary, doc_id bigint, place bigint, hash binary, bytes binary")
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, places): the chunks that each document loses; documents that lose none have no row."""
+def chunks(docs: DataFrame) -> DataFrame:
+    """The chunks of ``MIN_LINES`` lines."""
+    return _spans(docs, _long_chunks)
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """Every two consecutive lines with a word, and what stands between them."""
+    return _spans(docs, _line_pairs)
+
+
+def removals(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
+    """(key, doc_id, places): the spans that each document loses; documents that lose none have no row."""
     prepare(docs.sparkSession)
-    made = chunks(docs)
+    made = find(docs)
     occurrences = stage(made.select("hash", "doc_id", "key", "place").distinct(), "chunk-places")
     counted = occurrences.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "place")).alias("first"))
     repeated = stage(counted.where("n > 1").select("hash", "first"), "chunk-hashes")
@@ -100,31 +131,61 @@ def removals(docs: DataFrame) -> DataFrame:
     return equal.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """row (all columns of ``docs``), text (what is left of it), n_chunks and n_bytes (removed)."""
-    lost = removals(docs).select(F.col("key").alias("lost_key"), F.col("doc_id").alias("lost_id"), "places")
+def _without_chunks(data: bytes, places: list[int]) -> tuple[bytes, int]:
+    _, start, end, _ = cut(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    lost = set(places)
+    return b"".join(data[a:b] for a, b in zip(start, end, strict=True) if a not in lost), len(lost)
+
+
+def _without_windows(data: bytes, places: list[int]) -> tuple[bytes, int]:
+    """What is left, and how many passages of adjoining windows are gone."""
+    _, starts, ends, bare, filled = _lines(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    starts, ends, bare = starts[filled].tolist(), ends[filled].tolist(), bare[filled].tolist()
+    gone, left, n, until = [False] * len(starts), [], 0, 0
+    for k in np.searchsorted(starts, places).tolist():
+        overlaps = k > 0 and data[starts[k - 1] : bare[k]] == data[starts[k] : bare[k + 1]]
+        gone[k] |= not overlaps
+        gone[k + 1] = True
+        begin = ends[k] if overlaps else starts[k]
+        if begin > until or not n:
+            left.append(data[until:begin])
+            n += 1
+        until = ends[k + 1]
+    left.append(data[until:])
+    return (b"" if all(gone) else b"".join(left)), n
+
+
+def _removed(docs: DataFrame, find: Callable[[DataFrame], DataFrame], without: Callable[[bytes, list[int]], tuple[bytes, int]]) -> DataFrame:
+    lost = removals(docs, find).select(F.col("key").alias("lost_key"), F.col("doc_id").alias("lost_id"), "places")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col("text")).alias("key"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("whole"))
     joined = rows.join(lost, (F.col("key") == F.col("lost_key")) & F.col("id").eqNullSafe(F.col("lost_id")), "left")
 
     def rebuild(column: pa.Array, places: pa.Array) -> pa.Array:
-        texts, gone = [], []
+        texts, counts, gone = [], [], []
         for text, lost in zip(column, places, strict=True):
             raw, lost = text.as_py(), lost.as_py()
-            if raw is None or not lost:
-                texts.append(raw)
-                gone.append(0)
-                continue
-            data = raw.encode()
-            _, start, end, _ = cut(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-            lost = set(lost)
-            left = b"".join(data[a:b] for a, b in zip(start, end, strict=True) if a not in lost)
-            texts.append(left.decode())
-            gone.append(len(data) - len(left))
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["text", "n_bytes"])
-
-    left = F.arrow_udf(rebuild, "struct<text:string,n_bytes:bigint>")(F.col("whole"), F.col("places"))
-    found = joined.select("row", left.alias("left"), F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_chunks"))
-    return found.select("row", F.col("left.text").alias("text"), "n_chunks", F.col("left.n_bytes").alias("n_bytes"))
+            n, size = 0, 0
+            if raw is not None and lost:
+                data = raw.encode()
+                left, n = without(data, lost)
+                raw, size = left.decode(), len(data) - len(left)
+            texts.append(raw)
+            counts.append(n)
+            gone.append(size)
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_chunks", "n_bytes"])
+
+    left = F.arrow_udf(rebuild, "struct<text:string,n_chunks:bigint,n_bytes:bigint>")(F.col("whole"), F.col("places"))
+    return joined.select("row", left.alias("left")).select("row", "left.text", "left.n_chunks", "left.n_bytes")
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``), text (what is left of it), n_chunks and n_bytes (removed)."""
+    return _removed(docs, chunks, _without_chunks)
+
+
+def removed_passages(docs: DataFrame) -> DataFrame:
+    """The same by windows; n_chunks counts the passages removed."""
+    return _removed(docs, windows, _without_windows)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_chunk_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.removed_lines(documents(spark, sf_dir))
+    found = line_dedup.removed_passages(documents(spark, sf_dir))
     return found.select("row.doc_id", "n_chunks", "n_bytes", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -148,6 +149,48 @@ def test_shifted_passage_is_found(spark):
     assert len(got[2]) < 0.4 * len(rows[1][1]) and got[2].startswith("something else\n") and got[2].endswith("end two")
 
 
+def plain_passage_dedup(rows):
+    """Texts by (id, text), without the lines of windows of two that stand further up or in an earlier text."""
+    seen, out = set(), {}
+    for i, text in sorted(set(rows)):
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+        full = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        gone, before = set(), None
+        for a, b in zip(full, full[1:], strict=False):
+            window = "".join(lines[a : b + 1]).removesuffix("\n")
+            if window in seen:
+                gone.update(range(a + (window == before), b + 1))
+            seen.add(window)
+            before = window
+        out[i, text] = "" if gone.issuperset(full) and full else "".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_short_passages_go(spark):
+    """Passages of 2 to 6 lines inside other texts, at every shift; nothing of them is left."""
+    rng = np.random.default_rng(11)
+    fresh = iter(f"line {k} {rng.integers(1 << 40)}\n" for k in range(10_000))
+    take = lambda n: "".join(next(fresh) for _ in range(n))
+    rows, expected = [], {}
+    for i in range(40):
+        passage, one, two = take(2 + i % 5), [take(1 + i % 3), take(2)], [take(2 + i % 4), take(1)]
+        rows += [(i, one[0] + passage + one[1]), (1000 + i, two[0] + passage + two[1])]
+        expected |= {i: rows[-2][1], 1000 + i: two[0] + two[1]}
+    found = line_dedup.removed_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).select("row.doc_id", "text", "n_chunks").collect()
+    assert {r.doc_id: r.text for r in found} == expected
+    assert [r.n_chunks for r in sorted(found, key=lambda r: r.doc_id)] == [0] * 40 + [1] * 40
+
+
+def test_passages_equal_plain_ones(spark, sf_dir, texts):
+    odd = ["a\nb\n", "a\n\nb\n", "x\na\nb", "a\na\na\na\n", "y\na\na\na\n", "\n\x0c\nx\na\nb\n\n", "one", "one", "", "a\nb\na\nb\na\nz"]
+    rows = {**texts, **{10**6 + k: t for k, t in enumerate(odd)}}
+    found = line_dedup.removed_passages(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).select("row.doc_id", "text").collect()
+    expected = plain_passage_dedup(list(rows.items()))
+    assert {r.doc_id: r.text for r in found} == {i: t for (i, _), t in expected.items()}
+    for r in QUERIES["op9_line_chunk_dedup"](spark, sf_dir).collect():
+        assert r.kept_sha256 == sha(expected[r.doc_id, texts[r.doc_id]].encode())
+
+
 def test_line_dedup_odd_rows(odd, none):
     found = line_dedup.dedup_lines(odd)
     assert found.columns == odd.columns
