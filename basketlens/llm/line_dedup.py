@@ -8,7 +8,8 @@ shared line is left to the first.
 
 ``removed_lines`` (the pipeline's stage) has fewer rows to compare: a chunk ends after each line whose hash is a local
 minimum among the lines with a word, so that the same passage is cut alike wherever it stands, about every three
-lines. Chunks of ``MIN_LINES`` lines or more with a word are counted, and repeated ones go in the same way. A
+lines. No chunk has fewer than ``MIN_LINES`` lines with a word unless its text has fewer, so a copy of a text with
+so many lines goes as a whole. Chunks are counted, and repeated ones go in the same way. A
 passage loses only the chunks that lie inside it whole; short ones often have none.
 
 Equal rows (same doc_id and text) are one document and are cut alike. Null ids come first; null texts
@@ -55,9 +56,9 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.append(line_text[1:] != line_text[:-1], True) if len(line_text) else np.zeros(0, bool)
     own = np.flatnonzero(filled)
     hashes, text = span_hashes(data, line_starts, bare)[own], line_text[own]
-    if len(own) > 2:
-        within = text[2:] == text[:-2]
-        ends[own[1:-1]] |= within & (hashes[:-2] > hashes[1:-1]) & (hashes[1:-1] <= hashes[2:])
+    if len(own) > 3:
+        within = text[3:] == text[:-3]  # two lines at least on both sides
+        ends[own[1:-2]] |= within & (hashes[:-3] > hashes[1:-2]) & (hashes[1:-2] <= hashes[2:-1])
     end_lines = np.flatnonzero(ends)
     start_lines = np.concatenate(([0], end_lines[:-1] + 1)) if len(end_lines) else end_lines
     total = np.concatenate(([0], np.cumsum(filled)))

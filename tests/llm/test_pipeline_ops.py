@@ -191,6 +191,24 @@ def test_passages_equal_plain_ones(spark, sf_dir, texts):
         assert r.kept_sha256 == sha(expected[r.doc_id, texts[r.doc_id]].encode())
 
 
+def test_chunks_have_two_lines():
+    rng = np.random.default_rng(2)
+    for n in range(2, 40):
+        text = "".join(f"line {rng.integers(4 if n % 2 else 1 << 40)}\n" + "\n" * int(rng.integers(2)) for _ in range(n))
+        assert all(lines >= 2 for _, _, lines in plain_chunks(text))
+
+
+def test_copies_leave_nothing_behind(spark, sf_dir):
+    rng = np.random.default_rng(4)
+    texts = ["".join(f"line {rng.integers(1 << 40)} of {i}\n" for _ in range(10 + i % 11)) for i in range(30)]
+    rows = [(100 * c + i, t, "en", "a", len(t)) for c in range(3) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    left = corpus_pipeline.line_deduplication(spark, docs, sf_dir)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == list(enumerate(texts))
+    near = corpus_pipeline.near_deduplication(spark, left, sf_dir)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == list(enumerate(texts))
+
+
 def test_line_dedup_odd_rows(odd, none):
     found = line_dedup.dedup_lines(odd)
     assert found.columns == odd.columns
