@@ -16,7 +16,8 @@ are still in different components. No cap is set anywhere.
 
 Texts without words have no set and link with nothing. Null ids: such a row can be in a component, its
 component_id is the smallest id there, null if there is none; it counts as kept then. Rows with one id and one
-text are one document. A component is known by its smallest doc_id. Extra columns are not touched.
+text are one document. A component is known by its smallest doc_id. ``dedup_near`` goes by the component itself and
+keeps one document of each, also where ids are null or shared. Extra columns are not touched.
 """
 
 from __future__ import annotations
@@ -221,24 +222,40 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     return linked if rest.isEmpty() else stage(linked.union(verifier.confirm(rest)), "linked")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, kept) of every row of ``docs``."""
+def _members(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, first) of every row of ``docs``; first is the (none, doc_id, key) that stands for its component, null without words."""
     prepare(docs.sparkSession)
     signed = stage(signatures(docs, size), "signatures")
     classes = _classes(signed)
     found = components(links(docs, classes, size, threshold))
-    labelled = _labelled(classes.select("class", "id", "doc_id"), found, "id", "label")
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    per_class = labelled.join(smallest, "label").select("class", "component_id")
+    labelled = _labelled(classes.select("class", "id", "doc_id", "key"), found, "id", "label")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
+    per_class = labelled.join(smallest, "label").select("class", "component_id", "first")
     rows = signed.select("doc_id", "key", "class", "n_shingles")
-    joined = rows.where("n_shingles > 0").join(per_class, "class").select("doc_id", "key", "n_shingles", "component_id")
-    joined = joined.union(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id")))
-    return joined.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    joined = rows.where("n_shingles > 0").join(per_class, "class").select("doc_id", "key", "n_shingles", "component_id", "first")
+    alone = F.lit(None).cast(joined.schema["first"].dataType)
+    return joined.union(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), alone.alias("first")))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, kept) of every row of ``docs``."""
+    return _members(docs, size, threshold).drop("first").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def dedup_near(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents of ``docs`` that are the first of their component, with all their columns."""
-    gone = near_duplicates(docs, size, threshold).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    """The documents of ``docs`` that are the first of their component by (doc_id, text key), null ids last, with all their columns.
+
+    Rows with one id and one text are one document and stay together; those without an id are copies, of which one stays.
+    """
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    gone = _members(docs, size, threshold).where(F.col("first").isNotNull() & ~stands).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
     gone = small_side(stage(gone, "near-duplicates"), 200_000)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_key(F.col("text")).alias("key"))
-    return rows.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+    rows = rows.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
+    if docs.where(F.col("doc_id").cast("bigint").isNull()).isEmpty():
+        return rows.select("row.*")
+    copies = F.col("id").isNull() & F.coalesce(F.col("row.text").rlike(r"[^ \t\n\x0b\f\r]"), F.lit(False))
+    others = F.to_json(F.struct(F.lit(0), *(F.col(f"row.`{c}`") for c in docs.columns if c != "text")))
+    once = rows.where(copies).groupBy("key").agg(F.min_by("row", others).alias("row"))
+    return rows.where(~copies).select("row.*").union(once.select("row.*"))

@@ -271,6 +271,17 @@ def test_near_duplicates_odd_rows(odd, none):
     assert near_dedup.dedup_near(none).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    """Groups without ids, with repeated rows without ids, and near duplicates under one id."""
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "else"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, text, "a"), (None, text, "b"), (None, near, "a"), (7, other, "a"), (7, other + " end", "b"), (8, other, "c"), (None, "", "a"), (None, "", "a"), (None, None, "a")]
+    found = near_dedup.dedup_near(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), size=5).collect()
+    assert len([r for r in found if r.text in (text, near)]) == 1
+    assert [r.doc_id for r in found if (r.text or "").startswith(other)] == [7]
+    assert len(found) == 5
+
+
 # mixing
 
 
