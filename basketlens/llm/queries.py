@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and the SQL they are held against."""
+"""The queries of the operators, each over its whole table, and the SQL they are held against."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.registry import Query
 from ..runtime import configure, stage
-from . import bpe, licenses, line_dedup, mixing, near_dedup, outliers, passage_dedup, secrets, sql, suffix_dedup, topk
+from . import bpe, decontaminate, licenses, line_dedup, merkle, mixing, near_dedup, outliers, passage_dedup, secrets, sql, suffix_dedup, topk, variants
 from .text import prepare
 
 QUERIES: dict[str, Query] = {}
@@ -96,3 +96,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stage(secrets.scanned(documents(spark, sf_dir), "row.doc_id"), "secret-spans")
     spans = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     return secrets.report(found, "doc_id").withColumn("spans", spans)
+
+
+@query("op11_slot_pivot_manifest", sql.MANIFEST)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+@query("op12_winnowed_decontamination", sql.LEAKS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(documents(spark, sf_dir), benchmark)
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op13_gram_matrix_variants", sql.VARIANTS)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))

@@ -171,3 +171,99 @@ SELECT d.doc_id, count(*) FILTER (kind = 0)::BIGINT AS n_assign, count(*) FILTER
     coalesce(string_agg(name || ':' || start::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY start, kind), '') AS spans
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 """
+
+
+# The 256 entries of the crc32 table, from its rule.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b::BIGINT)) AS crc"
+
+
+def _crc32(value: str) -> str:
+    """Unsigned crc32 of a string; the table ``crc`` must be in scope."""
+    octets = f"list_transform(range(0, octet_length(encode({value}))), lambda k: ('0x' || substr(hex(encode({value})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _above(nodes: str) -> str:
+    """The parents of a list of nodes."""
+    return f"list_transform(range(0, (len({nodes}) + 15) // 16), lambda k: sha256(array_to_string({nodes}[16 * k + 1 : 16 * k + 16], '')))"
+
+
+MANIFEST = f"""
+WITH RECURSIVE table_of AS ({_CRC_TABLE}),
+leaves AS (
+    SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_crc32("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf(LOWER)} END AS changed
+    FROM documents, table_of),
+spots AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM leaves),
+trees AS (
+    SELECT source, 0 AS level, list(leaf ORDER BY spot) AS nodes FROM spots GROUP BY source
+    UNION ALL SELECT source, level + 1, {_above("nodes")} FROM trees WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spot FROM trees WHERE len(nodes) = 1),
+upper AS (
+    SELECT 0 AS level, list(subroot ORDER BY spot) AS nodes FROM subroots
+    UNION ALL SELECT level + 1, {_above("nodes")} FROM upper WHERE len(nodes) > 1),
+steps AS (
+    SELECT source, level, nodes, false AS above FROM trees WHERE len(nodes) > 1
+    UNION ALL SELECT source, height + level, nodes, true FROM subroots, upper WHERE len(nodes) > 1),
+places AS (
+    SELECT s.doc_id, s.spot, s.source, s.leaf, level, nodes,
+        CASE WHEN above THEN r.spot >> (4 * (level - height)) ELSE s.spot >> (4 * level) END AS place
+    FROM spots s JOIN subroots r ON s.source IS NOT DISTINCT FROM r.source JOIN steps t ON s.source IS NOT DISTINCT FROM t.source),
+sides AS (
+    SELECT source, spot, level, array_to_string(nodes[place // 16 * 16 + 1 : place], '') AS before, array_to_string(nodes[place + 2 : place // 16 * 16 + 16], '') AS after
+    FROM places),
+proofs AS (SELECT source, spot, string_agg(before || after, '' ORDER BY level) AS proof FROM sides GROUP BY ALL),
+folds AS (
+    SELECT source, spot, 0 AS level, coalesce(changed, leaf) AS digest FROM spots
+    UNION ALL
+    SELECT f.source, f.spot, f.level + 1, sha256(before || digest || after) FROM folds f JOIN sides s ON f.source IS NOT DISTINCT FROM s.source AND f.spot = s.spot AND f.level = s.level),
+folded AS (SELECT source, spot, max_by(digest, level) AS folded_root FROM folds GROUP BY ALL),
+summit AS (SELECT nodes[1] AS root FROM upper WHERE len(nodes) = 1)
+SELECT s.doc_id, s.leaf, r.subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM summit, spots s JOIN subroots r ON s.source IS NOT DISTINCT FROM r.source
+JOIN folded f ON s.source IS NOT DISTINCT FROM f.source AND s.spot = f.spot
+LEFT JOIN proofs p ON s.source IS NOT DISTINCT FROM p.source AND s.spot = p.spot
+"""
+
+_COMPARED = rf"regexp_extract_all(coalesce({LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS = f"""
+WITH d AS (SELECT row_number() OVER () AS nr, doc_id, {_COMPARED} AS words FROM documents),
+items AS (SELECT item_id, {_COMPARED} AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(10, len(words)) AS size FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(words) - size + 2), lambda k: array_to_string(words[k : k + size - 1], ' '))) AS phrase FROM sized),
+sizes AS (SELECT DISTINCT size FROM windows),
+seen AS (
+    SELECT nr, size, unnest(list_transform(range(1, len(words) - size + 2), lambda k: {{'pos': k, 'phrase': array_to_string(words[k : k + size - 1], ' ')}}), recursive := true)
+    FROM d JOIN sizes ON len(words) >= size),
+hits AS (SELECT nr, pos, size, item_id FROM seen JOIN windows USING (size, phrase)),
+covered AS (SELECT nr, count(DISTINCT place) AS n FROM (SELECT nr, unnest(range(pos, pos + size)) AS place FROM (SELECT DISTINCT nr, pos, size FROM hits)) GROUP BY nr),
+named AS (SELECT nr, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT nr, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY nr)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c USING (nr) LEFT JOIN named m USING (nr)
+"""
+
+VARIANTS = f"""
+WITH RECURSIVE table_of AS ({_CRC_TABLE}),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS text FROM documents),
+lowered AS (SELECT doc_id, {LOWER} AS run, count(*) AS n FROM runs WHERE length(text) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM lowered, table_of),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1),
+v AS (SELECT word, n FROM words WHERE length(word) >= 6 AND n >= 5),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v),
+gaps AS (SELECT DISTINCT word, n, left(word, k - 1) AS head, substr(word, k + 1) AS tail, left(word, k - 1) || substr(word, k + 1) AS short FROM cut),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM gaps a JOIN v b ON a.short = b.word
+    UNION SELECT b.word, a.word, a.n FROM gaps a JOIN v b ON a.short = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS best, max(n) AS best_n FROM pairs GROUP BY word),
+forms AS (
+    SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n
+    FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, (SELECT max_by(root, step) FROM chain c WHERE c.word = f.word) AS root, n, n_near, form_n FROM forms f
+"""

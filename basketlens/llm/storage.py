@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
 
 #: Most rows of a table that is broadcast; rows here are a few hundred bytes at most.
 BROADCAST_ROWS = 50_000
+#: Most bytes of a table that is broadcast, where rows have texts of any length.
+BROADCAST_BYTES = 32 << 20
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -19,6 +21,12 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_bytes(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` bytes: ``size`` of each row and 64 for the rest; ``df`` must be stored."""
+    total = df.agg(F.sum(F.coalesce(size.cast("bigint"), F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of ``edges`` (a, b): the smallest id it is connected with.
 
