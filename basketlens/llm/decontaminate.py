@@ -44,22 +44,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(rows: DataFrame, *keys: str, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(keys, hash, pos, lead, context) of the rows' ``words``: the grams chosen, the words around and how many of those precede."""
-    around, window = span - gram, span - gram + 1
+    """(keys, hash, pos, context) of the rows' ``words``: the grams chosen, and the words from ``span - gram`` before to as many after, null beyond the text."""
+    around = span - gram
     # No filter here: it would be pushed below and split the texts a second time. Too short texts have null arrays.
+    # Elements are taken one by one, as slice() copies its whole array.
     enough = lambda made: F.when(F.size("words") >= span, made)
     gram_hash = lambda i: F.xxhash64(*(F.col("words")[i + k] for k in range(gram)))
     rows = rows.withColumn("grams", enough(F.transform(F.sequence(F.lit(0), F.size("words") - gram), gram_hash)))
-    least = F.transform(F.sequence(F.lit(1), F.size("grams") - around), lambda j: F.array_min(F.slice("grams", j, F.lit(window))))
+    least = F.transform(F.sequence(F.lit(0), F.size("grams") - 1 - around), lambda j: F.least(*(F.col("grams")[j + k] for k in range(around + 1))))
     rows = rows.withColumn("least", enough(least))
     # A gram is chosen if it is the least of a window it lies in: those windows begin up to ``around`` before it.
-    begin = lambda i: F.greatest(i - around, F.lit(0))
     places = enough(F.sequence(F.lit(0), F.size("grams") - 1))
-    chosen = F.filter(places, lambda i: F.col("grams")[i] == F.array_max(F.slice("least", begin(i) + 1, i - begin(i) + 1)))
-    marks = F.transform(
-        chosen,
-        lambda i: F.struct(F.col("grams")[i].alias("hash"), i.alias("pos"), (i - begin(i)).alias("lead"), F.slice("words", begin(i) + 1, i - begin(i) + span).alias("context")),
-    )
+    chosen = F.filter(places, lambda i: F.col("grams")[i] == F.greatest(*(F.get("least", i - k) for k in range(around + 1))))
+    context = lambda i: F.array(*(F.get("words", i + k) for k in range(-around, span)))
+    marks = F.transform(chosen, lambda i: F.struct(F.col("grams")[i].alias("hash"), i.alias("pos"), context(i).alias("context")))
     return rows.select(*keys, F.explode(marks).alias("m")).select(*keys, "m.*")
 
 
@@ -70,17 +68,25 @@ def _reach(steps: list[Column]) -> Column:
 
 def long_leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(k1, k2, start, stop, item): shared passages of ``span`` words and more; docs (k1, k2, words), items (item, words)."""
-    prints = fingerprints(items, "item", span=span, gram=gram).select("item", "hash", F.col("lead").alias("lead_b"), F.col("context").alias("context_b")).distinct()
+    around = span - gram
+    prints = fingerprints(items, "item", span=span, gram=gram).select("item", "hash", F.col("context").alias("context_b")).distinct()
     prints = small_bytes(stage(prints, "benchmark-fingerprints"), F.octet_length(F.concat_ws(" ", "context_b")))
     hits = fingerprints(docs, "k1", "k2", span=span, gram=gram).join(prints, "hash")
-    same = lambda k: F.coalesce(F.get("context", F.col("lead") + k) == F.get("context_b", F.col("lead_b") + k), F.lit(False))
+    same = lambda k: F.coalesce(F.col("context")[around + k] == F.col("context_b")[around + k], F.lit(False))
     hits = hits.where(reduce(lambda a, b: a & b, [same(k) for k in range(gram)]))
-    hits = hits.withColumn("before", _reach([same(-k) for k in range(1, span - gram + 1)]))
-    hits = hits.withColumn("after", _reach([same(gram - 1 + k) for k in range(1, span - gram + 1)]))
+    hits = hits.withColumn("before", _reach([same(-k) for k in range(1, around + 1)]))
+    hits = hits.withColumn("after", _reach([same(gram - 1 + k) for k in range(1, around + 1)]))
     hits = hits.where(F.col("before") + gram + F.col("after") >= span)
     return hits.select("k1", "k2", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + gram - 1 + F.col("after")).alias("stop"), "item")
 
 
+def _whole_grams(n: int) -> Column:
+    """All grams of ``n`` words: (start, phrase)."""
+    phrase = lambda i: F.concat_ws(" ", *(F.col("words")[i + k] for k in range(n)))
+    places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda i: F.struct(i.alias("start"), phrase(i).alias("phrase")))
+
+
 def short_leaks(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame | None:
     """The same for items of fewer words, as wholes; None if there are none."""
     whole = items.where((F.size("words") > 0) & (F.size("words") < span))
@@ -88,14 +94,7 @@ def short_leaks(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFram
     sizes = sorted(row["size"] for row in whole.select("size").distinct().collect())  # at most span - 1
     if not sizes:
         return None
-    none = F.array().cast("array<int>")
-    grams = [
-        F.transform(
-            F.coalesce(F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)), none),
-            lambda i, n=n: F.struct(i.alias("start"), F.concat_ws(" ", F.slice("words", i + 1, n)).alias("phrase")),
-        )
-        for n in sizes
-    ]
+    grams = [_whole_grams(n) for n in sizes]
     found = docs.select("k1", "k2", F.explode(F.concat(*grams)).alias("g")).select("k1", "k2", "g.*")
     found = found.join(small_bytes(whole, F.octet_length("phrase")), "phrase")
     return found.select("k1", "k2", "start", (F.col("start") + F.col("size") - 1).alias("stop"), "item")
