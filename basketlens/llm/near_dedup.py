@@ -1,18 +1,18 @@
 """Near duplicates by MinHash bands, verified by odd sketches and then on full shingle sets.
 
 A document's set is its distinct ``SHINGLE``-word shingles. Documents with the same word sequence are
-one class; the rest works on classes. Each has ``BANDS`` x ``ROWS`` MinHash samples: their bands are
-the buckets, and their parities, folded into ``64 * SKETCH`` bits, are the odd sketch. The XOR of two
-sketches has as many bits as the samples differ in, so its population count estimates a high
-similarity precisely; the limit leaves six standard deviations below the threshold. What
-passes is compared on full sets.
+one class; the rest works on classes. Each has ``BANDS`` x ``ROWS`` MinHash samples, whose bands are
+the buckets, and one more from each of ``BINS`` bins of a single hash (none from an empty bin). Those are folded by
+parity into ``64 * SKETCH`` bits, the odd sketch. The XOR of two sketches has at most as many bits as the samples differ in,
+so its population count estimates a high similarity precisely: sets much smaller than the bins differ in
+hardly more samples than shingles. ``sketch_limit`` leaves five standard deviations. What passes is compared on full sets.
 
 No bucket is expanded into pairs. (1) Every class is held against the smallest class of each of its
 buckets; the best of these is verified, then those that are still in other components: most groups are one
 component after that. (2) In buckets that still
 hold several components, classes outside the largest one meet the others of the bucket in a join whose condition
 is the sketch, so only likely pairs come out; each class's best per component is verified, (3) then all that
-are still in different components. No cap is set anywhere.
+are still in different components. No cap is set anywhere. Sets of unequal size (one below the threshold's share of the other) are no candidates.
 
 Texts without words have no set and link with nothing. Null ids: such a row can be in a component, its
 component_id is the smallest id there, null if there is none; it counts as kept then. Rows with one id and one
@@ -37,18 +37,30 @@ from .text import _LAP, gram_hashes, grouped, lower_ascii, mix, prepare, slices,
 SHINGLE = 2
 THRESHOLD = 80  # percent
 BANDS, ROWS = 50, 5
-SKETCH = 16  # 64-bit words
 SAMPLES = BANDS * ROWS
-SLACK = 6.0
+SKETCH = 64  # 64-bit words
+BINS = 1 << 13
+#: Bits of a sample that tell it from others of its bin, and sets that are sketched at once.
+_RANK, _STEP = 38, 256
+SLACK = 5.0
+#: Bytes of text that are hashed at once, and rows of a table that is broadcast; its rows are ids and keys of fixed size.
+SLICE, WANTED = 256 << 10, 100_000
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**64, SAMPLES, np.uint64) | np.uint64(1)
 
 
-def sketch_limit(threshold: int = THRESHOLD) -> int:
-    """Most bits in which the sketches of documents at the threshold differ, six deviations included."""
+def sketch_limit(size_a: Column, size_b: Column, threshold: int = THRESHOLD) -> Column:
+    """Most bits in which the sketches of two sets of these sizes differ if they are linked, ``SLACK`` deviations included."""
     j, bits = threshold / 100, 64 * SKETCH
-    apart = 2 * SAMPLES * (1 - j)
-    spread = np.sqrt(4 * SAMPLES * j * (1 - j) + apart)
-    return int(np.ceil(bits / 2 * (1 - np.exp(-2 * (apart + SLACK * spread) / bits))))
+    total = (size_a + size_b).cast("double")
+    apart, union = total * ((1 - j) / (1 + j)), total / (1 + j)
+    # A shingle of one set only differs where it is the least of its bin, and twice where the other set has one there.
+    least = F.lit(BINS) / union * (1 - F.exp(-union / BINS))
+    shared = 1 - F.exp(-F.greatest(size_a, size_b) / F.lit(BINS))
+    spread = F.sqrt(apart * least * ((1 + shared) ** 2 * (1 - least) + shared * (1 - shared)))
+    samples = apart * least * (1 + shared) + SLACK * spread + 2
+    load = 4 * samples / bits
+    parities = bits / 2 * (1 - F.exp(-load / 2)) + SLACK * F.sqrt(bits / 4 * (1 - F.exp(-load) * (1 + load)))
+    return F.least(samples, parities)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +90,24 @@ def minhashes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity of the samples that fall on each bit, as 64-bit words."""
-    n, bits = len(samples), 64 * SKETCH
-    place = (mix(samples + np.arange(SAMPLES, dtype=np.uint64) * _LAP) % np.uint64(bits)).astype(np.int64)
-    parity = np.bincount((place + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+def odd_sketch(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words per set: the parity of the samples, one per bin, that fall on each bit."""
+    bits, first = np.uint64(64 * SKETCH), np.concatenate(([0], np.cumsum(counts)))
+    out = np.zeros((len(counts), SKETCH), np.int64)
+    for start in range(0, len(counts), _STEP):
+        own = values[first[start] : first[min(start + _STEP, len(counts))]]
+        owner = np.repeat(np.arange(len(counts[start : start + _STEP])), counts[start : start + _STEP])
+        spread = mix(own ^ _LAP)
+        place = owner.astype(np.uint64) * np.uint64(BINS) + spread % np.uint64(BINS)
+        ranked = np.sort((place << np.uint64(_RANK)) | (spread >> np.uint64(64 - _RANK)))
+        place = ranked >> np.uint64(_RANK)
+        least = np.concatenate(([True], place[1:] != place[:-1])) if len(place) else np.zeros(0, bool)
+        sample, owner = ranked[least] & np.uint64((BINS << _RANK) - 1), place[least] // np.uint64(BINS)
+        bit = (owner * bits + mix(sample) % bits).astype(np.int64)
+        rows = len(counts[start : start + _STEP])
+        parity = np.bincount(bit, minlength=rows * int(bits)).astype(np.uint8) & np.uint8(1)
+        out[start : start + rows] = np.packbits(parity.reshape(rows, -1), axis=1).view(np.int64)
+    return out
 
 
 def band_hashes(samples: np.ndarray) -> np.ndarray:
@@ -98,7 +122,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 512 << 10):
+            for part in slices(batch, "text", SLICE):
                 raw = part.column(2).cast(pa.binary())
                 classes = [hashlib.md5(b" ".join((t.as_py() or b"").lower().split())).digest() for t in raw]
                 values, counts = shingle_sets(*utf8(part.column(2)), size)
@@ -106,7 +130,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 samples = minhashes(values, counts[some]) if some.any() else np.zeros((0, SAMPLES), np.uint64)
                 listed = lambda a, width, some=some: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * width))).astype(np.int32)), pa.array(a.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(classes, pa.binary()), pa.array(counts.astype(np.int64)), listed(odd_sketch(samples), SKETCH), listed(band_hashes(samples), BANDS)],
+                    [part.column(0), part.column(1), pa.array(classes, pa.binary()), pa.array(counts.astype(np.int64)), listed(odd_sketch(values, counts[some]), SKETCH), listed(band_hashes(samples), BANDS)],
                     names=["doc_id", "key", "class", "n_shingles", "sketch", "bands"],
                 )
 
@@ -135,6 +159,12 @@ def _bits(a: str, b: str) -> Column:
     return total
 
 
+def _likely(a: str, b: str, threshold: int) -> Column:
+    """Whether two classes can be linked, by their sizes and then their sketches."""
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(x, y) >= threshold * F.greatest(x, y)) & (_bits(a, b) <= sketch_limit(x, y, threshold))
+
+
 class _Verifier:
     """Confirms pairs (a, b) of class ids on full sets; keeps the sets it has read."""
 
@@ -142,18 +172,20 @@ class _Verifier:
         self.docs, self.classes, self.size, self.threshold = docs, classes, size, threshold
         self.sets: DataFrame | None = None
 
-    def _read(self, ids: DataFrame) -> None:
+    def read(self, pairs: DataFrame) -> None:
+        """Read the sets of all ends of ``pairs`` that are not known yet: one scan of the texts."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("id"), "id", "left_anti")
-        wanted = self.classes.select("id", F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")).join(small_side(stage(ids, "wanted")), "id")
-        wanted = small_side(stage(wanted, "wanted-texts"), 200_000)
+        wanted = self.classes.select("id", F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")).join(ids, "id")
+        wanted = small_side(stage(wanted, "wanted-texts"), WANTED)
         rows = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
         rows = rows.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "text")
         size = self.size
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     values, counts = shingle_sets(*utf8(part.column(1)), size)
                     listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(values.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([part.column(0), listed], names=["id", "shingles"])
@@ -163,8 +195,7 @@ class _Verifier:
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, a stored table."""
-        self._read(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+        """The pairs that are linked, a stored table; their sets must have been read."""
         side = lambda name: self.sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
@@ -178,17 +209,16 @@ def _labelled(table: DataFrame, found: DataFrame, column: str, label: str) -> Da
 
 def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): confirmed links that connect every component of linked classes, and no others."""
-    limit = sketch_limit(threshold)
-    sketches = classes.select("id", *(f"s{k}" for k in range(SKETCH)))
+    sketches = classes.select("id", "n_shingles", *(f"s{k}" for k in range(SKETCH)))
     banded = classes.select(F.explode("bands").alias("bucket"), "id")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
     members = stage(banded.join(buckets.select("bucket", "center"), "bucket"), "buckets")
     verifier = _Verifier(docs, classes, size, threshold)
 
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), F.col("b") == F.col("y.id"))
-    stars = stars.select("a", "b", _bits("x", "y").alias("bits")).where(F.col("bits") <= limit)
-    stars = stage(stars, "stars")
+    stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), (F.col("b") == F.col("y.id")) & _likely("x", "y", threshold))
+    stars = stage(stars.select("a", "b", _bits("x", "y").alias("bits")), "stars")
+    verifier.read(stars)
     best = stage(stars.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "best")
     linked = verifier.confirm(best)
     found = components(linked)
@@ -205,12 +235,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
     open_ = stage(labelled.join(mixed.select("bucket", "main"), "bucket"), "open-buckets").join(sketches, "id")
     x, y = open_.where("label <> main").alias("x"), open_.alias("y")
-    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (_bits("x", "y") <= limit)
+    crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _likely("x", "y", threshold)
     crossing = crossing & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     pairs = x.join(y, crossing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _bits("x", "y").alias("bits")).distinct()
     pairs = stage(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     if pairs.isEmpty():
         return linked
+    verifier.read(pairs)
     marked = _labelled(_labelled(pairs, found, "a", "label_a"), found, "b", "label_b")
     ends = marked.select("a", "b", "bits", F.col("a").alias("end"), F.col("label_b").alias("other")).union(marked.select("a", "b", "bits", F.col("b").alias("end"), F.col("label_a").alias("other")))
     nearest = ends.groupBy("end", "other").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
@@ -250,7 +281,7 @@ def dedup_near(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD)
     """
     stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     gone = _members(docs, size, threshold).where(F.col("first").isNotNull() & ~stands).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    gone = small_side(stage(gone, "near-duplicates"), 200_000)
+    gone = small_side(stage(gone, "near-duplicates"), WANTED)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), text_key(F.col("text")).alias("key"))
     rows = rows.join(gone, (F.col("key") == F.col("gone_key")) & F.col("id").eqNullSafe(F.col("gone_id")), "left_anti")
     if docs.where(F.col("doc_id").cast("bigint").isNull()).isEmpty():

@@ -35,6 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     partial aggregate and one join; a node with very many neighbours is split by AQE.
     """
     links = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    marks = (F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    before = links.agg(*marks).first()
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -43,11 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select("b", "m").union(least.select(F.col("a").alias("b"), "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        after = stage(small, "links")
-        old = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        new = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        links = after
-        if tuple(old) == tuple(new):
+        links = stage(small, "links")
+        after = links.agg(*marks).first()
+        if before == after:
             break
+        before = after
     found = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return found.union(links.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

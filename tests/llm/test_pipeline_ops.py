@@ -242,17 +242,23 @@ def test_chains_and_borderline_groups(spark):
     assert 1 < len(set(expected.values())) < 150
 
 
-def test_sketch_estimates():
+def test_sketch_estimates(spark):
+    """Linked sets of any size pass the limit; sets well below the threshold do not."""
     rng = np.random.default_rng(3)
-    common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (1600, 200, 200))
-    sets = [np.concatenate((common, a)), np.concatenate((common, b))]
-    samples = near_dedup.minhashes(np.concatenate(sets), np.array([1800, 1800]))
-    sketch = near_dedup.odd_sketch(samples).view(np.uint8)
-    differing = np.unpackbits(sketch[0] ^ sketch[1]).sum()
-    bits = 64 * near_dedup.SKETCH
-    estimate = 1 + bits / (4 * near_dedup.SAMPLES) * math.log(1 - 2 * differing / bits)
-    assert abs(estimate - 0.8) < 0.1
-    assert differing <= near_dedup.sketch_limit()
+    sizes = [10, 60, 150, 600, 2000, 9000, 40_000]
+    frame = spark.createDataFrame([(k,) for k in sizes], "n long")
+    limits = {r.n: r.top for r in frame.select("n", near_dedup.sketch_limit(F.col("n"), F.col("n")).alias("top")).collect()}
+    for size in sizes:
+        for similarity in (0.65, 0.8):
+            inside = math.ceil(2 * size * similarity / (1 + similarity))
+            for _ in range(40 if size < 5000 else 5):
+                pool = rng.integers(1, 2**64, 2 * size - inside, np.uint64)
+                sketch = near_dedup.odd_sketch(np.concatenate((pool[:size], pool[size - inside :])), np.array([size, size]))
+                differing = np.unpackbits((sketch[0] ^ sketch[1]).view(np.uint8)).sum()
+                if similarity == 0.8:
+                    assert differing <= limits[size]
+                elif 60 <= size <= 9000:
+                    assert differing > limits[size]
 
 
 def test_near_duplicates_odd_rows(odd, none):
