@@ -233,11 +233,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     labelled = stage(_labelled(members.select("bucket", "id"), found, "id", "label"), "bucket-labels")
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    open_ = stage(labelled.join(mixed.select("bucket", "main"), "bucket"), "open-buckets").join(sketches, "id")
+    open_ = stage(labelled.join(mixed.select("bucket", "main"), "bucket"), "open-buckets").join(classes.select("bands", *sketches.columns), "id")
     x, y = open_.where("label <> main").alias("x"), open_.alias("y")
     crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _likely("x", "y", threshold)
     crossing = crossing & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-    pairs = x.join(y, crossing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _bits("x", "y").alias("bits")).distinct()
+    # Once per pair, in one of the buckets it shares.
+    crossing = crossing & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
+    pairs = x.join(y, crossing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _bits("x", "y").alias("bits"))
     pairs = stage(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
     if pairs.isEmpty():
         return linked
