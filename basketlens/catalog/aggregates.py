@@ -168,6 +168,14 @@ def _(spark, d):
 _TOTALS = f"t AS ({sql.category_totals('category_id, event_type, month')})"
 _SALES = sql.total("total_sales")
 
+# The columns that the given tables have; the operators find theirs in the rows.
+_MONTHS = [f"{year}-{month:02}" for year in range(1995, 2002) for month in range(1, 13)][:83]
+EVENT_VOLUMES = (
+    "SELECT month AS month_str, "
+    + ", ".join(f"CAST(COALESCE(SUM(num_events) FILTER (WHERE event_type = '{e}'), 0) AS BIGINT) AS {e}" for e in ("cart", "purchase", "view"))
+    + " FROM t WHERE event_type IS NOT NULL GROUP BY month"
+)
+
 
 @query(
     "agg_13_top_categories",
@@ -180,7 +188,7 @@ def _(spark, d):
 @query(
     "agg_14_events_pivot",
     sql.retail(
-        "PIVOT (SELECT month AS month_str, event_type, num_events FROM t) ON event_type USING CAST(COALESCE(SUM(num_events), 0) AS BIGINT) GROUP BY month_str",
+        EVENT_VOLUMES,
         _TOTALS,
     ),
 )
@@ -191,7 +199,7 @@ def _(spark, d):
 @query(
     "agg_15_sales_pivot",
     sql.retail(
-        f"PIVOT (SELECT category_id, month, total_sales FROM t) ON month USING COALESCE({_SALES}, 0) GROUP BY category_id",
+        "SELECT category_id, " + ", ".join(f"COALESCE({sql.total('total_sales', f"month = '{m}'")}, 0) AS \"{m}\"" for m in _MONTHS) + " FROM t GROUP BY category_id",
         _TOTALS,
     ),
 )
@@ -199,6 +207,24 @@ def _(spark, d):
     return categories.sales_pivot(_category_totals(spark, d))
 
 
+@query(
+    "agg_15_sales_cells",
+    sql.retail(
+        f"""SELECT category_id, COUNT(*) AS n_cells, MAX(s) AS largest, MAX(s) FILTER (WHERE month = '1996-02') AS feb_1996
+        FROM (SELECT category_id, month, {_SALES} AS s FROM t GROUP BY 1, 2) GROUP BY category_id""",
+        _TOTALS,
+    ),
+)
+def _(spark, d):
+    cells = categories.sales_cells(_category_totals(spark, d))
+    return cells.select(
+        "category_id",
+        F.size("cells").cast("bigint").alias("n_cells"),
+        F.array_max(F.map_values("cells")).alias("largest"),
+        F.try_element_at("cells", F.lit("1996-02")).alias("feb_1996"),
+    )
+
+
 @query(
     "agg_15_sales_long",
     sql.retail(f"SELECT category_id, month AS month_str, {_SALES} AS total_sales FROM t GROUP BY 1, 2", _TOTALS),

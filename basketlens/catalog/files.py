@@ -38,7 +38,7 @@ def _(spark, d):
 
 @query("src_02_projected_scan", sql.retail("SELECT category_id, event_type, product_id, price FROM r"))
 def _(spark, d):
-    return read_events_csv(spark, retail_csv(spark, d), columns=CATEGORY_COLUMNS)
+    return read_events_csv(spark, retail_csv(spark, d), columns=CATEGORY_COLUMNS, on_bad="trust")
 
 
 def _dirty_csv(spark, d):

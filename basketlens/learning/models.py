@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ FOREST_TREES = 200
 FOREST_DEPTH = 30
 BOOSTING_ROUNDS = 2_000
 BOOSTING_PATIENCE = 50
+BOOSTING_STORED = 10
 IMPORTANCE_ROWS = 10
 POINT_ROWS = 2_000
 SEED = 42
@@ -117,6 +120,79 @@ def with_target(sessions: DataFrame, spent: str = schema.SPEND_TARGET) -> DataFr
     return sessions.withColumn(TARGET, log_target(spent))
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """A boosted model cut at its best round, and the held-out error after every round that was made."""
+
+    model: PipelineModel
+    errors: list[float]
+
+
+def _ensemble(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], weights: Sequence[float], n_features: int) -> GBTRegressionModel:
+    """MLlib's model of these trees."""
+    gateway = spark.sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    parts, shares = gateway.new_array(ml.DecisionTreeRegressionModel, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
+    for k, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        parts[k], shares[k] = tree._java_obj, float(weight)
+    return GBTRegressionModel(ml.GBTRegressionModel(f"GBTRegressionModel_{uuid.uuid4().hex[:12]}", parts, shares, n_features))
+
+
+def boost(
+    rows: DataFrame,
+    validation: str,
+    features: Sequence[str] = schema.SPEND_FEATURES,
+    rounds: int = BOOSTING_ROUNDS,
+    patience: int = BOOSTING_PATIENCE,
+    every: int = BOOSTING_STORED,
+    seed: int = SEED,
+) -> Boosted:
+    """Gradient boosting that stops: one pass over the rounds, each tree fitted once.
+
+    A tree is fitted to the gradient of the squared error, as MLlib's boosting does. ``every`` rounds the sums of the
+    trees so far are stored in the shared folder, so a lost executor costs those rounds at most and no
+    plan grows; the held-out errors of these rounds are then taken in one pass. Boosting ends when the error has not fallen for
+    ``patience`` rounds; the model has the trees up to the best one.
+    """
+    spark = rows.sparkSession
+    assembler = _assembler(features)
+    table = assembler.transform(rows).select(VECTOR, F.col(TARGET).alias("_y"), F.col(validation).alias("_out"), F.lit(0.0).alias("_sum"))
+    trees: list[DecisionTreeRegressionModel] = []
+    weights: list[float] = []
+    errors: list[float] = []
+    best = 0
+    stopped = False
+    table = stage(table, "boosting").persist()
+    while not stopped and len(trees) < rounds:
+        start = len(trees)
+        held_out = table.where("_out").select(VECTOR, (F.col("_y") - F.col("_sum")).alias("label"))
+        while len(trees) < min(start + every, rounds):
+            ahead, gap = table.where("NOT _out"), F.col("_y") - F.col("_sum")
+            if len(trees) > start:
+                ahead = _ensemble(spark, trees[start:], weights[start:], len(features)).transform(ahead)
+                gap = gap - F.col("prediction")
+            # The first tree fits the target itself and counts in full.
+            gradient = (gap * 2 if trees else gap).alias("label")
+            fitted = DecisionTreeRegressor(featuresCol=VECTOR, labelCol="label", maxDepth=TREE_DEPTH, minInstancesPerNode=MIN_ROWS_PER_LEAF, seed=seed)
+            weights.append(LEARNING_RATE if trees else 1.0)
+            trees.append(fitted.fit(ahead.select(VECTOR, gradient)))
+        added = _ensemble(spark, trees[start:], weights[start:], len(features))
+        for error in added.evaluateEachIteration(held_out, "squared"):
+            errors.append(error)
+            if error < errors[best]:
+                best = len(errors) - 1
+            elif len(errors) - 1 - best >= patience:
+                stopped = True
+                break
+        if not stopped and len(trees) < rounds:
+            summed = stage(added.transform(table).select(VECTOR, "_y", "_out", (F.col("_sum") + F.col("prediction")).alias("_sum")), "boosting")
+            table.unpersist()
+            table = summed.persist()
+    table.unpersist()
+    kept = _ensemble(spark, trees[: best + 1], weights[: best + 1], len(features))
+    return Boosted(PipelineModel([assembler, kept]), errors)
+
+
 def train_boosted_spend(
     train: DataFrame,
     features: Sequence[str] = schema.SPEND_FEATURES,
@@ -127,39 +203,23 @@ def train_boosted_spend(
 ) -> PipelineModel:
     """Boosted trees on the log target.
 
-    ``validation`` names a boolean column marking held-out rows. With it, boosting goes on until
-    their error has not fallen for ``patience`` rounds (or ``rounds`` are done), and the model has the
-    trees up to the best round. Trees do not depend on how many follow, so the number of rounds is
-    doubled until the best one is far enough from the end, and that many are fitted again.
+    ``validation`` names a boolean column marking held-out rows. With it, :func:`boost` stops when
+    their error has not fallen for ``patience`` rounds; without, or if no row is held out, all ``rounds`` are made.
     """
     _cut_lineage(train)
-
-    def fit(rows: DataFrame, n: int) -> PipelineModel:
-        trees = GBTRegressor(
-            featuresCol=VECTOR,
-            labelCol=TARGET,
-            stepSize=LEARNING_RATE,
-            maxDepth=TREE_DEPTH,
-            minInstancesPerNode=MIN_ROWS_PER_LEAF,
-            maxIter=n,
-            seed=seed,
-        )
-        return Pipeline(stages=[_assembler(features), trees]).fit(rows)
-
-    if not validation:
-        return fit(train, rounds)
-    seen = train.where(~F.col(validation))
-    held_out = _assembler(features).transform(train.where(F.col(validation)))
-    if held_out.isEmpty():
-        return fit(seen, rounds)
-    n = min(rounds, 2 * patience)
-    while True:
-        model = fit(seen, n)
-        errors = model.stages[-1].evaluateEachIteration(held_out, "squared")
-        best = min(range(n), key=errors.__getitem__) + 1
-        if n == rounds or n - best >= patience:
-            return model if best == n else fit(seen, best)
-        n = min(rounds, 2 * n)
+    seen = train.where(~F.col(validation)) if validation else train
+    if validation and not train.where(F.col(validation)).isEmpty():
+        return boost(train, validation, features, rounds, patience, seed=seed).model
+    trees = GBTRegressor(
+        featuresCol=VECTOR,
+        labelCol=TARGET,
+        stepSize=LEARNING_RATE,
+        maxDepth=TREE_DEPTH,
+        minInstancesPerNode=MIN_ROWS_PER_LEAF,
+        maxIter=rounds,
+        seed=seed,
+    )
+    return Pipeline(stages=[_assembler(features), trees]).fit(seen)
 
 
 def train_forest_spend(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import amount, money, null_to_zero, parse_month_tag
+from ..runtime import stage
 
 KEYS = ["category_id", "event_type"]
 
@@ -145,11 +146,23 @@ def events_pivot(totals: DataFrame, event_types: Sequence[str] | None = None) ->
 def sales_pivot(totals: DataFrame, months: Sequence[str] | None = None) -> DataFrame:
     """Category by month, summed ``total_sales``, 0 where nothing was sold.
 
-    The columns are the months that occur, up to ``spark.sql.pivotMaxValues``, or those listed.
+    The columns are the months that occur, up to ``spark.sql.pivotMaxValues``, or those listed. The cells are
+    summed once and stored, and the months listed from them. :func:`sales_cells` has no bound on the months.
     """
-    kept = _not_null(totals, ["category_id", "month_str"])
-    months = None if months is None else list(months)
-    return kept.groupBy("category_id").pivot("month_str", months).agg(_sum_money("total_sales")).na.fill(0)
+    cells = sales_long(totals)
+    if months is None:
+        cells = stage(cells, "sales-cells")
+        most = int(totals.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        months = sorted(r[0] for r in cells.select("month_str").distinct().limit(most + 1).collect())
+        if len(months) > most:
+            raise ValueError(f"more than {most} months: list those wanted, or use sales_cells")
+    return cells.groupBy("category_id").pivot("month_str", list(months)).agg(F.first("total_sales")).na.fill(0)
+
+
+def sales_cells(totals: DataFrame) -> DataFrame:
+    """One row per category with its sales by month in a map, for any number of months: ``category_id, cells``."""
+    cells = sales_long(totals).groupBy("category_id").agg(F.sort_array(F.collect_list(F.struct("month_str", "total_sales"))).alias("cells"))
+    return cells.select("category_id", F.map_from_entries("cells").alias("cells"))
 
 
 def sales_long(totals: DataFrame) -> DataFrame:

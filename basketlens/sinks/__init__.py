@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import format_event_time
 from ..operators.typing import NARROW_EVENTS, fitting_types, narrow
-from ..runtime import matching_paths, move_path, path_exists
+from ..runtime import matching_paths, move_path, path_exists, stage
 from ..sources.events import read_events_csv, with_source_tag
 
 
@@ -61,15 +61,15 @@ def convert_csv(
     """Event CSV files to one typed Parquet table under one schema.
 
     ``types`` are narrower types wished for; a column with a value that does not fit keeps
-    its type, so no id is lost. That takes a pass over the files before they are converted.
+    its type, so no id is lost. The files are parsed once, to a table that is read for the widths.
     ``month_pattern`` takes the month out of each file's path and gives each its folder.
     """
     events = read_events_csv(spark, source, **options)
+    if month_pattern is not None:
+        events = with_source_tag(events, month_pattern)
+    events = stage(events, "parsed-csv")
     events = narrow(events, fitting_types(events, types))
-    if month_pattern is None:
-        write_parquet(events, target)
-    else:
-        write_parquet(with_source_tag(events, month_pattern), target, partition_by=["month"])
+    write_parquet(events, target, partition_by=[] if month_pattern is None else ["month"])
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.columns import amount, money, null_to_zero
 from ..learning.models import score
@@ -26,25 +27,37 @@ from ..operators.categories import KEYS, category_partials, merge_category_parti
 from ..operators.sessions import merge_session_fragments, session_fragments, sum_session_fragments
 from ..operators.typing import narrow
 from ..runtime import delete_path, matching_paths
-from ..schema import DEFAULT_LABELS, EventLabels
-from ..sources.events import as_lines, parse_lines
+from ..schema import DEFAULT_LABELS, RAW_EVENTS, EventLabels
+from ..sources.events import csv_options, judged
 
 # Types that a stream can narrow to without losing an id.
 NARROW_STREAM = {"price": "float"}
 
 
 def stream_events_csv(
-    spark: SparkSession, path: str, max_files: int | None = None, glob: str = "*.csv", on_bad: str = "fail", delimiter: str = ","
+    spark: SparkSession,
+    path: str,
+    max_files: int | None = None,
+    glob: str = "*.csv",
+    on_bad: str = "fail",
+    delimiter: str = ",",
+    multiline: bool = True,
 ) -> DataFrame:
     """New event CSV files below ``path`` as a stream with typed times.
 
     ``max_files`` bounds a micro-batch; without it the first one takes everything there is.
     ``on_bad`` as in a batch read: with ``fail`` a bad row stops the stream until it is mended.
+    ``multiline=False`` lets a large file be split, if no quoted field holds a line end.
     """
-    reader = as_lines(spark.readStream, glob)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return parse_lines(reader.csv(path), delimiter=delimiter, on_bad=on_bad, times=["event_time"])
+
+    def scan(wanted: StructType) -> DataFrame:
+        reader = spark.readStream.schema(wanted).options(**csv_options(delimiter, multiline, on_bad))
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.csv(path)
+
+    return judged(scan, RAW_EVENTS, delimiter, on_bad, ["event_time"])
 
 
 def stream_convert(

@@ -305,3 +305,53 @@ def test_stage_goes_to_the_shared_folder(spark):
     stored = stage(spark.range(3), "probe")
     assert all(f.startswith("file:") and shared_root(spark).split(":")[-1] in f for f in stored.inputFiles())
     assert path_exists(spark, shared_root(spark))
+
+
+@pytest.fixture
+def several_lines(tmp_path):
+    """A record over two lines, one with \\x01 in it, and a bad one of each kind over two lines."""
+    records = [
+        GOOD,
+        '2019-10-01 00:00:01 UTC,view,2,10,"a\nb",acme,1.25,7,s2',
+        "2019-10-01 00:00:02 UTC,view,3,10,a\x01b,acme,1.25,7,s3\x01x",
+        'yesterday,view,4,10,"c\nd",acme,1.25,7,s4',
+        '2019-10-01 00:00:04 UTC,view,oops,10,"e\nf",acme,1.25,7,s5',
+        '2019-10-01 00:00:05 UTC,view,6,10,"g\nh",acme,1.25,7,s6,more',
+        "yesterday\x01,view,7,10,x,acme,1.25,7,s7",
+    ]
+    (tmp_path / "odd name").mkdir()
+    (tmp_path / "odd name" / "2019-Dec.csv").write_text("\n".join([HEADER, *records]) + "\n")
+    (tmp_path / "odd name" / "2019-Nov.csv").write_text(f"{HEADER}\n{GOOD}\n")
+    return str(tmp_path / "odd name"), records
+
+
+def test_records_over_several_lines(spark, several_lines):
+    folder, records = several_lines
+    kept = source.read_events_csv(spark, folder, on_bad="drop").orderBy("product_id").collect()
+    assert [(r.product_id, r.category_code, r.user_session) for r in kept] == [(1, "a.b", "s1")] * 2 + [(2, "a\nb", "s2"), (3, "a\x01b", "s3\x01x")]
+    good, bad = source.split_quarantine(source.read_events_csv(spark, folder, on_bad="quarantine"))
+    assert good.count() == 4
+    assert {r._corrupt_record for r in bad.collect()} == set(records[3:])
+    assert {r.product_id for r in bad.collect()} == {4, None, 6, 7}
+    lenient = source.read_events_csv(spark, folder, on_bad="lenient").collect()
+    assert sorted((r.product_id or 0, r.category_code) for r in lenient) == [(0, "e\nf"), (1, "a.b"), (1, "a.b"), (2, "a\nb"), (3, "a\x01b"), (4, "c\nd"), (7, "x")]
+    with pytest.raises(Exception, match="MALFORMED"):
+        source.read_events_csv(spark, folder).collect()
+    tagged = source.with_source_tag(source.read_events_csv(spark, folder, on_bad="drop"), r"([^/]+)\.csv$")
+    assert {tuple(r) for r in tagged.groupBy("month").count().collect()} == {("2019-Dec", 3), ("2019-Nov", 1)}
+    assert source.read_events_csv(spark, folder, on_bad="drop", multiline=True).count() == 4
+
+
+def test_scans_read_what_is_wanted(spark, dirty):
+    """Without a verdict only the columns wanted are read; with one, all, for all policies in one scan of typed columns."""
+    plan = lambda **k: source.read_events_csv(spark, dirty, columns=["event_type", "price"], **k)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<event_type:string,price:double>" in plan(on_bad="trust")
+    assert "ReadSchema: struct<event_time:string,event_type:string,price:double,_corrupt_record:string>" in plan(on_bad="lenient")
+    for policy in ("fail", "drop"):
+        text = plan(on_bad=policy)
+        assert text.count("FileScan") == 1 and "from_csv" not in text and "product_id:bigint" in text
+
+
+def test_trust_reads_without_a_verdict(spark, dirty):
+    rows = source.read_events_csv(spark, dirty, on_bad="trust", columns=["product_id", "user_session"]).collect()
+    assert [(r.product_id, r.user_session) for r in rows] == [(1, "s1"), (2, None), (3, "s1"), (None, "s1"), (5, "s1")]

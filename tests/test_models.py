@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,22 @@ def test_metrics_leave_out_rows_without_a_prediction(spark):
     scored = spark.createDataFrame([(1.0, 2.0), (3.0, 3.0), (5.0, 3.0), (100.0, None), (None, 4.0)], "a double, p double")
     found = metrics.regression_metrics(scored, "a", "p").first()
     assert (found.n, found.r2) == (3, pytest.approx(1 - 5 / 8))
+
+
+def test_boosting_stops_at_the_best_round(spark):
+    """Every round is made once, errors are those of the model after each round, and the best prefix is kept."""
+    rng = random.Random(4)
+    rows = [(float(x := rng.random()), rng.random(), 2 * x + rng.gauss(0, 0.5), k % 4 == 0) for k in range(1200)]
+    table = spark.createDataFrame(rows, f"a double, b double, {models.TARGET} double, out boolean")
+    found = models.boost(table, "out", ["a", "b"], rounds=60, patience=8, every=7)
+    best = min(range(len(found.errors)), key=found.errors.__getitem__)
+    kept = found.model.stages[-1]
+    assert kept.getNumTrees == best + 1
+    assert len(found.errors) == min(60, best + 1 + 8)
+    scored = found.model.transform(table.where("out"))
+    assert scored.agg(F.avg((F.col(models.TARGET) - F.col("prediction")) ** 2)).first()[0] == pytest.approx(found.errors[best])
+    # The same trees as MLlib's own loop.
+    whole = models.train_boosted_spend(table.where("not out"), ["a", "b"], rounds=best + 1)
+    same = whole.transform(table.where("out")).select(F.col("prediction").alias("p"), "a").join(scored, "a")
+    assert same.where(F.abs(F.col("p") - F.col("prediction")) > 1e-6).count() == 0
+    assert models.boost(table, "out", ["a", "b"], rounds=5).model.stages[-1].getNumTrees <= 5

@@ -179,3 +179,24 @@ def test_month_tags(spark):
     tags = spark.createDataFrame([("2019-Oct",), ("2019-11",), ("optimized",), (None,)], "month string")
     found = [r.month_str for r in categories.with_month_str(tags).collect()]
     assert found == ["2019-10", "2019-11", None, None]
+
+
+def test_sales_by_any_number_of_months(spark):
+    """The pivot names its limit; cells in a map have none and hold the same sums."""
+    rows = [(c, f"m{k:03}", float(c * k)) for c in range(1, 5) for k in range(40) if (c + k) % 3]
+    totals = spark.createDataFrame([*rows, (9, None, 1.0), (None, "m001", 1.0)], "category_id long, month_str string, total_sales double")
+    cells = {r.category_id: r.cells for r in categories.sales_cells(totals).collect()}
+    assert cells == {c: {m: v for x, m, v in rows if x == c} for c in range(1, 5)}
+    wide = categories.sales_pivot(totals)
+    assert wide.columns == ["category_id"] + sorted({m for _, m, _ in rows})
+    for r in wide.collect():
+        assert {m: r[m] for m in wide.columns[1:] if m in cells[r.category_id]} == cells[r.category_id]
+        assert all(r[m] == 0 for m in wide.columns[1:] if m not in cells[r.category_id])
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    try:
+        with pytest.raises(ValueError, match="sales_cells"):
+            categories.sales_pivot(totals)
+        assert len(categories.sales_cells(totals).collect()) == 4
+        assert categories.sales_pivot(totals, ["m001", "m002"]).columns == ["category_id", "m001", "m002"]
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
