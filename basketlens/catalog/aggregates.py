@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import month_of
 from ..operators import categories, sessions, summaries
 from ..operators.sampling import union_all, union_distinct
-from ..runtime import scratch_path
+from ..runtime import scratch_path, stage
 from ..schema import EventLabels
 from ..sinks import write_csv
 from ..sources.events import read_category_csv
@@ -50,6 +50,22 @@ def _(spark, d):
     return summaries.price_summary(retail_events(spark, d, ["price"]), exact=True)
 
 
+# Sketches by month, stored and merged: all but the median exact, its rank within 0.5 % of the middle; twice that is allowed.
+@query(
+    "agg_03_price_summary_merged",
+    sql.retail(
+        """SELECT MIN(price) AS min_price, CAST(SUM(CAST(price AS DECIMAL(30,4))) AS DOUBLE) / COUNT(price) AS avg_price,
+        MAX(price) AS max_price, true AS is_median FROM r"""
+    ),
+)
+def _(spark, d):
+    events = retail_events(spark, d, ["price", "month"])
+    found = summaries.merge_price_sketches(stage(summaries.price_sketches(events, ["month"]), "price-sketches"))
+    middle = found.first()["median_price"]
+    below, upto, n = events.agg(F.count_if(F.col("price") < middle), F.count_if(F.col("price") <= middle), F.count("price")).first()
+    return found.drop("median_price").withColumn("is_median", F.lit(below <= 0.51 * n and upto >= 0.49 * n))
+
+
 # The sketch promises a rank within 1 / 10,000 of the middle; a percent is far outside.
 @query(
     "agg_03_price_summary_approx",

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import stage
+from ..functions.columns import micros_of
+from ..runtime import path_exists, stage
 from ..sources.files import FILE, count_lines, detect_delimiters, first_rows_of_files, list_files
 
 # Rows previewed, share below which a text column is worth a dictionary.
 PREVIEW_ROWS = 10
 DICTIONARY_SHARE = 0.5
+#: Two to this power are the registers of a sketch of distinct values.
+SKETCH_BITS = 14
 # Types a text column may be read as, in the order they are tried.
 TEXT_TYPES = ["int", "bigint", "double", "timestamp", "boolean"]
 
@@ -34,6 +37,21 @@ def _as_text(name: str, dtype: T.DataType) -> Column:
     return F.hex(c) if isinstance(dtype, T.BinaryType) else c.cast("string")
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+
+
+def _typed(name: str, dtype: T.DataType) -> list[Column]:
+    """The value as one of ``whole, real, text``, whichever fits its type; both zeros are one value."""
+    c = F.col(f"`{name}`")
+    kind = "whole" if isinstance(dtype, _WHOLE) else "real" if isinstance(dtype, (T.DoubleType, T.FloatType)) else "text"
+    # Floats stay what they are as doubles; times are counted in microseconds.
+    if isinstance(dtype, T.TimestampNTZType):
+        kind, c = "whole", micros_of(c)
+    value = _as_text(name, dtype) if kind == "text" else c.cast("bigint") if kind == "whole" else c.cast("double") + F.lit(0.0)
+    types = {"whole": "bigint", "real": "double", "text": "string"}
+    return [(value if k == kind else F.lit(None).cast(t)).alias(k) for k, t in types.items()]
+
+
 def _value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``by, column, value, n`` for every distinct value (null too), in one scan.
 
@@ -54,10 +72,61 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approx:
     if approx:
         counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
         return counts.unpivot([], columns, "column", "n_distinct")
-    found = _value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n_distinct"))
+    cells = [F.struct(F.lit(k).alias("k"), *_typed(c, df.schema[c].dataType)) for k, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*cells))).distinct()
+    given = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()
+    found = values.groupBy("k").agg(F.count_if(given).alias("n_distinct"))
     # A column of a table without rows has no value at all.
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(found, "column", "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0).cast("long")))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "k int, column string")
+    return names.join(F.broadcast(found), "k", "left").select("column", F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"))
+
+
+def add_to_profile(rows: Callable[[list[str]], DataFrame], files: DataFrame, store: str) -> int:
+    """Profile the files of ``files`` (``path``, ``modified``) that ``store`` does not know yet; how many those are.
+
+    ``rows`` reads a list of files. For each file and column the store keeps the rows, the missing values and a
+    sketch (HLL) of the distinct ones: a file that has been profiled is not read again, one that has changed since is. One
+    scan, in which map tasks combine the sketches of a file; the list of new files is what reaches the driver.
+    """
+    spark = files.sparkSession
+    fresh = files
+    if path_exists(spark, store):
+        fresh = files.join(spark.read.parquet(store).select("path", "modified").distinct(), ["path", "modified"], "left_anti")
+    fresh = stage(fresh.select("path", "modified"), "new-files")
+    paths = [r[0] for r in fresh.select("path").collect()]
+    if not paths:
+        return 0
+    table = rows(paths)
+    cells = [F.struct(F.lit(f.name).alias("column"), _as_text(f.name, f.dataType).alias("value")) for f in table.schema.fields]
+    flat = table.select(F.col("_metadata.file_path").alias("path"), F.inline(F.array(*cells)))
+    counted = flat.groupBy("path", "column").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("value").isNull()).alias("n_missing"),
+        F.hll_sketch_agg("value", F.lit(SKETCH_BITS)).alias("sketch"),
+    )
+    # A file without rows is known, too.
+    fresh.join(counted, "path", "left").write.mode("append").parquet(store)
+    return len(paths)
+
+
+def stored_profile(spark: SparkSession, store: str, files: DataFrame | None = None) -> DataFrame:
+    """``column, n_rows, n_missing, n_distinct`` over the stored files, or those of ``files``; the sketches are united.
+
+    Counts of rows and missing values are exact. The standard error of ``n_distinct`` is 1.04 / 2^(``SKETCH_BITS`` / 2), 0.8 %, however many files
+    are united. Of a file that was profiled again the last state counts.
+    """
+    known = spark.read.parquet(store)
+    if files is not None:
+        known = known.join(files.select("path", "modified"), ["path", "modified"], "left_semi")
+    else:
+        last = known.groupBy("path").agg(F.max("modified").alias("modified"))
+        known = known.join(last, ["path", "modified"], "left_semi")
+    united = known.where(F.col("column").isNotNull()).groupBy("column").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_missing").alias("n_missing"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).cast("bigint").alias("n_distinct"),
+    )
+    return united
 
 
 def cardinality_profile(df: DataFrame, threshold: float = DICTIONARY_SHARE) -> DataFrame:

@@ -26,7 +26,8 @@ _MEASURES = {
 }
 
 
-def _measures(labels: EventLabels, count_null_types: bool) -> dict[str, Column]:
+def session_measures(labels: EventLabels = DEFAULT_LABELS, count_null_types: bool = True) -> dict[str, Column]:
+    """The aggregates of a session, but for its distinct products."""
     kind = F.col("event_type")
     viewed = known(F.when(kind == labels.view, F.col("price")))
     counted = F.lit(1) if count_null_types else kind
@@ -44,7 +45,8 @@ def _measures(labels: EventLabels, count_null_types: bool) -> dict[str, Column]:
     }
 
 
-def _session_columns(extra: Sequence[str] = (), duration: bool = True) -> list[Column]:
+def session_columns(extra: Sequence[str] = (), duration: bool = True) -> list[Column]:
+    """The session table's columns from ``session_measures`` and ``unique_products``."""
     columns = [F.col(c) for c in extra]
     columns += [
         F.col(SESSION),
@@ -80,24 +82,24 @@ def session_aggregate(
     """
     if drop_null_keys:
         events = events.where(F.col(SESSION).isNotNull())
-    measures = _measures(labels, count_null_types=True)
+    measures = session_measures(labels, count_null_types=True)
     sessions = events.groupBy(*by, SESSION).agg(
         *[m.alias(name) for name, m in measures.items()],
         F.count_distinct("product_id").alias("unique_products"),
     )
-    return sessions.select(*_session_columns(by))
+    return sessions.select(*session_columns(by))
 
 
 def session_aggregate_compact(events: DataFrame, labels: EventLabels = DEFAULT_LABELS) -> DataFrame:
     """The variant for narrowed files: float prices, only events with a type counted,
     events without a session left out, no duration column."""
     events = events.where(F.col(SESSION).isNotNull()).withColumn("price", F.col("price").cast("float"))
-    measures = _measures(labels, count_null_types=False)
+    measures = session_measures(labels, count_null_types=False)
     sessions = events.groupBy(SESSION).agg(
         *[m.alias(name) for name, m in measures.items()],
         F.count_distinct("product_id").alias("unique_products"),
     )
-    return sessions.select(*_session_columns(duration=False))
+    return sessions.select(*session_columns(duration=False))
 
 
 def session_fragments(
@@ -108,7 +110,7 @@ def session_fragments(
     The grain is (``by``, session, product). Keeping the product as a key instead of a
     set per session bounds every row, however long the session.
     """
-    measures = _measures(labels, count_null_types=True)
+    measures = session_measures(labels, count_null_types=True)
     return events.groupBy(*by, SESSION, "product_id").agg(
         *[m.alias(name) for name, m in measures.items()]
     )
@@ -126,7 +128,7 @@ def merge_session_fragments(fragments: DataFrame) -> DataFrame:
         *[combine(name).alias(name) for name, combine in _MEASURES.items()],
         F.count_distinct("product_id").alias("unique_products"),
     )
-    return sessions.select(*_session_columns())
+    return sessions.select(*session_columns())
 
 
 def spanning_sessions(events: DataFrame, period: Column | str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import amount, day_of, known, money
 from .ordering import percentile_of_counts, value_counts
 
+#: Size of a price sketch: the rank error falls with it.
+SKETCH_SIZE = 500
+
 
 def row_counts(df: DataFrame, source: str | None = None) -> DataFrame:
     """``n_rows``, per value of ``source`` if named."""
@@ -45,6 +50,39 @@ def price_summary(events: DataFrame, exact: bool = False, accuracy: int = 10_000
     )
 
 
+def price_sketches(events: DataFrame, by: Sequence[str], k: int = SKETCH_SIZE) -> DataFrame:
+    """``by, n, total, low, high, sketch`` per source, batch or month: partial price summaries that merge.
+
+    The sketch (KLL) holds a bounded number of prices; partials of any parts can be stored and
+    united later by :func:`merge_price_sketches`.
+    """
+    price = known("price")
+    return events.groupBy(*by).agg(
+        F.count(price).alias("n"),
+        F.sum(amount(price)).alias("total"),
+        F.min(price).alias("low"),
+        F.max(price).alias("high"),
+        F.kll_sketch_agg_double(price.cast("double"), k).alias("sketch"),
+    )
+
+
+def merge_price_sketches(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by`` and the columns of :func:`price_summary` over all parts.
+
+    All but the median are exact. Its rank differs from the middle by 0.5 % at most, with 99 % confidence, at the default size; a
+    part without prices adds nothing.
+    """
+    some = partials.where("n > 0")
+    merged = some.groupBy(*by).agg(
+        F.min("low").alias("min_price"),
+        (money(F.sum("total")) / F.sum("n")).alias("avg_price"),
+        F.max("high").alias("max_price"),
+        F.kll_merge_agg_double("sketch").alias("_sketch"),
+    )
+    median = F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5)).alias("median_price")
+    return merged.select(*by, "min_price", "avg_price", "max_price", median)
+
+
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     """The ``n`` most frequent values (null is a value); ties go to the smaller value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("freq"))

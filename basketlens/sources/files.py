@@ -23,6 +23,14 @@ def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return files.select("path", F.col("length").alias("bytes")).withColumn("mb", F.round(mb, 2))
 
 
+def file_states(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """``path, modified`` of every file below ``path``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path if isinstance(path, str) else list(path)).select("path", F.col("modificationTime").alias("modified"))
+
+
 def count_lines(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """Physical lines (header included) per file: ``path, n_lines``."""
     reader = spark.read.option("recursiveFileLookup", True)

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from ..functions.columns import amount, money, null_to_zero
 from ..learning.models import score
 from ..operators.categories import KEYS, category_partials, merge_category_partials, sum_category_partials
-from ..operators.sessions import merge_session_fragments, session_fragments, sum_session_fragments
+from ..operators.sessions import SESSION, merge_session_fragments, session_columns, session_fragments, session_measures, sum_session_fragments
 from ..operators.typing import narrow
 from ..runtime import delete_path, matching_paths
 from ..schema import DEFAULT_LABELS, RAW_EVENTS, EventLabels
@@ -162,6 +162,37 @@ def compact_sessions(spark: SparkSession, target: str) -> None:
     _compact(spark, target, sum_session_fragments)
 
 
+def stream_closed_sessions(
+    events: DataFrame,
+    target: str,
+    checkpoint: str,
+    gap: str = "30 minutes",
+    late: str = "10 minutes",
+    labels: EventLabels = DEFAULT_LABELS,
+) -> StreamingQuery:
+    """Sessions to ``target`` as Parquet, each once, when it is closed.
+
+    Events of one session key form a session while they are less than ``gap`` apart; it is closed when the watermark,
+    ``late`` behind the latest event seen, has passed its last event by ``gap``. Its state is dropped then, and so are
+    events that arrive behind the watermark, so state holds the open sessions only. The columns are those of the session
+    table; the products of an open session are a set in its state. A session is one row of state in one task: for keys that hold a large part of all
+    events :func:`stream_sessions` spreads them.
+    """
+    timed = events.withColumn("_ts", F.col("event_time").cast("timestamp")).withWatermark("_ts", late)
+    sessions = timed.groupBy(SESSION, F.session_window("_ts", gap).alias("_window")).agg(
+        *[m.alias(name) for name, m in session_measures(labels).items()],
+        F.size(F.collect_set("product_id")).cast("bigint").alias("unique_products"),
+    )
+    return (
+        sessions.select(*session_columns())
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start(target)
+    )
+
+
 def stream_category_partials(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch's category partials to ``target``, exact distinct counts included."""
     return _write_partials(events, target, checkpoint, lambda batch: category_partials(batch, []))
@@ -177,11 +208,43 @@ def compact_categories(spark: SparkSession, target: str) -> None:
     _compact(spark, target, sum_category_partials)
 
 
+def stream_category_totals(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Exact category totals after each micro-batch to ``target``; :func:`current_category_totals` reads the last.
+
+    Two levels: the state has a row per category, event type and product, spread over the products, so distinct
+    products are counted exactly and no row grows; each batch sums it up. Only the totals before the last stay on disk.
+    """
+    products = category_partials(events, [])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = set(complete_batches(spark, target).values())
+        _store(merge_category_partials(batch, []), target, 0, batch_id)
+        # Readers may have begun with the totals before.
+        for path in matching_paths(spark, f"{target}/batches=*/attempt=*/_SUCCESS"):
+            folder = path.rsplit("/", 1)[0]
+            if folder not in before and folder not in complete_batches(spark, target).values():
+                delete_path(spark, folder)
+
+    return (
+        products.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_category_totals(spark: SparkSession, target: str) -> DataFrame:
+    """The totals of the last complete batch of :func:`stream_category_totals`."""
+    return _read_partials(spark, target)
+
+
 def stream_category_aggregate(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Category totals as a stateful streaming aggregate, for update or complete mode.
 
     State is one row per group with a bounded sketch for the distinct products, so their
-    count is approximate; use the partials for the exact one.
+    count is approximate; :func:`stream_category_totals` counts exactly.
     """
     grouped = events.groupBy(*by, *KEYS).agg(
         F.sum(null_to_zero(amount("price"))).alias("sales"),

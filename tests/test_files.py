@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlens import schema
-from basketlens.operators import profile, typing
+from basketlens.operators import profile, summaries, typing
 from basketlens.operators.categories import category_aggregate
 from basketlens.operators.dictionary import build_dictionary, decode, distinct_values, encode
 from basketlens.operators.sessions import session_aggregate
@@ -355,3 +355,60 @@ def test_scans_read_what_is_wanted(spark, dirty):
 def test_trust_reads_without_a_verdict(spark, dirty):
     rows = source.read_events_csv(spark, dirty, on_bad="trust", columns=["product_id", "user_session"]).collect()
     assert [(r.product_id, r.user_session) for r in rows] == [(1, "s1"), (2, None), (3, "s1"), (None, "s1"), (5, "s1")]
+
+
+def test_profiles_read_new_files_only(spark, tmp_path):
+    """Counts are exact and sketches near over all files; what has been profiled is not read again, unless it changed."""
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    read = []
+
+    def rows(paths):
+        read.append(sorted(os.path.basename(p) for p in paths))
+        return spark.read.schema("k long, s string").option("header", True).csv(paths)
+
+    def step():
+        states = files.file_states(spark, str(folder), "*.csv")
+        n = profile.add_to_profile(rows, states, store)
+        return n, {r.column: (r.n_rows, r.n_missing, r.n_distinct) for r in profile.stored_profile(spark, store, states).collect()}
+
+    for k in range(3):
+        (folder / f"{k}.csv").write_text("k,s\n" + "".join(f"{i},{'' if i % 5 == 0 else i % 100}\n" for i in range(k * 1000, k * 1000 + 2000)))
+    n, found = step()
+    assert n == 3 and found["k"][:2] == (6000, 0) and found["s"][:2] == (6000, 1200)
+    assert abs(found["k"][2] - 4000) < 160 and abs(found["s"][2] - 80) <= 3
+    assert step() == (0, found)
+    (folder / "3.csv").write_text("k,s\n9000,x\n")
+    (folder / "4.csv").write_text("k,s\n")
+    n, found = step()
+    assert n == 2 and found["k"][0] == 6001 and step()[0] == 0
+    (folder / "3.csv").write_text("k,s\n9000,x\n9001,y\n9002,z\n")
+    os.utime(folder / "3.csv", (2_000_000_000, 2_000_000_000))
+    n, found = step()
+    assert n == 1 and found["k"][0] == 6003
+    last = {r.column: r.n_rows for r in profile.stored_profile(spark, store).collect()}
+    assert last == {"k": 6003, "s": 6003}
+    assert read == [["0.csv", "1.csv", "2.csv"], ["3.csv", "4.csv"], ["3.csv"]]
+
+
+def test_distinct_counts_of_all_types(spark):
+    row = "1Y, 300S, 70000, 5000000000L, true, 0.0D, 1.5F, '1', DATE '2020-01-01', TIMESTAMP_NTZ '2020-01-01 00:00:00.000001', X'00', 1.10BD"
+    other = "1Y, 300S, 70000, 5000000000L, true, -0.0D, 1.5F, '01', DATE '2020-01-01', TIMESTAMP_NTZ '2020-01-01 00:00:00.000002', X'0000', 1.2BD"
+    nulls = ", ".join(["NULL"] * 12)
+    df = spark.sql(f"SELECT * FROM VALUES ({row}), ({other}), ({nulls}), ({nulls}) AS t(a, b, c, d, e, f, g, h, i, j, k, l)")
+    found = {r.column: r.n_distinct for r in profile.distinct_counts(df).collect()}
+    assert found == dict(zip("abcdefghijkl", [1, 1, 1, 1, 1, 1, 1, 2, 1, 2, 2, 2], strict=True))
+
+
+def test_price_sketches_merge(spark, sf_dir):
+    """Sketches by month, united, give the whole table's median within the stated rank."""
+    events = retail_events(spark, sf_dir, ["price", "month"])
+    parts = stage(summaries.price_sketches(events, ["month"]), "sketches")
+    assert parts.count() > 50
+    found = summaries.merge_price_sketches(parts).first()
+    exact = price_summary(events, exact=True).first()
+    assert (found.min_price, found.avg_price, found.max_price) == (exact.min_price, exact.avg_price, exact.max_price)
+    below, n = events.agg(F.count_if(F.col("price") < found.median_price), F.count("price")).first()
+    assert abs(below / n - 0.5) < 0.01
+    none = spark.createDataFrame([(None, "m"), (float("nan"), "m")], "price double, month string")
+    assert summaries.merge_price_sketches(summaries.price_sketches(none, ["month"])).first().median_price is None

@@ -128,3 +128,53 @@ def test_stateful_categories(spark, folder, tmp_path):
     latest = {k: v for batch in seen for k, v in batch.items()}
     expected = category_aggregate(read_events_csv(spark, str(folder)))
     assert sorted(latest.values()) == rows_of(expected)
+
+
+def events_file(inbox, name, rows):
+    lines = [f"2019-10-{day:02} {hour:02}:00:00 UTC,{kind},{product},1,,acme,2.5,7,{session}" for day, hour, kind, product, session in rows]
+    (inbox / name).write_text("\n".join([HEADER, *lines]) + "\n")
+
+
+def test_closed_sessions(spark, tmp_path):
+    """A session is written once it is closed; late events are dropped, open sessions wait, a pause makes a new session."""
+    inbox, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    inbox.mkdir()
+
+    def step():
+        run(jobs.stream_closed_sessions(jobs.stream_events_csv(spark, str(inbox)), target, checkpoint, "6 hours", "2 hours"))
+        return {(r.user_session, r.session_start.day, r.total_events, r.unique_products, r.total_spent) for r in spark.read.parquet(target).collect()}
+
+    events_file(inbox, "0.csv", [(1, 0, "view", 1, "a"), (1, 5, "purchase", 1, "a"), (1, 9, "view", 2, "b"), (1, 10, "view", 3, "a"), (1, 11, "view", 4, "c")])
+    assert step() == set()
+    # The watermark comes to day 2, 10:00: a (last event at 10:00) and b are closed, a later a is another session.
+    events_file(inbox, "1.csv", [(1, 12, "cart", 2, "b"), (2, 12, "view", 9, "a"), (2, 12, "view", 9, "d")])
+    closed = {("a", 1, 3, 2, 2.5), ("b", 1, 2, 1, 0.0), ("c", 1, 1, 1, 0.0)}
+    assert step() == closed
+    # An event behind the watermark is dropped, whoever's it is; one that is just in time counts.
+    events_file(inbox, "2.csv", [(1, 11, "purchase", 5, "c"), (2, 3, "view", 5, "e"), (2, 13, "view", 8, "d")])
+    assert step() == closed
+    events_file(inbox, "3.csv", [(4, 0, "view", 1, "z")])
+    assert step() == closed | {("a", 2, 1, 1, 0.0), ("d", 2, 2, 2, 0.0)}
+    # Nothing twice.
+    assert step() == closed | {("a", 2, 1, 1, 0.0), ("d", 2, 2, 2, 0.0)}
+    assert spark.read.parquet(target).count() == 5
+
+
+def test_closed_sessions_equal_the_batch(spark, folder, tmp_path):
+    expected = rows_of(session_aggregate(read_events_csv(spark, str(folder))))
+    (folder / "9.csv").write_text(f"{HEADER}\n2019-12-01 00:00:00 UTC,view,1,1,,acme,1.0,1,last\n")
+    target = str(tmp_path / "out")
+    run(jobs.stream_closed_sessions(jobs.stream_events_csv(spark, str(folder)), target, str(tmp_path / "cp"), "12 hours", "1 hour"))
+    assert rows_of(spark.read.parquet(target)) == expected
+
+
+def test_category_totals_are_exact(spark, folder, tmp_path):
+    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for files in (2, 3, 4):
+        if files > 2:
+            write(folder, files - 1)
+        run(jobs.stream_category_totals(jobs.stream_events_csv(spark, str(folder), 1), target, checkpoint))
+        expected = category_aggregate(read_events_csv(spark, str(folder)))
+        assert rows_of(jobs.current_category_totals(spark, target)) == rows_of(expected)
+    # The last totals and those before them are kept.
+    assert len([f for f in os.listdir(target) if f.startswith("batches=") and os.listdir(os.path.join(target, f))]) <= 2
