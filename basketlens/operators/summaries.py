@@ -79,8 +79,9 @@ def merge_price_sketches(partials: DataFrame, by: Sequence[str] = ()) -> DataFra
         F.max("high").alias("max_price"),
         F.kll_merge_agg_double("sketch").alias("_sketch"),
     )
-    median = F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5)).alias("median_price")
-    return merged.select(*by, "min_price", "avg_price", "max_price", median)
+    # A sketch of nothing has no quantiles.
+    median = F.when(F.col("min_price").isNotNull(), F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5)))
+    return merged.select(*by, "min_price", "avg_price", "max_price", median.alias("median_price"))
 
 
 def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
