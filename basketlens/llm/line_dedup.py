@@ -1,12 +1,12 @@
 """Line dedup by content-defined chunks and by windows of two lines.
 
-``removed_passages`` (op9) does the whole job: every two consecutive lines with a word, and what stands between
+``removed_passages`` (op9 and the pipeline's stage) does the whole job: every two consecutive lines with a word, and what stands between
 them, are a window; of windows found more than once in the table the first (by doc_id, key and place) stays, and the
 lines of every other one are removed if its bytes equal those of the first. So each repeated passage of two
 lines or more goes, wherever it begins and ends. Where a window overlaps an equal one (three equal lines), the
 shared line is left to the first.
 
-``removed_lines`` (the pipeline's stage) has fewer rows to compare: a chunk ends after each line whose hash is a local
+``removed_lines`` has fewer rows to compare: a chunk ends after each line whose hash is a local
 minimum among the lines with a word, so that the same passage is cut alike wherever it stands, about every three
 lines. No chunk has fewer than ``MIN_LINES`` lines with a word unless its text has fewer, so a copy of a text with
 so many lines goes as a whole. Chunks are counted, and repeated ones go in the same way. A
@@ -190,6 +190,6 @@ def removed_passages(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, texts without repeated chunks; texts of which nothing is left are gone."""
-    found = removed_lines(docs).where("n_chunks = 0 or trim(both ' \\t\\n\\r' from text) <> ''")
+    """The columns of ``docs``, texts without repeated passages; texts of which nothing is left are gone."""
+    found = removed_passages(docs).where("n_chunks = 0 or trim(both ' \\t\\n\\r' from text) <> ''")
     return found.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

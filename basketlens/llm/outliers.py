@@ -7,8 +7,9 @@ Documents are first summed (count, sums, products) in the cells of a bounded gri
 floor's width, in the map tasks; the steps take cells nearest first. So a group with a third of all rows
 is a table of cells like any other, and no group of documents is ever gathered. Groups of under ``min_rows`` documents are judged by
 the estimate of their language, or else by that of the whole table; with fewer rows than that in
-all, no document is rejected by distance. Variances get a floor per statistic, as most documents
-have no symbols and no repetition at all, where a plain estimate would be singular.
+all, no document is rejected by distance. A variance below a floor per statistic is raised to it, as most documents
+have no symbols and no repetition at all, where a plain estimate would be singular. The floors let each statistic
+reject by itself: its range holds six floors.
 
 Null and empty texts have no words and fail the base rule. Null languages and sources form groups of
 their own. Equal rows get equal verdicts. All columns of the input are kept, whatever their names.
@@ -28,11 +29,12 @@ from ..runtime import stage
 from .storage import small_side
 from .text import _LAP, gram_hashes, grouped, mix, prepare, runs, slices, span_hashes, utf8, word_offsets, words
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+COUNTS = [*BASE, "n_lines"]
 #: Vector components are whole multiples of 1 / UNIT, so that sums do not depend on their order.
 UNIT = 1024
 #: Standard deviation, at least, of: log word length, symbols per letter, repeated words, repeated lines (roots).
-FLOORS = [0.10, 0.03, 0.15, 0.25]
+FLOORS = [0.10, 0.03, 0.12, 0.16]
 SIZE = len(FLOORS)
 MIN_ROWS = 50
 COVER = 0.5
@@ -169,6 +171,11 @@ def _cell() -> list[Column]:
     return [F.floor(F.least(F.col(f"z{i}"), F.lit(float(LARGEST[i] * UNIT))) / F.lit(FLOORS[i] * UNIT / 2)).cast("int").alias(f"c{i}") for i in range(SIZE)]
 
 
+def _raised(cov: np.ndarray) -> np.ndarray:
+    """The covariance with variances of at least the floors."""
+    return cov + np.diag(np.maximum((np.array(FLOORS) * UNIT) ** 2 - np.diag(cov), 0))
+
+
 class _Cells:
     """The cells of a group: how many vectors each has, their sums and the sums of their products."""
 
@@ -187,7 +194,7 @@ class _Cells:
         share = count / self.n.sum()
         if share < 1:
             cov = cov * share / chi2_share(chi2_quantile(share, SIZE), SIZE + 2)
-        return center, cov + np.diag((np.array(FLOORS) * UNIT) ** 2)
+        return center, _raised(cov)
 
     def nearest(self, center: np.ndarray, cov: np.ndarray) -> np.ndarray:
         """The cells nearest to the center, as many as hold ``COVER`` of all vectors, in order of their number."""
@@ -205,7 +212,7 @@ class _Cells:
 
         center = np.array([middle(self.means[:, i]) for i in range(SIZE)])
         spread = [1.4826 * middle(np.abs(self.means[:, i] - center[i])) for i in range(SIZE)]
-        return center, np.diag(np.square(spread) + (np.array(FLOORS) * UNIT) ** 2)
+        return center, _raised(np.diag(np.square(spread)))
 
 
 _PARAMS = "level string, center array<double>, inverse array<double>, logdet double"
@@ -258,7 +265,8 @@ def judge(table: DataFrame, params: DataFrame, *names: str) -> DataFrame:
     found = found.withColumn("p", F.coalesce("p0", "p1", "p2")).withColumn("center", F.col("p.center")).withColumn("inverse", F.col("p.inverse"))
     cutoff = chi2_quantile(1 - TAIL, SIZE)
     found = found.withColumn("distance", _distance())
-    return found.select(*names, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
+    return found.select(*names, "base_failed", kept.alias("kept"), "distance")
 
 
 def quality_counts(docs: DataFrame) -> DataFrame:

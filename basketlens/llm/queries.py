@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 def tokenizer_path() -> str:
     """The vocabulary file, on every machine; ``TOKENIZER_FILE`` names another place."""
-    return os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/word_bpe_49k.json")
+    return os.environ.get("TOKENIZER_FILE") or public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None):
@@ -44,12 +45,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     counted = outliers.quality_counts(docs).select("row.doc_id", "row.lang", "row.source", *outliers.COUNTS)
     table = stage(outliers.vectors(counted, "doc_id", *outliers.COUNTS), "vectors")
-    return outliers.judge(table, outliers.fit(table), "doc_id", *outliers.COUNTS)
+    judged = outliers.judge(table, outliers.fit(table), "doc_id", *outliers.COUNTS)
+    return judged.select("doc_id", *outliers.BASE, "base_failed", "kept", "distance", "n_lines")
 
 
 @query("op2_lyndon_suffix_dedup", sql.SUBSTRINGS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed_bytes(documents(spark, sf_dir)).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.removed_bytes(documents(spark, sf_dir)).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), (F.col("n_removed") > 0).alias("touched")
+    )
 
 
 @query("op3_source_mixing", sql.MIXING)

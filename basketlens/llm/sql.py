@@ -86,7 +86,8 @@ kept AS (
         coalesce(string_agg(substr(bytes, 2 * pos - 1, 2), '' ORDER BY pos) FILTER (NOT gone), '') AS kept
     FROM edges JOIN h USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, (length(bytes) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256,
+    (length(bytes) // 2 - coalesce(n_removed, 0))::BIGINT AS n_kept, coalesce(n_removed, 0) > 0 AS touched
 FROM h LEFT JOIN kept USING (doc_id)
 """
 

@@ -88,6 +88,74 @@ def test_estimate_ignores_a_third_of_outliers(spark):
         assert np.abs(np.array(c)).max() < 100
 
 
+def plain_estimate(points):
+    """Minimum covariance determinant over documents, from two starts."""
+    floors = (np.array(outliers.FLOORS) * outliers.UNIT) ** 2
+    raised = lambda cov: cov + np.diag(np.maximum(floors - np.diag(cov), 0))
+    half = math.ceil(outliers.COVER * len(points))
+    middle = np.median(points, axis=0)
+    wide = np.cov(points.T, bias=True)
+    starts = [(middle, raised(np.diag((1.4826 * np.median(np.abs(points - middle), axis=0)) ** 2))), (points.mean(0), raised(wide))]
+    best = None
+    share = half / len(points)
+    factor = share / outliers.chi2_share(outliers.chi2_quantile(share, 4), 6)
+    for center, cov in starts:
+        chosen = None
+        for _ in range(100):
+            away = points - center
+            near = np.sort(np.argsort(np.einsum("ki,ij,kj->k", away, np.linalg.inv(cov), away), kind="stable")[:half])
+            if chosen is not None and np.array_equal(near, chosen):
+                break
+            chosen = near
+            center, cov = points[near].mean(0), raised(np.cov(points[near].T, bias=True) * factor)
+        if best is None or np.linalg.slogdet(cov)[1] < np.linalg.slogdet(best[1])[1]:
+            best = center, cov
+    return best
+
+
+def plain_vector(text):
+    n, chars, symbols, dup, repeats = base_counts(text)
+    lines = max(1, sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n")))
+    raw = [math.log(max(chars, 1) / max(n, 1)), math.sqrt(symbols / max(chars, 1)), math.asin(math.sqrt(min(1, repeats / max(n, 1)))), math.sqrt(dup / lines)]
+    return np.array([round(x * outliers.UNIT) for x in raw], float)
+
+
+def test_verdicts_equal_an_estimate_over_documents(spark, sf_dir, docs, texts):
+    """The operator's estimates run on cells of a grid; these on the documents themselves."""
+    rows = {r.doc_id: r for r in QUERIES["op1_quality_outliers"](spark, sf_dir).collect()}
+    meta = {r.doc_id: (r.lang, r.source) for r in docs.select("doc_id", "lang", "source").collect()}
+    fine = {i: plain_vector(texts[i]) for i, r in rows.items() if not r.base_failed}
+    levels = {}
+    for i, z in fine.items():
+        for level in (meta[i], meta[i][:1], ()):
+            levels.setdefault(level, []).append(z)
+    estimates = {level: plain_estimate(np.array(zs)) for level, zs in levels.items() if len(zs) >= outliers.MIN_ROWS}
+    cutoff = outliers.chi2_quantile(1 - outliers.TAIL, 4)
+    for i, z in fine.items():
+        center, cov = next(estimates[level] for level in (meta[i], meta[i][:1], ()) if level in estimates)
+        assert rows[i].kept == ((z - center) @ np.linalg.inv(cov) @ (z - center) <= cutoff)
+    assert 0 < sum(not rows[i].kept for i in fine) < len(fine) / 4
+
+
+def test_each_statistic_can_reject(spark):
+    """In a spotless group one bad statistic is enough, within the base rule."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    fresh = lambda n: [word() for _ in range(n)]
+    rows = [(i, " ".join(fresh(200))) for i in range(120)]
+    rows.append((900, " ".join(fresh(110) + fresh(3) * 30)))  # 45 % in repeated windows
+    rows.append((901, "\n".join([" ".join(fresh(120)), *[" ".join(fresh(1))] * 9])))  # eight of ten lines repeated
+    rows.append((902, " ".join(w + "##" for w in fresh(200))))
+    rows.append((903, " ".join("".join(fresh(4)) for _ in range(200))))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert {r.doc_id for r in outliers.quality_filter(docs).collect()} == set(range(120))
+
+
+def test_columns_follow_the_contract(spark, sf_dir):
+    columns = QUERIES["op1_quality_outliers"](spark, sf_dir).columns
+    assert columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
 def test_chi_square():
     x = outliers.chi2_quantile(0.95, 4)
     assert math.isclose(x, 9.487729, rel_tol=1e-6)
@@ -364,7 +432,7 @@ def test_every_character_is_split_as_the_library_does(library):
 
 def test_pipeline_equals_plain_version(spark, sf_dir, docs, texts, library):
     verdicts = {r.doc_id: r.kept for r in QUERIES["op1_quality_outliers"](spark, sf_dir).collect()}
-    lines = plain_line_dedup([(i, t) for i, t in texts.items() if verdicts[i]])
+    lines = plain_passage_dedup([(i, t) for i, t in texts.items() if verdicts[i]])
     left = {i: t for (i, before), t in lines.items() if t == before or t.strip(" \t\r\n")}
     groups = near_components(left, 5)
     left = {i: t for i, t in left.items() if groups[i] == i}
@@ -376,6 +444,20 @@ def test_pipeline_equals_plain_version(spark, sf_dir, docs, texts, library):
         assert r.ids == library.encode(left[r.doc_id], add_special_tokens=False).ids
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
+    """Every stage on all its predecessor kept, with nulls, repeated rows and clashing columns, or on nothing."""
+    for table in (odd, none, odd.drop("n_chars")):
+        left = table
+        for name, function in corpus_pipeline.STAGES[1:]:
+            # The quality rules leave none of these short texts.
+            left = function(spark, left, str(tmp_path))
+        assert {"ids", "decoded"} <= set(left.columns)
+        ids = {r.doc_id for r in left.select("doc_id").collect()}
+        assert ids <= {r.doc_id for r in table.select("doc_id").collect()}
+        assert table is none or len(ids) > 3
+    assert outliers.quality_filter(none).count() == 0
+
+
 def test_stages_keep_the_columns(spark, sf_dir, docs):
     assert len(corpus_pipeline.STAGES) == 5
     part = docs.limit(60)

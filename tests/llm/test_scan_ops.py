@@ -122,6 +122,21 @@ def test_empty_tables(spark, run):
     assert run(frame(spark, [(1, "x")]).where("false")).count() == 0
 
 
+def test_bytes_go_by_length(spark):
+    """A passage of two documents loses its bytes from 400 bytes on, however many words these are; others stay whole."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows, lengths = [], {}
+    for i in range(60):
+        passage = " ".join(word() for _ in range(40 + 2 * i))
+        lengths[i] = lengths[1000 + i] = len(passage.encode())
+        rows += [(i, f"{i}#" + passage + f"#{i}"), (1000 + i, f"{1000 + i}: " + " ".join(word() for _ in range(30)) + f"={i}=" + passage)]
+    rows += [(5000 + i, " ".join(word() for _ in range(200))) for i in range(40)]
+    found = {r.row.doc_id: r.n_removed for r in suffix_dedup.removed_bytes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: n for i, n in found.items() if n} == {i: n for i, n in lengths.items() if n >= 400}
+    assert 20 < sum(n > 0 for n in found.values()) < 110
+
+
 # top-k
 
 
@@ -153,7 +168,7 @@ def test_lists_stop_early():
     rng = np.random.default_rng(0)
     matrix = rng.integers(0, 5, (5000, 3))
     matrix[:6] = 1000
-    lists = topk.Lists(np.arange(5000), matrix)
+    lists = topk.Lists(np.arange(5000), matrix.astype(float))
     asked = []
 
     class Watched(np.ndarray):
@@ -162,9 +177,38 @@ def test_lists_stop_early():
             return super().__getitem__(item)
 
     lists.rows = lists.rows.view(Watched)
-    ids, _ = lists.best(-1, np.array([3, 2, 1]), 5)
-    assert ids.tolist() == [0, 1, 2, 3, 4]
+    found = lists.best(-1, np.array([3.0, 2.0, 1.0]), 5)
+    assert found == [(i, 6000) for i in range(5)]
     assert len(asked) <= 2
+    asked.clear()
+    assert lists.best(-1, np.array([3.0, 2.0, 1.0]), 5, floor=6001) == [] and not asked
+    assert lists.best(-1, np.array([3.0, 2.0, 1.0]), 9, floor=6000) == [(i, 6000) for i in range(6)]
+
+
+@pytest.mark.parametrize("block_rows", [15, 10_000])
+def test_large_components(spark, block_rows):
+    """All finite vectors take part: 256 equal components whose scores just fit, sums that leave 64 bits on the way, and far too small ones."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(0, 2.0**19, 256)]) for i in range(60)]
+    rows += [(60 + i, [2.0**18] * 256) for i in range(3)]
+    rows += [(65, [2.0**25, -(2.0**25), *[1.0] * 254]), (66, [2.0**25, 2.0**25, *[3.0] * 254])]
+    rows += [(70, [3.0, 1.0]), (71, [-1e300, 1.0]), (75, [2.0**44, 1.5]), *((k, [1.0, k / 2]) for k in (72, 73, 74, 76, 77))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.top_k(df, F.col("vec_id") % 5 == 0, 5, block_rows=block_rows).collect()
+    want = plain_top_k(rows, 5)
+    assert all(abs(r[3]) < 2**63 for r in want)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == want
+
+
+def test_scores_that_fit_no_long(spark):
+    rows = [(5, [2.0**30] * 4), (6, [2.0**30] * 4), (7, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit"):
+        topk.top_k(df, F.col("vec_id") == 5, 5).collect()
+    assert [r.score for r in topk.top_k(df, F.col("vec_id") == 7, 1).collect()] == [2**48]
+    huge = spark.createDataFrame([(1, [1e308]), (5, [1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="2\\*\\*1015"):
+        topk.top_k(huge, F.col("vec_id") == 5, 5).collect()
 
 
 # licenses
