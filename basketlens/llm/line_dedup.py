@@ -175,7 +175,8 @@ def _removed(docs: DataFrame, find: Callable[[DataFrame], DataFrame], without: C
             gone.append(size)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_chunks", "n_bytes"])
 
-    left = F.arrow_udf(rebuild, "struct<text:string,n_chunks:bigint,n_bytes:bigint>")(F.col("whole"), F.col("places"))
+    # Not marked so, a filter on the result would be pushed below and rebuild every text twice.
+    left = F.arrow_udf(rebuild, "struct<text:string,n_chunks:bigint,n_bytes:bigint>").asNondeterministic()(F.col("whole"), F.col("places"))
     return joined.select("row", left.alias("left")).select("row", "left.text", "left.n_chunks", "left.n_bytes")
 
 
