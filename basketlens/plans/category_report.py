@@ -29,9 +29,12 @@ class CategoryReport:
     heat_cells: DataFrame
 
 
-def aggregate_files(spark: SparkSession, source: str, target: str, pattern: str, on_bad: str = "drop") -> None:
-    """Category totals of every event CSV below ``source``, tagged by month, as CSV."""
-    events = read_events_csv(spark, source, on_bad=on_bad, glob="*.csv")
+def aggregate_files(spark: SparkSession, source: str, target: str, pattern: str, on_bad: str = "drop", unreadable: str = "fail") -> None:
+    """Category totals of every event CSV below ``source``, tagged by month, as CSV.
+
+    ``unreadable="skip"`` goes on with the other files where one cannot be read.
+    """
+    events = read_events_csv(spark, source, on_bad=on_bad, unreadable=unreadable, glob="*.csv")
     tagged = with_source_tag(events, pattern)
     write_csv(monthly_category_aggregate(tagged, drop_null_keys=True), target)
 
@@ -39,8 +42,8 @@ def aggregate_files(spark: SparkSession, source: str, target: str, pattern: str,
 def report(spark: SparkSession, totals_path: str) -> CategoryReport:
     """The reports over a stored category table.
 
-    The pivots have a column per month or event type that occurs; Spark counts them first and stops
-    above ``spark.sql.pivotMaxValues``. ``heat_cells`` has no such bound.
+    The pivots have a column per month or event type that occurs, up to ``spark.sql.pivotMaxValues``.
+    ``heat_cells`` has no such bound.
     """
     totals = with_month_str(read_category_csv(spark, totals_path))
     return CategoryReport(

@@ -13,6 +13,10 @@ from ..runtime import matching_paths, move_path, path_exists, stage
 from ..sources.events import read_events_csv, with_source_tag
 
 
+#: A file's name without its ending, in its path.
+FILE_NAME = r"([^/]+?)(?:\.[^/.]+)?$"
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
@@ -56,20 +60,28 @@ def convert_csv(
     target: str,
     types: Mapping[str, str] = NARROW_EVENTS,
     month_pattern: str | None = None,
+    per_file: bool = False,
     **options,
 ) -> None:
     """Event CSV files to one typed Parquet table under one schema.
 
+    With ``per_file`` every input file gets its own folder, ``file=<its name without the ending>``, in the same table.
+
     ``types`` are narrower types wished for; a column with a value that does not fit keeps
     its type, so no id is lost. The files are parsed once, to a table that is read for the widths.
     ``month_pattern`` takes the month out of each file's path and gives each its folder.
     """
     events = read_events_csv(spark, source, **options)
+    tags = {}
+    if per_file:
+        tags["file"] = FILE_NAME
     if month_pattern is not None:
-        events = with_source_tag(events, month_pattern)
+        tags["month"] = month_pattern
+    for name, pattern in tags.items():
+        events = with_source_tag(events, pattern, name)
     events = stage(events, "parsed-csv")
     events = narrow(events, fitting_types(events, types))
-    write_parquet(events, target, partition_by=[] if month_pattern is None else ["month"])
+    write_parquet(events, target, partition_by=list(tags))
 
 
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:

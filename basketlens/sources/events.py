@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 from urllib.parse import unquote
@@ -29,9 +29,9 @@ def _paths(spark: SparkSession, paths, missing: str) -> list[str]:
     return paths
 
 
-def _files_with_quoted_lines(spark: SparkSession, paths: list[str], glob: str | None) -> list[str]:
+def _files_with_quoted_lines(spark: SparkSession, paths: list[str], glob: str | None, options: Mapping[str, bool]) -> list[str]:
     """The files in which some line holds an odd number of quotes: a record may go on in the next line. One row per such file."""
-    reader = spark.read
+    reader = spark.read.options(**options)
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     quotes = lambda text: F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
@@ -116,6 +116,7 @@ def read_raw_csv(
     missing: str = "fail",
     times: Sequence[str] = (),
     multiline: bool | None = None,
+    unreadable: str = "fail",
 ) -> DataFrame:
     """Delimited text with a header line per file under a fixed schema.
 
@@ -127,6 +128,9 @@ def read_raw_csv(
     only the columns wanted are parsed, unreadable values are null, surplus fields ignored. Bytes that
     are not UTF-8 become U+FFFD. ``missing="skip"`` passes over paths and patterns that match nothing.
 
+    ``unreadable="skip"`` passes over files that cannot be read to their end (a broken archive, a file that has gone): what was read
+    of them up to there is kept. Rows that can be read but are wrong are ``on_bad``'s matter.
+
     ``multiline`` says whether quoted fields may hold line ends. Such a file is read by one task; without, files are
     split. By default a pass over the lines looks for files that need it.
     """
@@ -136,17 +140,20 @@ def read_raw_csv(
     if not found:
         empty = lambda wanted: spark.createDataFrame([], wanted)
         return judged(empty, file_schema, delimiter, on_bad, times)
-    whole = _files_with_quoted_lines(spark, found, glob) if multiline is None else []
+    if unreadable not in ("fail", "skip"):
+        raise ValueError(f"unknown choice {unreadable!r}")
+    skip = {"ignoreCorruptFiles": unreadable == "skip", "ignoreMissingFiles": unreadable == "skip"}
+    whole = _files_with_quoted_lines(spark, found, glob, skip) if multiline is None else []
 
     def scan(wanted: T.StructType) -> DataFrame:
-        reader = spark.read.schema(wanted)
+        reader = spark.read.schema(wanted).options(**skip)
         if glob:
             reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
         plain = reader.options(**csv_options(delimiter, bool(multiline), on_bad)).csv(found)
         if not whole:
             return plain
         own = F.col("_metadata.file_path")
-        quoted = spark.read.schema(wanted).options(**csv_options(delimiter, True, on_bad)).csv([unquote(p) for p in whole])
+        quoted = spark.read.schema(wanted).options(**skip).options(**csv_options(delimiter, True, on_bad)).csv([unquote(p) for p in whole])
         return plain.where(~own.isin(whole)).unionByName(quoted)
 
     return judged(scan, file_schema, delimiter, on_bad, times)

@@ -412,3 +412,30 @@ def test_price_sketches_merge(spark, sf_dir):
     assert abs(below / n - 0.5) < 0.01
     none = spark.createDataFrame([(None, "m"), (float("nan"), "m")], "price double, month string")
     assert summaries.merge_price_sketches(summaries.price_sketches(none, ["month"])).first().median_price is None
+
+
+def test_a_folder_per_file(spark, tmp_path):
+    """Every input file keeps its name, whatever its rows."""
+    (tmp_path / "in").mkdir()
+    for name, n in (("2019-Oct", 3), ("2019-Nov", 2)):
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join([HEADER, *[GOOD] * n]) + "\n")
+    convert_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"), per_file=True)
+    assert {f for f in os.listdir(tmp_path / "out") if f.startswith("file=")} == {"file=2019-Oct", "file=2019-Nov"}
+    counts = spark.read.parquet(str(tmp_path / "out")).groupBy("file").count().collect()
+    assert {tuple(r) for r in counts} == {("2019-Oct", 3), ("2019-Nov", 2)}
+
+
+def test_unreadable_files(spark, tmp_path):
+    """A broken archive stops the read, or is passed over; the category job goes on with the others."""
+    import gzip
+
+    packed = gzip.compress("\n".join([HEADER, *[GOOD] * 20_000]).encode())
+    (tmp_path / "a.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "b.csv").write_text("\n".join([HEADER, GOOD, GOOD]) + "\n")
+    with pytest.raises(Exception):
+        source.read_events_csv(spark, str(tmp_path), on_bad="lenient").count()
+    kept = source.read_events_csv(spark, str(tmp_path), on_bad="drop", unreadable="skip")
+    by_file = dict(tuple(r) for r in source.with_source_tag(kept, r"([^/]+?)\.csv", "file").groupBy("file").count().collect())
+    assert by_file["b"] == 2 and by_file.get("a", 0) < 20_000
+    with pytest.raises(ValueError):
+        source.read_events_csv(spark, str(tmp_path), unreadable="maybe")
