@@ -1,19 +1,21 @@
 """Substring dedup by relative Lempel-Ziv parsing: words in passages that occur more than once are removed.
 
 ``repeats`` brings candidate segments together in blocks; a block is the reference for the segments
-in it, every text that shares a candidate passage is factored against the block that has its other
-copies. From the starts of windows on, a segment is factored greedily: a factor is the longest match (up
-to ``LONGEST`` words) with any other place of the reference, found through an index of its 1, 2, 4, ...-word
-grams in order. A factor of ``LENGTH`` words or more is a duplicate span; windows that cross the end of a factor are looked up
-at each start before it, so that no span is cut at a border of the parse.
-
-Words are compared as they are; matches never cross documents. Null texts have no words. Repeated rows are
-repeats of each other. Texts of fewer words than the window lose nothing.
+in it, and holds every other copy of their windows. Its suffix order is the index. A segment is parsed greedily
+from left to right: a factor is the longest match of what starts there with any other place of the
+reference. At the factor's end the next one is looked for among the starts inside: the first whose match passes that end, found by
+bisection, as no later start matches less far. So a factor of ``LENGTH`` words or more is a duplicate span, windows across its end
+belong to the next factor or to none, and only a few starts of each factor are looked up.
+
+Words are compared as they are, not by hashes; matches never cross documents. Null texts have no words. Repeated rows are
+repeats of each other. Texts of fewer words than the window lose nothing. A text of any length is cut into segments of at
+most ``2 * LENGTH`` words where it has candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -21,75 +23,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import Kind, covered, keyed, repeated_windows
-from .text import _LAP, mix, span_hashes, words
 
 LENGTH = 35
-LONGEST = 63
 
 
-def _index(symbols: np.ndarray) -> dict[int, np.ndarray]:
-    """The order of all 1, 2, 4, ... 64-word grams of the reference: equal numbers are equal grams."""
-    levels = {1: np.unique(symbols, return_inverse=True)[1]}
-    for h in (1, 2, 4, 8, 16, 32):
-        half = levels[h]
-        following = np.concatenate((half[h:] + 1, np.zeros(min(h, len(half)), np.int64)))
-        levels[2 * h] = np.unique(half * (len(half) + 2) + following, return_inverse=True)[1]
-    return levels
+class Reference:
+    """A block of words with an index for longest matches.
 
-
-def _matches(symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each start, the words it has in common with the start most like it, up to ``LONGEST``.
-
-    In the order of their 64-word grams, that one is next to it.
+    ``ranks[h]`` orders all grams of ``h`` symbols, for h = 1, 2, 4, ... up to the longest segment: equal ranks are equal grams. The last of
+    them is the suffix order, since every segment ends with a symbol of its own.
     """
-    levels = _index(symbols)
-    order = np.argsort(levels[64][starts], kind="stable")
-    x, y = starts[order[:-1]], starts[order[1:]]
-    common = np.zeros(len(x), np.int64)
-    for h in (32, 16, 8, 4, 2, 1):
-        in_both = np.maximum(x, y) + common + h <= len(symbols)
-        common[in_both] += h * (levels[h][(x + common)[in_both]] == levels[h][(y + common)[in_both]])
-    out = np.zeros(len(starts), np.int64)
-    out[order[:-1]] = common
-    out[order[1:]] = np.maximum(out[order[1:]], common)
-    return out
+
+    def __init__(self, symbols: np.ndarray, longest: int):
+        self.ranks, h = {1: symbols}, 1
+        while h < longest:
+            half = self.ranks[h]
+            following = np.concatenate((half[h:] + 1, np.zeros(min(h, len(half)), np.int64)))
+            self.ranks[2 * h] = np.unique(half * (int(half.max()) + 2) + following, return_inverse=True)[1]
+            h *= 2
+        self.order = np.argsort(self.ranks[h], kind="stable")
+        self.rank = np.empty(len(symbols), np.int64)
+        self.rank[self.order] = np.arange(len(symbols))
+
+    def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The number of symbols that what starts at ``x`` and at ``y`` has in common."""
+        common = np.zeros(len(x), np.int64)
+        last = len(self.order) - 1
+        for h in sorted(self.ranks, reverse=True):
+            # No match reaches the last symbol, which is an end.
+            i, j = np.minimum(x + common, last), np.minimum(y + common, last)
+            common += h * ((self.ranks[h][i] == self.ranks[h][j]) & (i != j))
+        return common
+
+    def reach(self, at: np.ndarray) -> np.ndarray:
+        """Where the longest match of each place with any other place ends (exclusive): that one is next to it in the order."""
+        rank = self.rank[at]
+        before = self._common(at, self.order[np.maximum(rank - 1, 0)])
+        after = self._common(at, self.order[np.minimum(rank + 1, len(self.order) - 1)])
+        return at + np.maximum(before, after)
+
+
+def _next_factor(reference: Reference, begin: np.ndarray, end: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The first start after each factor's ``begin`` whose match passes its ``end``, or that end; at most ``stop``."""
+    low, high = begin + 1, np.minimum(np.maximum(end, begin + 1), stop)
+    while len(still := np.flatnonzero(low < high)):
+        middle = (low[still] + high[still]) // 2
+        passes = reference.reach(middle) > end[still]
+        high[still[passes]] = middle[passes]
+        low[still[~passes]] = middle[~passes] + 1
+    return low
 
 
 def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     """For each segment and start of a window in it, whether the window occurs more than once here."""
-    data = np.frombuffer(b"\n".join(segments), np.uint8)
-    a, b = words(data, np.array([0, len(data)]))
-    sizes = np.array([s.count(b" ") + 1 for s in segments], np.int64)
-    # A number of its own after each segment: no match runs on into the next one.
+    numbers: dict[bytes, int] = {}
+    parts = [[numbers.setdefault(w, len(numbers)) for w in s.split(b" ")] for s in segments]
+    sizes = np.array([len(p) for p in parts], np.int64)
     offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
-    symbols = np.empty(offsets[-1], np.uint64)
+    symbols = np.empty(offsets[-1], np.int64)
     border = np.zeros(offsets[-1], bool)
     border[offsets[1:] - 1] = True
-    symbols[~border] = span_hashes(data, a, b)
-    symbols[border] = mix(np.arange(1, len(segments) + 1, dtype=np.uint64) * _LAP + np.uint64(1))
-    n_starts = sizes - LENGTH + 1
-    first = np.concatenate(([0], np.cumsum(n_starts)))
-    place = np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], n_starts)
-    match = _matches(symbols, place)
-
-    # All segments are parsed side by side, a factor each at a time; then spans and borders are looked at.
-    flags = np.zeros(first[-1], bool)
-    at, stop = first[:-1].copy(), first[1:]
+    symbols[~border] = np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(sizes.sum()))
+    symbols[border] = np.arange(len(numbers), len(numbers) + len(segments))
+    reference = Reference(symbols, int(sizes.max()) + 1)
+
+    # All segments are parsed side by side, a factor each at a time.
+    at, stop = offsets[:-1].copy(), offsets[:-1] + sizes - LENGTH + 1
+    change = np.zeros(offsets[-1] + 1, np.int64)
     while len(live := np.flatnonzero(at < stop)):
         begin = at[live]
-        factor = np.maximum(match[begin], 1)
-        inside = np.maximum(factor - LENGTH + 1, 0)  # windows that lie in the factor
-        reach = np.minimum(begin + factor, stop[live])
-        long = inside > 0
-        for k in range(int(inside.max(initial=0))):
-            hit = begin[long & (inside > k)] + k
-            flags[hit] = True
-        for k in range(int((factor - inside).max())):  # windows across its end
-            start = begin + inside + k
-            start = start[start < reach]
-            flags[start[match[start] >= LENGTH]] = True
-        at[live] = reach
-    return [flags[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        end = reference.reach(begin)
+        following = _next_factor(reference, begin, end, stop[live])
+        windows = np.minimum(following, end - LENGTH + 1)  # those up to the next factor that lie in this one
+        long = windows > begin
+        np.add.at(change, begin[long], 1)
+        np.subtract.at(change, windows[long], 1)
+        at[live] = following
+    flags = np.cumsum(change[:-1]) > 0
+    return [flags[x:y] for x, y in zip(offsets[:-1].tolist(), stop.tolist(), strict=True)]
 
 
 KIND = Kind(by_words=True, length=LENGTH, gram=8, block_bytes=4 << 20, most=8192)

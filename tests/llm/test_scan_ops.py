@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -70,6 +71,66 @@ def test_blocks_of_words(vocabulary):
             assert have.tolist() == want
 
 
+def test_factors_are_longest_matches():
+    """Reach of every place, and the next factor of every place, against a comparison with all other places."""
+    rng = random.Random(8)
+    for vocabulary in (1, 2, 6):
+        symbols = np.array([rng.randrange(vocabulary) for _ in range(150)])
+        symbols[[39, 90, 149]] = [vocabulary, vocabulary + 1, vocabulary + 2]
+        values = symbols.tolist()
+
+        def reach(p, values=values):
+            best = 0
+            for q in range(len(values)):
+                n = 0
+                while q != p and max(p, q) + n < len(values) and values[p + n] == values[q + n]:
+                    n += 1
+                best = max(best, n)
+            return p + best
+
+        reference = passage_dedup.Reference(symbols, 60)
+        want = [reach(p) for p in range(150)]
+        assert reference.reach(np.arange(150)).tolist() == want
+        at, stop = np.arange(100), np.minimum(np.arange(100) + 30, 149)
+        found = passage_dedup._next_factor(reference, at, np.array(want[:100]), stop)
+        assert found.tolist() == [next((s for s in range(p + 1, stop[p]) if want[s] > want[p] or s == want[p]), stop[p]) for p in range(100)]
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+def test_pieces_of_long_texts_fit(monkeypatch, by_words):
+    """Every window has the same anchor, at the same place, whether a text is read in one piece or in many."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["ab ", "c ", "dd ", "e\n"]) for _ in range(n)).encode() for n in (3000, 10, 0, 2000)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    kind = (passage_dedup if by_words else suffix_dedup).KIND
+    symbols, first, _, _ = kind.units(data, offsets)
+
+    def windows():
+        found = [r.tolist() for r in repeats.anchor_runs(symbols, first, kind)]
+        return [(t, s, p, h) for t, a, b, p, h in zip(*found, strict=True) for s in range(a, b + 1)]
+
+    whole = windows()
+    monkeypatch.setattr(repeats, "PIECE", 777)
+    assert windows() == whole
+    assert len(whole) == sum(max(0, n - kind.length + 1) for n in np.diff(first))
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+def test_very_long_texts(spark, by_words):
+    """A passage across the border of two pieces of a text, and nothing else, goes."""
+    n = repeats.PIECE + 500
+    long = [f"{k:x}" for k in range(n)] if by_words else list(hashlib.shake_128(b"long").hexdigest(n // 2))
+    passage = long[repeats.PIECE - 300 : repeats.PIECE + 300]
+    glue = " " if by_words else ""
+    rows = [(1, glue.join(long)), (2, glue.join(["<", *passage, ">"]))]
+    run = passage_dedup.removed_passages if by_words else suffix_dedup.removed_bytes
+    found = {r["doc_id"]: r for r in run(frame(spark, rows)).select("row.doc_id", "n_removed", "kept").collect()}
+    assert [found[k].n_removed for k in (1, 2)] == [600, 600]
+    kept = long[: repeats.PIECE - 300] + long[repeats.PIECE + 300 :]
+    want = glue.join(kept)
+    assert found[1].kept == (want if by_words else want.encode())
+
+
 # whole operators
 
 
