@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import BASE, COVER, GRAM, NOTICES, SLACK
+from .licenses import BASE, COVER, GRAM, NOTICES, SLACK, TEXTS, template_grams
 from .secrets import SCOPE
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -93,12 +93,7 @@ FROM h LEFT JOIN kept USING (doc_id)
 
 
 def _template_rows() -> str:
-    rows = []
-    for number, (phrase, label) in enumerate([*BASE, *NOTICES]):
-        own = phrase.split()
-        n = len(own) - GRAM + 1
-        rows += [f"({number}, '{label}', {number < len(BASE)}, {n}, {place}, '{' '.join(own[place : place + GRAM])}')" for place in range(n)]
-    return ", ".join(rows)
+    return ", ".join(f"({number}, '{label}', {is_base}, {n}, {place}, '{gram}')" for number, label, is_base, n, place, gram in template_grams(BASE, NOTICES + TEXTS))
 
 
 LICENSES = rf"""
@@ -121,7 +116,7 @@ found AS (
     SELECT doc_id, label, is_base, first, share FROM base
     UNION ALL
     SELECT doc_id, label, false, first, n::DOUBLE / n_grams FROM merged
-    WHERE n::DOUBLE / n_grams >= {COVER} AND last - first + 1 <= n_grams + {GRAM - 1 + SLACK})
+    WHERE n::DOUBLE / n_grams >= {COVER} AND last - first + 1 <= n_grams + {GRAM - 1} + {SLACK} * (n_grams // 64 + 1))
 SELECT doc_id, any_value(len(words))::BIGINT AS n_words, count(*) FILTER (f.is_base)::BIGINT AS n_base,
     min(first) FILTER (f.is_base)::BIGINT AS first_word, max(first) FILTER (f.is_base)::BIGINT AS last_word,
     coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (f.is_base), '') AS base_labels,

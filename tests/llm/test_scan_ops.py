@@ -316,9 +316,85 @@ def test_license_notices(spark):
     assert labels[10] == ("", 0.0)
 
 
+def test_whole_licenses(spark):
+    """Texts of any length: whole, with words put in and left out, in a very long text, and too little of one."""
+    rows, want = [], {}
+    for n, (text, label) in enumerate(licenses.TEXTS):
+        own = text.split()
+        changed = own[:60] + ["really"] + own[60:100] + own[101:]
+        for k, (words, found) in enumerate([(own, True), (changed, True), (["word"] * 200_000 + own + ["word"] * 10, True), (own[len(own) // 2 :], False)]):
+            rows.append((10 * n + k, " ".join(words)))
+            want[10 * n + k] = label if found else ""
+    found = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).select("row.doc_id", "labels", "score").collect()}
+    assert {k: r.labels for k, r in found.items()} == want
+    for k, r in found.items():
+        assert r.score == 1 if k % 10 in (0, 2) else 0.6 <= r.score <= 1 if want[k] else r.score == 0
+
+
+def plain_spans(words, template, slack=licenses.SLACK):
+    """(first, last, share) of spans of one template, place by place."""
+    n = licenses.GRAM
+    grams = [tuple(template[k : k + n]) for k in range(len(template) - n + 1)]
+    hits = sorted((i - k, i, k) for i in range(len(words) - n + 1) for k, g in enumerate(grams) if tuple(words[i : i + n]) == g)
+    groups = []
+    for hit in hits:
+        if not groups or hit[0] - groups[-1][-1][0] > slack:
+            groups.append([])
+        groups[-1].append(hit)
+    out = []
+    for group in groups:
+        share = len({k for _, _, k in group}) / len(grams)
+        first, last = min(i for _, i, _ in group), max(i for _, i, _ in group) + n - 1
+        if share >= licenses.COVER and last - first + 1 <= len(template) + slack * (len(grams) // 64 + 1):
+            out.append((first, last, share))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("length", [3, 5, 64, 66, 67, 130, 300])
+def test_spans_equal_plain_ones(spark, length):
+    """Templates around the borders of 64 grams, with words that repeat, in texts that quote them with changes, twice, or in part."""
+    rng = random.Random(length)
+    template = [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcde") for _ in range(length)]
+    texts = []
+    for _ in range(30):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            quote = list(template)
+            for _ in range(rng.randint(0, 1 + length // 25)):
+                at = rng.randrange(len(quote))
+                quote[at : at + rng.randint(0, 1)] = rng.choice([[], ["zz"], ["zz", "zz"]])
+            words += quote[rng.choice([0, 0, length // 4]) :] + ["ww"] * rng.randint(0, 4)
+        texts.append(" ".join(words))
+    table = licenses.templates(spark, [], [(" ".join(template).upper(), "x")])
+    rows = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    keys = {(r.k1, r.k2): r.text for r in rows.select(*licenses._text_keys(), "text").collect()}
+    have = {t: [] for t in texts}
+    for r in licenses.spans(licenses.votes(rows, table)).collect():
+        have[keys[r.k1, r.k2]].append((r["first"], r["last"], r["share"]))
+    assert {t: sorted(v) for t, v in have.items()} == {t: plain_spans(t.split(), template) for t in texts}
+    assert any(have.values())
+
+
+def test_license_ties_and_shuffles(spark, monkeypatch):
+    """One place with two labels keeps both; with nothing broadcast the rows are the same; an empty table gives none."""
+    table = licenses.templates(spark, [("one two three", "b"), ("one two three", "a")], [])
+    docs = frame(spark, [(1, "one two three"), (1, "one two three"), (2, "One, TWO... \u212Athree one two\u0130 three")])
+    found = licenses.scan_licenses(docs, table).drop("row").orderBy("n_words").collect()
+    assert [tuple(r) for r in found] == [(3, 2, 0, 0, "a,b", "a,b", 1.0)] * 2 + [(6, 0, None, None, "", "", 0.0)]
+    before = sorted(licenses.scan_licenses(frame(spark, LICENSED)).drop("row").collect(), key=str)
+    monkeypatch.setattr(licenses, "small_bytes", lambda df, size: df)
+    assert sorted(licenses.scan_licenses(frame(spark, LICENSED)).drop("row").collect(), key=str) == before
+    assert licenses.scan_licenses(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="3 words"):
+        licenses.templates(spark, [("mit license", "mit")], [])
+
+
 def test_license_scan_is_native(spark):
-    plan = licenses.scan_licenses(frame(spark, LICENSED))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    docs = frame(spark, LICENSED)
+    voted = licenses.votes(docs, licenses.templates(spark))
+    for df in (voted, licenses.by_text(licenses.spans(voted)), licenses.scan_licenses(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 # secrets
