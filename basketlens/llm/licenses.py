@@ -100,8 +100,8 @@ TEXTS = [
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word, before A-Z are lower-cased.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is between words before A-Z are lower-cased.
+_NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Template places in one word of votes.
 _PLACES = 64
 
@@ -139,11 +139,18 @@ def _text_keys() -> tuple[Column, Column]:
 def votes(docs: DataFrame, template_table: DataFrame) -> DataFrame:
     """Per text, template and diagonal the places voted for, as bits of ``block`` 0, 1, ..., and the first and last word voting."""
     rows = docs.select(*_text_keys(), license_words(F.col("text")).alias("words"))
-    gram = lambda k: F.concat_ws(" ", *(F.col("words")[k + i] for i in range(GRAM)))
-    places = F.when(F.size("words") >= GRAM, F.sequence(F.lit(0), F.size("words") - GRAM))
-    grams = rows.select("k1", "k2", F.posexplode(F.transform(places, gram)).alias("pos", "gram"))
-    side = small_bytes(template_table, F.octet_length("template_gram")).withColumn("template_hash", F.xxhash64("template_gram"))
-    hits = grams.join(side, (F.xxhash64("gram") == F.col("template_hash")) & (F.col("gram") == F.col("template_gram")))
+    names = [f"w{k}" for k in range(GRAM)]
+    # Shifted arrays side by side: much faster than a function for each place. The last grams lack words and match nothing.
+    shifted = F.arrays_zip(*(F.slice("words", k + 1, F.size("words")).alias(name) for k, name in enumerate(names)))
+    grams = rows.select("k1", "k2", F.posexplode(shifted).alias("pos", "own"))
+    own = [F.col("own")[name] for name in names]
+    template_words = F.split("template_gram", " ")
+    side = small_bytes(template_table, F.octet_length("template_gram"))
+    side = side.withColumn("template_hash", F.xxhash64(*(template_words[k] for k in range(GRAM))))
+    # Each a prefix of the other: equal, and not a key of the join, so that its table is one of longs.
+    gram = F.concat_ws(" ", *own)
+    equal = F.startswith(gram, F.col("template_gram")) & F.startswith(F.col("template_gram"), gram)
+    hits = grams.join(side, (F.xxhash64(*own) == F.col("template_hash")) & equal)
     block, bit = F.floor(F.col("place") / _PLACES).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("place") % _PLACES)
     by = hits.groupBy("k1", "k2", "template", "label", "is_base", "n_grams", (F.col("pos") - F.col("place")).alias("diagonal"), block.alias("block"))
     return by.agg(F.bit_or(bit).alias("bits"), F.min("pos").alias("low"), F.max("pos").alias("high"))
@@ -189,7 +196,7 @@ def scan_licenses(docs: DataFrame, template_table: DataFrame | None = None) -> D
     """
     table = template_table if template_table is not None else templates(docs.sparkSession)
     found = stage(by_text(spans(stage(votes(docs, table), "license-votes"))), "licenses")
-    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_WORD)).cast("bigint").alias("n_words")
+    n_words = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), _NO_WORD), "")).cast("bigint").alias("n_words")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_text_keys(), n_words)
     joined = rows.join(small_bytes(found, F.octet_length("labels") + F.octet_length("base_labels")), ["k1", "k2"], "left")
     return joined.select(
