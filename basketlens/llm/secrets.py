@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
-from .storage import small_side
+from .storage import small_bytes
 from .text import prepare
 
 SCOPE = 200
@@ -67,6 +67,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 _SPAN = "struct<kind:int,start:bigint,end:bigint>"
+#: Three numbers in a row's format.
+_SPAN_BYTES = 40
 
 
 def scan(text: Column) -> Column:
@@ -130,11 +132,11 @@ def _reported(rows: DataFrame, *names: str) -> DataFrame:
 
 def report(found: DataFrame, *names: str) -> DataFrame:
     """``names`` of a stored result of ``scanned``, the base columns, and all spans that are reported."""
-    return _reported(found.join(small_side(stage(linked(found), "linked")), ["k1", "k2"], "left"), *names)
+    return _reported(found.join(small_bytes(stage(linked(found), "linked"), _SPAN_BYTES * F.size("linked")), ["k1", "k2"], "left"), *names)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """row (all columns of ``docs``), counts and spans (kind, start, end) of what is reported in every document."""
     found = scanned(docs, "row")
     weak = linked(stage(found.select("k1", "k2", "spans"), "secret-spans"))
-    return _reported(found.join(small_side(stage(weak, "linked")), ["k1", "k2"], "left"), "row")
+    return _reported(found.join(small_bytes(stage(weak, "linked"), _SPAN_BYTES * F.size("linked")), ["k1", "k2"], "left"), "row")

@@ -416,6 +416,21 @@ SECRET_TEXTS = [
 ]
 
 
+def test_linked_spans_are_weighed_in_bytes(spark, monkeypatch):
+    """A text with thousands of linked spans counts by their bytes; rows are the same where nothing is broadcast."""
+    docs = frame(spark, [*SECRET_TEXTS, (20, "user: alice pass: s3cret\n" * 8000)])
+    seen = []
+
+    def by_shuffle(df, size):
+        seen.append(df.agg(F.sum(size)).first()[0])
+        return df
+
+    want = sorted(secrets.find_secrets(docs).select("row.doc_id", "spans").collect(), key=str)
+    monkeypatch.setattr(secrets, "small_bytes", by_shuffle)
+    assert sorted(secrets.find_secrets(docs).select("row.doc_id", "spans").collect(), key=str) == want
+    assert seen[0] >= 8000 * 40
+
+
 def test_secret_bases(spark):
     import re
 
