@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
-from .storage import components, small_side
+from .storage import components, large_side, small_side
 from .text import _LAP, gram_hashes, grouped, lower_ascii, mix, prepare, slices, span_hashes, text_key, utf8, word_offsets, words
 
 SHINGLE = 2
@@ -176,8 +176,8 @@ class _Verifier:
         """Read the sets of all ends of ``pairs`` that are not known yet: one scan of the texts."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
         if self.sets is not None:
-            ids = ids.join(self.sets.select("id"), "id", "left_anti")
-        wanted = self.classes.select("id", F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")).join(ids, "id")
+            ids = ids.join(large_side(self.sets.select("id")), "id", "left_anti")
+        wanted = self.classes.select("id", F.col("doc_id").alias("rep"), F.col("key").alias("rep_key")).join(large_side(ids), "id")
         wanted = small_side(stage(wanted, "wanted-texts"), WANTED)
         rows = self.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
         rows = rows.join(wanted, (F.col("key") == F.col("rep_key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "text")
@@ -196,7 +196,7 @@ class _Verifier:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked, a stored table; their sets must have been read."""
-        side = lambda name: self.sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}"))
+        side = lambda name: large_side(self.sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}")))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
         return stage(both.where(100 * common >= self.threshold * (sizes - common)).select("a", "b"), "linked")
@@ -204,7 +204,7 @@ class _Verifier:
 
 def _labelled(table: DataFrame, found: DataFrame, column: str, label: str) -> DataFrame:
     side = found.select(F.col("id").alias(column), F.col("component").alias(f"{label}_found"))
-    return table.join(side, column, "left").withColumn(label, F.coalesce(f"{label}_found", column)).drop(f"{label}_found")
+    return table.join(large_side(side), column, "left").withColumn(label, F.coalesce(f"{label}_found", column)).drop(f"{label}_found")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -212,18 +212,18 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     sketches = classes.select("id", "n_shingles", *(f"s{k}" for k in range(SKETCH)))
     banded = classes.select(F.explode("bands").alias("bucket"), "id")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
-    members = stage(banded.join(buckets.select("bucket", "center"), "bucket"), "buckets")
+    members = stage(banded.join(large_side(buckets.select("bucket", "center")), "bucket"), "buckets")
     verifier = _Verifier(docs, classes, size, threshold)
 
     stars = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(sketches.alias("x"), F.col("a") == F.col("x.id")).join(sketches.alias("y"), (F.col("b") == F.col("y.id")) & _likely("x", "y", threshold))
+    stars = stars.join(large_side(sketches).alias("x"), F.col("a") == F.col("x.id")).join(large_side(sketches).alias("y"), (F.col("b") == F.col("y.id")) & _likely("x", "y", threshold))
     stars = stage(stars.select("a", "b", _bits("x", "y").alias("bits")), "stars")
     verifier.read(stars)
     best = stage(stars.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "best")
     linked = verifier.confirm(best)
     found = components(linked)
     # The other smallest classes of its buckets, where the best one has not brought them together.
-    others = _labelled(_labelled(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
+    others = _labelled(_labelled(stars.select("a", "b").join(large_side(best), ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
     others = stage(others.where("label_a <> label_b").select("a", "b"), "other-stars")
     if not others.isEmpty():
         linked = stage(linked.union(verifier.confirm(others)), "linked")
@@ -233,14 +233,14 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     labelled = stage(_labelled(members.select("bucket", "id"), found, "id", "label"), "bucket-labels")
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    open_ = stage(labelled.join(mixed.select("bucket", "main"), "bucket"), "open-buckets").join(classes.select("bands", *sketches.columns), "id")
-    x, y = open_.where("label <> main").alias("x"), open_.alias("y")
+    open_ = stage(labelled.join(large_side(mixed.select("bucket", "main")), "bucket"), "open-buckets").join(large_side(classes.select("bands", *sketches.columns)), "id")
+    x, y = open_.where("label <> main").alias("x"), large_side(open_).alias("y")
     crossing = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & _likely("x", "y", threshold)
     crossing = crossing & ((F.col("y.label") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
     # Once per pair, in one of the buckets it shares.
     crossing = crossing & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))
     pairs = x.join(y, crossing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _bits("x", "y").alias("bits"))
-    pairs = stage(pairs.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    pairs = stage(pairs.join(large_side(stars.select("a", "b")), ["a", "b"], "left_anti"), "crossing")
     if pairs.isEmpty():
         return linked
     verifier.read(pairs)
@@ -250,7 +250,7 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     nearest = stage(nearest.select("p.a", "p.b").distinct(), "nearest")
     linked = stage(linked.union(verifier.confirm(nearest)), "linked")
     found = components(linked)
-    rest = _labelled(_labelled(pairs.join(nearest, ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
+    rest = _labelled(_labelled(pairs.join(large_side(nearest), ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
     rest = stage(rest.where("label_a <> label_b").select("a", "b"), "rest")
     return linked if rest.isEmpty() else stage(linked.union(verifier.confirm(rest)), "linked")
 
@@ -264,9 +264,9 @@ def _members(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     labelled = _labelled(classes.select("class", "id", "doc_id", "key"), found, "id", "label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))
-    per_class = labelled.join(smallest, "label").select("class", "component_id", "first")
+    per_class = labelled.join(large_side(smallest), "label").select("class", "component_id", "first")
     rows = signed.select("doc_id", "key", "class", "n_shingles")
-    joined = rows.where("n_shingles > 0").join(per_class, "class").select("doc_id", "key", "n_shingles", "component_id", "first")
+    joined = rows.where("n_shingles > 0").join(large_side(per_class), "class").select("doc_id", "key", "n_shingles", "component_id", "first")
     alone = F.lit(None).cast(joined.schema["first"].dataType)
     return joined.union(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), alone.alias("first")))
 

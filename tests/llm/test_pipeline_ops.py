@@ -463,3 +463,27 @@ def test_stages_keep_the_columns(spark, sf_dir, docs):
     part = docs.limit(60)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, part, sf_dir).dtypes == docs.dtypes
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Files of ids are small however many rows they hold, and more come out of ``explode``: the driver must not build them as one table."""
+    from basketlens.llm import storage
+
+    plans = []
+
+    def recorded(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, label)
+
+    plain = near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", recorded)
+    monkeypatch.setattr(storage, "stage", recorded)
+    monkeypatch.setattr(near_dedup, "WANTED", 0)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:k] + ["x"] + words[k:])) for k in range(20)] + [(50, "alone here")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert {r.component_id for r in found.collect()} == {0, 50}
+    assert {"buckets", "stars", "linked", "links"} <= {label for label, _ in plans}
+    # The ids that several texts bear are counted, and there are none.
+    assert {label for label, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan} <= {"class-ids"}
