@@ -15,7 +15,8 @@ passage loses only the chunks that lie inside it whole; short ones often have no
 Equal rows (same doc_id and text) are one document and are cut alike. Null ids come first; null texts
 stay null. A text that loses all its lines leaves the table, as earlier documents have all of it; empty
 texts stay. Counts by hash are summed in the map tasks, and the comparison joins one row per repeated
-chunk with its copies, so a chunk in a third of all rows is split by AQE.
+chunk with its copies, so a chunk in a third of all rows is split by AQE. Bytes are
+cut out for the repeated spans only, so what is written on the way follows the texts and not the windows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
+from .storage import large_side
 from .text import prepare, slices, span_hashes, text_key, utf8, words
 
 MIN_LINES = 2
@@ -84,8 +86,12 @@ def _bare(chunk: bytes) -> bytes:
     return chunk[:-1] if chunk.endswith(b"\n") else chunk
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 def _spans(docs: DataFrame, find: Callable) -> DataFrame:
-    """(key, doc_id, place, hash, bytes) of every span that ``find`` gives; place is its first byte."""
+    """(key, doc_id, place, size, hash) of every span that ``find`` gives; place is its first byte, size that of its bytes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,14 +104,23 @@ def _spans(docs: DataFrame, find: Callable) -> DataFrame:
                         part.column(0).take(pa.array(text)),
                         part.column(1).take(pa.array(text)),
                         pa.array(start - offsets[text]),
+                        pa.array([len(r) for r in raw], pa.int64()),
                         pa.array([hashlib.md5(r).digest() for r in raw], pa.binary()),
-                        pa.array(raw, pa.binary()),
                     ],
-                    names=["key", "doc_id", "place", "hash", "bytes"],
+                    names=["key", "doc_id", "place", "size", "hash"],
                 )
 
-    rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(make, "key binary, doc_id bigint, place bigint, hash binary, bytes binary")
+    return _rows(docs).mapInArrow(make, "key binary, doc_id bigint, place bigint, size bigint, hash binary")
+
+
+def _bytes_of(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (key, doc_id, place, size, hash, is_first) with their ``bytes``. Texts that have none of them are not looked at."""
+    wanted = spans.groupBy("key", "doc_id").agg(F.collect_list(F.struct("place", "size", "hash", "is_first")).alias("spans"))
+    wanted = wanted.select(F.col("key").alias("in_key"), F.col("doc_id").alias("in_id"), "spans")
+    texts = _rows(docs).join(large_side(wanted), (F.col("key") == F.col("in_key")) & F.col("doc_id").eqNullSafe(F.col("in_id")))
+    each = texts.select("key", "doc_id", F.col("text").cast("binary").alias("data"), F.explode("spans").alias("s"))
+    piece = F.substring("data", (F.col("s.place") + 1).cast("int"), F.col("s.size").cast("int"))
+    return each.select("key", "doc_id", "s.*", piece.alias("bytes"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -121,14 +136,15 @@ def windows(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = chunks) -> DataFrame:
     """(key, doc_id, places): the spans that each document loses; documents that lose none have no row."""
     prepare(docs.sparkSession)
-    made = find(docs)
-    occurrences = stage(made.select("hash", "doc_id", "key", "place").distinct(), "chunk-places")
+    occurrences = stage(find(docs).distinct(), "chunk-places")
     counted = occurrences.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "place")).alias("first"))
     repeated = stage(counted.where("n > 1").select("hash", "first"), "chunk-hashes")
-    copies = stage(made.join(repeated, "hash").distinct(), "chunk-copies")
     is_first = F.struct("doc_id", "key", "place").eqNullSafe(F.col("first"))
-    originals = copies.where(is_first).select("hash", F.col("bytes").alias("original")).dropDuplicates(["hash"])
-    equal = copies.where(~is_first).join(originals, "hash").where("bytes = original")
+    spans = occurrences.join(large_side(repeated), "hash").select("key", "doc_id", "place", "size", "hash", is_first.alias("is_first"))
+    # Equal rows of a table give equal copies; both sides of the comparison take them once.
+    copies = stage(_bytes_of(docs, spans), "chunk-copies")
+    originals = copies.where("is_first").select("hash", F.col("bytes").alias("original")).dropDuplicates(["hash"])
+    equal = copies.where("NOT is_first").join(large_side(originals), "hash").where("bytes = original")
     return equal.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
@@ -158,8 +174,8 @@ def _without_windows(data: bytes, places: list[int]) -> tuple[bytes, int]:
 
 def _removed(docs: DataFrame, find: Callable[[DataFrame], DataFrame], without: Callable[[bytes, list[int]], tuple[bytes, int]]) -> DataFrame:
     lost = removals(docs, find).select(F.col("key").alias("lost_key"), F.col("doc_id").alias("lost_id"), "places")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col("text")).alias("key"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("whole"))
-    joined = rows.join(lost, (F.col("key") == F.col("lost_key")) & F.col("id").eqNullSafe(F.col("lost_id")), "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col("text")).alias("key"), F.col("doc_id").cast("bigint").alias("id"))
+    joined = rows.join(large_side(lost), (F.col("key") == F.col("lost_key")) & F.col("id").eqNullSafe(F.col("lost_id")), "left")
 
     def rebuild(column: pa.Array, places: pa.Array) -> pa.Array:
         texts, counts, gone = [], [], []
@@ -176,7 +192,7 @@ def _removed(docs: DataFrame, find: Callable[[DataFrame], DataFrame], without: C
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_chunks", "n_bytes"])
 
     # Not marked so, a filter on the result would be pushed below and rebuild every text twice.
-    left = F.arrow_udf(rebuild, "struct<text:string,n_chunks:bigint,n_bytes:bigint>").asNondeterministic()(F.col("whole"), F.col("places"))
+    left = F.arrow_udf(rebuild, "struct<text:string,n_chunks:bigint,n_bytes:bigint>").asNondeterministic()(F.col("row.text"), F.col("places"))
     return joined.select("row", left.alias("left")).select("row", "left.text", "left.n_chunks", "left.n_bytes")
 
 

@@ -487,3 +487,15 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     assert {"buckets", "stars", "linked", "links"} <= {label for label, _ in plans}
     # The ids that several texts bear are counted, and there are none.
     assert {label for label, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan} <= {"class-ids"}
+
+
+def test_windows_travel_without_their_bytes(spark, monkeypatch):
+    """Windows of two lines hold a text twice; only those that are found again are cut out."""
+    stored = {}
+    plain = line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, label: stored.setdefault(label, plain(df, label)))
+    rows = [(1, "a b\né d\nown one"), (2, "own two\na b\né d"), (2, "own two\na b\né d"), (None, "a b\né d")]
+    found = line_dedup.removed_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).select("row.doc_id", "text").collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, [type(found[0])(doc_id=i, text=t) for i, t in [(1, "own one"), (2, "own two\n"), (2, "own two\n"), (None, "a b\né d")]]))
+    assert "bytes" not in stored["chunk-places"].columns and "bytes" not in line_dedup.windows(spark.createDataFrame(rows, "doc_id bigint, text string")).columns
+    assert {bytes(r.bytes).decode() for r in stored["chunk-copies"].collect()} == {"a b\né d"}
