@@ -20,6 +20,27 @@ DICTIONARY_SHARE = 0.5
 SKETCH_BITS = 14
 # Types a text column may be read as, in the order they are tried.
 TEXT_TYPES = ["int", "bigint", "double", "timestamp", "boolean"]
+# What a text must look like for a cast to succeed, and numbers that no time has as its year.
+_AROUND = r"[\x00-\x20\x7F-\x9F]*"
+_MAY_BE = {
+    "int": rf"\A{_AROUND}[-+]?[0-9]+{_AROUND}\z",
+    "bigint": rf"\A{_AROUND}[-+]?[0-9]+{_AROUND}\z",
+    "double": rf"\A{_AROUND}[-+]?(?:[.0-9][-+.0-9a-zA-Z]*|(?i:nan|inf|infinity)){_AROUND}\z",
+    "timestamp": r"[0-9]",
+    "boolean": rf"\A{_AROUND}(?i:t|true|y|yes|1|f|false|n|no|0){_AROUND}\z",
+}
+_NO_YEAR = rf"\A{_AROUND}[-+]?(?:29[5-9]|[3-9][0-9]{{2}})[0-9]{{3}}{_AROUND}\z"
+
+
+def read_as(text: Column, dtype: str) -> Column:
+    """``text`` as one of ``TEXT_TYPES``, null if it cannot be read so.
+
+    The same as ``try_cast``, which raises and catches an error for each text that it cannot read; most of those are told by their look.
+    """
+    fits = text.rlike(_MAY_BE[dtype])
+    if dtype == "timestamp":
+        fits = fits & ~text.rlike(_NO_YEAR)
+    return F.when(fits, text.try_cast(dtype))
 
 
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -192,7 +213,7 @@ def _profile_alike(spark: SparkSession, path, glob: str | None, delimiter: str,
     counts = stage(_value_counts(rows, names, [FILE]).groupBy(FILE, "column").agg(
         F.count("value").alias("distinct"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-        *[F.count_if(F.col("value").isNotNull() & F.col("value").try_cast(t).isNull()).alias(t) for t in TEXT_TYPES],
+        *[F.count_if(F.col("value").isNotNull() & read_as(F.col("value"), t).isNull()).alias(t) for t in TEXT_TYPES],
     ), "profile")
     # The narrowest type that every value of every file can be read as.
     fits = [F.when(F.sum(t) == 0, F.lit(t)) for t in TEXT_TYPES]

@@ -439,3 +439,16 @@ def test_unreadable_files(spark, tmp_path):
     assert by_file["b"] == 2 and by_file.get("a", 0) < 20_000
     with pytest.raises(ValueError):
         source.read_events_csv(spark, str(tmp_path), unreadable="maybe")
+
+
+READABLE = ["", " ", "1", " 1 ", "+1", "-1", "\t1\n", "\x7f1", "\x851", "1 ", "١", "１", "﻿1", "1.5", ".5", "1.", ".", "-", "+", "--1", "1 2", "1_2", "00", "2147483648", "-9223372036854775809"]
+READABLE += ["1e3", "1E+5", "1e", "1d", "1f", "1L", "0x1p3", "NaN", "+nan", "inf", "-Infinity", "+INF", "infinityx", "i", "t", "T", "true", "TRUE ", "\nyes", "on", "No", "f", "0", "10", "truey"]
+READABLE += ["2019", "12345", "294247", "294248", "294999", "295000", "299999", " 300000", "+999999", "-299999", "-290308", "100000", "1000000", "2019-10", "+295000-01-01", "2019-10-01 00:00:00 UTC", "10:00", "T1:2", "now", "epoch"]
+
+
+def test_texts_are_read_as_a_cast_reads_them(spark):
+    rows = spark.createDataFrame([(v,) for v in READABLE] + [(None,)], "v string")
+    for dtype in profile.TEXT_TYPES:
+        cast, read = F.col("v").try_cast(dtype).cast("string"), profile.read_as(F.col("v"), dtype).cast("string")
+        assert rows.where(~cast.eqNullSafe(read)).collect() == []
+        assert not rows.where(read.isNotNull()).isEmpty()
