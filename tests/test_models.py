@@ -179,3 +179,32 @@ def test_boosting_stops_at_the_best_round(spark):
     same = whole.transform(table.where("out")).select(F.col("prediction").alias("p"), "a").join(scored, "a")
     assert same.where(F.abs(F.col("p") - F.col("prediction")) > 1e-6).count() == 0
     assert models.boost(table, "out", ["a", "b"], rounds=5).model.stages[-1].getNumTrees <= 5
+
+
+def test_boosting_costs_cells_not_rows(spark, monkeypatch):
+    """Rows with the same bins are one weighted row: the trees are those of MLlib's own loop over all rows."""
+    rng = random.Random(5)
+    rows = [(float(a := rng.randint(0, 5)), float(b := rng.randint(0, 3)), a * b + rng.gauss(0, 0.5), k % 4 == 0) for k in range(3000)]
+    table = spark.createDataFrame(rows, f"a double, b double, {models.TARGET} double, out boolean")
+    seen = []
+    monkeypatch.setattr(models, "stage", lambda df, label: seen.append(stage(df, label)) or seen[-1])
+    found = models.boost(table, "out", ["a", "b"], rounds=20, patience=20)
+    assert [t.count() for t in seen] == [2 * 24] * len(seen)
+    kept = found.model.stages[-1].getNumTrees
+    whole = models.train_boosted_spend(table.where("not out"), ["a", "b"], rounds=kept)
+    both = found.model.transform(table.where("out")).select("a", "b", models.TARGET, F.col("prediction").alias("p")).distinct().join(whole.transform(table.where("out")).select("a", "b", "prediction").distinct(), ["a", "b"])
+    assert both.where(F.abs(F.col("p") - F.col("prediction")) > 1e-6).count() == 0
+    assert both.agg(F.avg((F.col(models.TARGET) - F.col("p")) ** 2)).first()[0] == pytest.approx(found.errors[kept - 1])
+
+
+def test_thresholds_lie_between_values():
+    assert models._thresholds([1.0, 1.0, 2.0, 5.0], 32) == [1.5, 3.5]
+    assert models._thresholds([], 32) == [] == models._thresholds([3.0], 32)
+    many = models._thresholds([float(k) for k in range(3200)], 32)
+    assert len(many) == 31 and all(abs(b - a - 100) <= 1 for a, b in zip(many, many[1:]))
+
+
+def test_values_at_a_threshold_lie_below_it(spark):
+    table = spark.createDataFrame([(0.0,), (2.0,)], "a double")
+    placed = models.binning_stage(table, ["a"]).transform(spark.createDataFrame([(-9.0,), (1.0,), (1.5,), (9.0,)], "a double"))
+    assert [r.a_bin for r in placed.orderBy("a").collect()] == [0.0, 0.0, 1.0, 1.0]
