@@ -208,3 +208,29 @@ def test_values_at_a_threshold_lie_below_it(spark):
     table = spark.createDataFrame([(0.0,), (2.0,)], "a double")
     placed = models.binning_stage(table, ["a"]).transform(spark.createDataFrame([(-9.0,), (1.0,), (1.5,), (9.0,)], "a double"))
     assert [r.a_bin for r in placed.orderBy("a").collect()] == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_forests_draw_as_many_rows_as_there_are(spark):
+    """A cell of n rows is drawn Poisson(n) times for a tree: mean and variance n, whatever the layout of the data."""
+    cells = spark.createDataFrame([(k, 50.0) for k in range(200)] + [(1000, 1.0)], "_key bigint, _n double")
+    drawn = models._bagged(cells, 40, 7)
+    weights = [list(r)[1:] for r in drawn.where("_n = 50").collect()]
+    flat = [w for r in weights for w in r]
+    mean = sum(flat) / len(flat)
+    assert mean == pytest.approx(50, abs=0.5)
+    assert sum((w - mean) ** 2 for w in flat) / len(flat) == pytest.approx(50, rel=0.1)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, models._bagged(cells.repartition(5), 40, 7).collect()))
+
+
+def test_a_forest_has_no_more_leaves_than_cells(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(float(a := rng.randint(0, 5)), float(b := rng.randint(0, 3)), a * b + rng.gauss(0, 0.1), int(a > b)) for _ in range(3000)]
+    table = spark.createDataFrame(rows, f"a double, b double, {models.TARGET} double, bought int")
+    model = models.train_forest_spend(table, ["a", "b"], trees=6, depth=30)
+    assert all(tree.numNodes < 2 * 24 for tree in model.stages[-1].trees) and model.stages[-1].getNumTrees == 6
+    assert model.transform(table).agg(F.max(F.abs(F.col("prediction") - F.col("a") * F.col("b")))).first()[0] < 0.1
+    models.save_model(model, str(tmp_path / "m"), ["a", "b"])
+    assert models.load_model(str(tmp_path / "m"))[0].stages[-1].getNumTrees == 6
+    classifier = models.train_forest_classifier(table, ["a", "b"], "bought", trees=6, depth=10)
+    assert metrics.roc_auc(models.score(classifier, table), "bought", "score") > 0.99
+    assert models.score(classifier, table).columns == [*table.columns, "prediction", "score"]
