@@ -117,19 +117,26 @@ def add_to_profile(rows: Callable[[list[str]], DataFrame], files: DataFrame, sto
     paths = [r[0] for r in fresh.select("path").collect()]
     if not paths:
         return 0
-    table = rows(paths)
-    cells = [F.struct(F.lit(f.name).alias("column"), _as_text(f.name, f.dataType).alias("value")) for f in table.schema.fields]
-    flat = table.select(F.col("_metadata.file_path").alias("path"), F.inline(F.array(*cells)))
-    counted = flat.groupBy("path", "column").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("value").isNull()).alias("n_missing"),
-        F.hll_sketch_agg("value", F.lit(SKETCH_BITS)).alias("sketch"),
-    )
     # A file without rows is known, too.
-    fresh.join(counted, "path", "left").write.mode("append").parquet(store)
+    fresh.join(_file_columns(rows(paths)), "path", "left").write.mode("append").parquet(store)
     return len(paths)
 
 
+def _file_columns(table: DataFrame) -> DataFrame:
+    """``path, column, n_rows, n_missing, sketch``: a file's rows are summed as they are, and laid out by column after that."""
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col(f"`{f.name}`").isNull()).alias("n_missing"),
+            F.hll_sketch_agg(_as_text(f.name, f.dataType), F.lit(SKETCH_BITS)).alias("sketch"),
+        )
+        for f in table.schema.fields
+    ]
+    counted = table.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.array(*cells).alias("cells"))
+    return counted.select("path", F.inline("cells"))
+
+
 def stored_profile(spark: SparkSession, store: str, files: DataFrame | None = None) -> DataFrame:
     """``column, n_rows, n_missing, n_distinct`` over the stored files, or those of ``files``; the sketches are united.
 
