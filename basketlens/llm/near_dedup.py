@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stage
-from .storage import components, large_side, small_side
+from .storage import components, extended, large_side, relabelled, small_side
 from .text import _LAP, gram_hashes, grouped, lower_ascii, mix, prepare, slices, span_hashes, text_key, utf8, word_offsets, words
 
 SHINGLE = 2
@@ -195,20 +195,24 @@ class _Verifier:
         self.sets = found if self.sets is None else self.sets.union(found)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, a stored table; their sets must have been read."""
+        """The rows of ``pairs`` that are linked, a stored table; their sets must have been read."""
         side = lambda name: large_side(self.sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}")))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-        return stage(both.where(100 * common >= self.threshold * (sizes - common)).select("a", "b"), "linked")
+        return stage(both.where(100 * common >= self.threshold * (sizes - common)).select(*pairs.columns), "linked")
 
 
 def _labelled(table: DataFrame, found: DataFrame, column: str, label: str) -> DataFrame:
-    side = found.select(F.col("id").alias(column), F.col("component").alias(f"{label}_found"))
-    return table.join(large_side(side), column, "left").withColumn(label, F.coalesce(f"{label}_found", column)).drop(f"{label}_found")
+    return relabelled(table.withColumn(label, F.col(column)), found, label)
 
 
-def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): confirmed links that connect every component of linked classes, and no others."""
+def _merged(found: DataFrame, linked: DataFrame) -> DataFrame:
+    """``found`` after links between members of the components ``label_a`` and ``label_b``."""
+    return extended(found, components(linked.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))))
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, component) of every class that is linked with a smaller one: its component by confirmed links. Each step goes on from the components before."""
     sketches = classes.select("id", "n_shingles", *(f"s{k}" for k in range(SKETCH)))
     banded = classes.select(F.explode("bands").alias("bucket"), "id")
     buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("center")).where("n > 1")
@@ -220,14 +224,13 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     stars = stage(stars.select("a", "b", _bits("x", "y").alias("bits")), "stars")
     verifier.read(stars)
     best = stage(stars.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b"), "best")
-    linked = verifier.confirm(best)
-    found = components(linked)
+    # A class has one link to a smaller one at most, so these are trees.
+    found = components(verifier.confirm(best))
     # The other smallest classes of its buckets, where the best one has not brought them together.
     others = _labelled(_labelled(stars.select("a", "b").join(large_side(best), ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
-    others = stage(others.where("label_a <> label_b").select("a", "b"), "other-stars")
+    others = stage(others.where("label_a <> label_b"), "other-stars")
     if not others.isEmpty():
-        linked = stage(linked.union(verifier.confirm(others)), "linked")
-        found = components(linked)
+        found = _merged(found, verifier.confirm(others))
 
     # Buckets with several components; all but the largest one meet the whole bucket.
     labelled = stage(_labelled(members.select("bucket", "id"), found, "id", "label"), "bucket-labels")
@@ -242,17 +245,17 @@ def links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, threshold: i
     pairs = x.join(y, crossing).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), _bits("x", "y").alias("bits"))
     pairs = stage(pairs.join(large_side(stars.select("a", "b")), ["a", "b"], "left_anti"), "crossing")
     if pairs.isEmpty():
-        return linked
+        return found
     verifier.read(pairs)
     marked = _labelled(_labelled(pairs, found, "a", "label_a"), found, "b", "label_b")
-    ends = marked.select("a", "b", "bits", F.col("a").alias("end"), F.col("label_b").alias("other")).union(marked.select("a", "b", "bits", F.col("b").alias("end"), F.col("label_a").alias("other")))
-    nearest = ends.groupBy("end", "other").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p"))
-    nearest = stage(nearest.select("p.a", "p.b").distinct(), "nearest")
-    linked = stage(linked.union(verifier.confirm(nearest)), "linked")
-    found = components(linked)
+    labels = ["label_a", "label_b"]
+    ends = marked.select("a", "b", "bits", *labels, F.col("a").alias("end"), F.col("label_b").alias("other")).union(marked.select("a", "b", "bits", *labels, F.col("b").alias("end"), F.col("label_a").alias("other")))
+    nearest = ends.groupBy("end", "other").agg(F.min_by(F.struct("a", "b", *labels), F.struct("bits", "a", "b")).alias("p"))
+    nearest = stage(nearest.select("p.*").distinct(), "nearest")
+    found = _merged(found, verifier.confirm(nearest))
     rest = _labelled(_labelled(pairs.join(large_side(nearest), ["a", "b"], "left_anti"), found, "a", "label_a"), found, "b", "label_b")
-    rest = stage(rest.where("label_a <> label_b").select("a", "b"), "rest")
-    return linked if rest.isEmpty() else stage(linked.union(verifier.confirm(rest)), "linked")
+    rest = stage(rest.where("label_a <> label_b"), "rest")
+    return found if rest.isEmpty() else _merged(found, verifier.confirm(rest))
 
 
 def _members(docs: DataFrame, size: int, threshold: int) -> DataFrame:
@@ -260,7 +263,7 @@ def _members(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     prepare(docs.sparkSession)
     signed = stage(signatures(docs, size), "signatures")
     classes = _classes(signed)
-    found = components(links(docs, classes, size, threshold))
+    found = linked_classes(docs, classes, size, threshold)
     labelled = _labelled(classes.select("class", "id", "doc_id", "key"), found, "id", "label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("first"))

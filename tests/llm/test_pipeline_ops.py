@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from basketlens.llm import bpe, line_dedup, mixing, near_dedup, outliers
+from basketlens.llm import bpe, line_dedup, mixing, near_dedup, outliers, storage
 from basketlens.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -310,6 +310,42 @@ def test_chains_and_borderline_groups(spark):
     assert 1 < len(set(expected.values())) < 150
 
 
+def _smallest_reachable(edges):
+    smallest = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            least = min(smallest[a], smallest[b])
+            changed |= smallest[a] != least or smallest[b] != least
+            smallest[a] = smallest[b] = least
+    return smallest
+
+
+def test_components(spark):
+    """Sparse random links, a path against the order of its ids, two stars around their largest and smallest id, a loop, a repeated link, and none."""
+    rng = np.random.default_rng(6)
+    edges = [tuple(int(x) for x in rng.integers(0, 300, 2)) for _ in range(170)]
+    path = [int(x) for x in rng.permutation(np.arange(1000, 1060))]
+    edges += list(zip(path, path[1:])) + [(2050, 2000 + k) for k in range(50)] + [(3000, 3001 + k) for k in range(50)] + [(-5, -5), (3000, 3001)]
+    smallest = _smallest_reachable(edges)
+    found = storage.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert len({r.id for r in found}) == len(found)
+    assert {r.id: r.component for r in found} == {n: least for n, least in smallest.items() if n != least}
+    assert storage.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_trees_take_few_jobs(spark):
+    """Links to one smaller node each need no rounds beyond the first."""
+    edges = spark.createDataFrame([(10 * k + j, 10 * k + j // 2) for k in range(30) for j in range(1, 10)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("trees", "trees")
+    found = storage.components(edges)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("trees"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 26
+    assert sorted(map(tuple, found.collect())) == sorted((10 * k + j, 10 * k) for k in range(30) for j in range(1, 10))
+
+
 def test_sketch_estimates(spark):
     """Linked sets of any size pass the limit; sets well below the threshold do not."""
     rng = np.random.default_rng(3)
